@@ -105,8 +105,8 @@ def salted_join(probe: DataFrame, build: DataFrame, key: str, how: str = "inner"
     counts = build.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_c"))
     total = counts.agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("_total"))
     hot = counts.join(F.broadcast(total), F.col("_c") > F.greatest(F.col("_total") / hot_parts, F.lit(1000)))
-    hot = F.broadcast(hot.select(key, F.least(F.ceil(F.col("_c") * n / F.col("_total")), F.lit(n)).cast("int").alias("_m")))
+    hot = F.broadcast(hot.select(key, F.least(F.ceil(F.col("_c") * n / F.col("_total")), F.lit(n)).cast("int").alias("_salts")))
     rest = [c for c in build.columns if c != key]
-    b = build.join(hot, key, "left").withColumn("_salt", F.when(F.col("_m").isNull(), 0).otherwise(F.pmod(F.xxhash64(*rest) if rest else F.xxhash64(key), F.col("_m")).cast("int"))).drop("_m")
-    p = probe.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_m") - 1, F.lit(0))))).drop("_m")
+    b = build.join(hot, key, "left").withColumn("_salt", F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*rest) if rest else F.xxhash64(key), F.col("_salts")).cast("int"))).drop("_salts")
+    p = probe.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts") - 1, F.lit(0))))).drop("_salts")
     return p.join(b, [key, "_salt"]).drop("_salt")
