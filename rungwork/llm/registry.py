@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rungwork.llm import consensus, keep_together, leak, overlap, similar_sets
+from rungwork.llm import consensus, keep_together, leak, overlap, similar_sets, transcripts
 
-_MODULES = (consensus, keep_together, overlap, similar_sets, leak)
+_MODULES = (consensus, keep_together, overlap, similar_sets, leak, transcripts)
 
 
 def queries():
