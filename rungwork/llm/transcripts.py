@@ -69,8 +69,15 @@ def has_words(text: str) -> bool:
 def header_of(lines: list[str]) -> tuple[list[tuple[str, str]], int]:
     """``(name, role)`` of the persons in a first chunk and the number of header lines."""
     end = next((i for i, x in enumerate(lines) if _MARK.match(x)), None)
-    if end is None:
-        end = max((i + 1 for i, x in enumerate(lines[:12]) if _HEADER_END.match(x)), default=0)
+    if end is None:  # then the header ends with the first line that names nothing, or names a role again
+        end, seen = 0, set()
+        for i, x in enumerate(lines):
+            m = _HEADER_END.match(x)
+            if m and m.group(0).strip(" :s").lower() not in seen:
+                seen.add(m.group(0).strip(" :s").lower())
+                end = i + 1
+            elif seen:
+                break
     persons: list[tuple[str, str]] = []
     for x in lines[:end]:
         if m := _HEADER.match(x):
