@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rungwork.llm import consensus, keep_together, leak, overlap, pii, similar_sets, transcripts
+from rungwork.llm import consensus, keep_together, leak, mixing, overlap, pii, reading, similar_sets, transcripts
 
-_MODULES = (consensus, pii, keep_together, overlap, similar_sets, leak, transcripts)
+_MODULES = (consensus, pii, keep_together, overlap, similar_sets, transcripts, leak, mixing, reading)
 
 
 def queries():
