@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rungwork.plans import heavy
+from rungwork.plans import heavy, structure
 
-_MODULES = (heavy,)
+_MODULES = (structure, heavy)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,4 +20,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return heavy.p7_found(spark, sf_dir)
+    return structure.attestation_triage(spark, sf_dir)
