@@ -29,7 +29,8 @@ def text_classes(df: DataFrame, key: str, text: str) -> DataFrame:
 def similar_classes(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``class_a, class_b, jaccard``: different classes whose shingles' similarity reaches the threshold, ``a < b``."""
     one = materialize(classes.groupBy("class_id").agg(F.first("sh").alias("sh")))
-    bands = F.array(*[F.struct(F.lit(b).alias("b"), F.xxhash64(F.lit(b), *[F.array_min(F.transform("sh", lambda h, b=b, r=r: F.xxhash64(F.lit(b * ROWS + r), h))) for r in range(ROWS)]).alias("h")) for b in range(BANDS)])
+    low = lambda i: F.array_min(F.transform("sh", lambda h: F.xxhash64(F.lit(i), h)))
+    bands = F.array(*[F.struct(F.lit(b).alias("b"), F.xxhash64(F.lit(b), *[low(b * ROWS + r) for r in range(ROWS)]).alias("h")) for b in range(BANDS)])
     keyed = materialize(one.select("class_id", F.size("sh").alias("n"), F.explode(bands).alias("x")).select("class_id", "n", F.xxhash64("x.b", "x.h").alias("key")))
     left = keyed.select("key", F.col("class_id").alias("class_a"), F.col("n").alias("_na"))
     right = keyed.select("key", F.col("class_id").alias("class_b"), F.col("n").alias("_nb"))

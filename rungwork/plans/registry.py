@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rungwork.plans import heavy, structure
+from rungwork.plans import evaluation, heavy, structure
 
-_MODULES = (structure, heavy)
+_MODULES = (structure, evaluation, heavy)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
