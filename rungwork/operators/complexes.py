@@ -152,7 +152,7 @@ def star(cx: Complex) -> tuple[DataFrame, DataFrame]:
 def star_roundtrip(cx: Complex) -> DataFrame:
     """``granularity, n_missing, n_extra``: members lost and won when cells are rebuilt from the star form."""
     _, edges = star(cx)
-    back = edges.filter(F.col("etype").startswith("in_r")).select("granularity", F.substring("etype", 5, 1).cast("int").alias("cell_rank"), F.col("dst").alias("cid"), F.col("src").alias("narrator"))
+    back = edges.filter(F.col("etype").startswith("in_r")).select("granularity", F.substring_index("etype", "_r", -1).cast("int").alias("cell_rank"), F.col("dst").alias("cid"), F.col("src").alias("narrator"))
     key = ["granularity", "cell_rank", "cid", "narrator"]
     both = cx.members.withColumn("_o", F.lit(1)).join(back.withColumn("_b", F.lit(1)), key, "full_outer")
     return both.groupBy("granularity").agg(F.count_if(F.col("_b").isNull()).alias("n_missing"), F.count_if(F.col("_o").isNull()).alias("n_extra"))
