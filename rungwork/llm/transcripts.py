@@ -51,14 +51,17 @@ def lines_of(text: str) -> list[str]:
     return [x for x in (_html.unescape(_MARKUP.sub(" ", p)).strip() for p in _BREAK.split(text)) if x]
 
 
-def clean_text(text: str) -> str:
-    """Text free of time stamps, annotations, fillers, false starts and a sentence's lost capital."""
+def clean_text(text: str, begins: bool = True) -> str:
+    """Text free of time stamps, annotations, fillers and false starts, with the capitals that sentences lost.
+
+    The first word gets its capital only if the text ``begins`` a sentence.
+    """
     out = _FILLER.sub(" ", _NOISE.sub(" ", _STAMP.sub(" ", text)))
     out = re.sub(r"\s+", " ", out).strip()
     out = _AGAIN.sub(r"\1", out)
     out = re.sub(r"\s+([,.?!;:])", r"\1", re.sub(r"^[\s,;–—-]+", "", re.sub(r"\s+--(?=\s|$)", " --", out))).strip()
     out = re.sub(r"\bi\b", "I", out)
-    return re.sub(r"(^|[.?!]\s+)([a-z])", lambda m: m.group(1) + m.group(2).upper(), out)
+    return re.sub(r"(^|[.?!]\s+)([a-z])" if begins else r"([.?!]\s+)([a-z])", lambda m: m.group(1) + m.group(2).upper(), out)
 
 
 def has_words(text: str) -> bool:
@@ -154,7 +157,7 @@ def parse_chunk(text: str, first: bool, persons: list[tuple[str, str]]) -> list[
             runs[-1][2] += " " + rest if spoken else ""
         else:
             runs.append([now, spoken, rest if spoken else ""])
-    return [(s, w, clean_text(t)) for s, w, t in runs]
+    return [(s, w, clean_text(t, s is not None)) for s, w, t in runs]
 
 
 def chunk_order(chunks: list[tuple[str, int | None, int | None, int | None]]) -> dict[str, int]:
