@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -43,12 +44,13 @@ def _keyed(said: DataFrame) -> DataFrame:
     return said.select("segment_id", F.explode(forms).alias("f")).select("segment_id", "f.*")
 
 
-def build_complex(segments: DataFrame, rank_map: DataFrame, include_interviewers: bool = False, min_cell_size: int = 1) -> Complex:
+def build_complex(segments: DataFrame, rank_map: DataFrame, include_interviewers: bool = False, min_cell_size: int = 1, cut: Callable[[DataFrame], DataFrame] = lambda df: df) -> Complex:
     """Complex of cleaned segments at all granularities.
 
     ``rank_map`` has ``term, cell_rank``; terms of other ranks make no cell. Rank 1 are segments that someone speaks in.
     An episode takes in the members and segments of the events whose term lies strictly below its own, found by an
     equi-join on the events' proper prefixes; then cells with fewer than ``min_cell_size`` members are dropped.
+    ``cut`` is applied to the supports, from which cells and members follow; it may write them once.
     """
     who = voices(segments, include_interviewers)
     spoken = who.select("segment_id").distinct()
@@ -63,7 +65,7 @@ def build_complex(segments: DataFrame, rank_map: DataFrame, include_interviewers
     taken = own.unionByName(below.join(episodes, ["granularity", "base_term"], "left_semi"))
     upper = taken.select("granularity", F.lit(3).alias("cell_rank"), F.concat(F.lit("r3:"), "base_term").alias("cid"), "base_term", "segment_id").distinct()
     moments = spoken.select(all_, F.lit(1).alias("cell_rank"), F.col("segment_id").alias("cid"), F.lit(None).cast("string").alias("base_term"), "segment_id")
-    supports = moments.unionByName(events).unionByName(upper)
+    supports = cut(moments.unionByName(events).unionByName(upper))
     key = ["granularity", "cell_rank", "cid"]
     members = supports.join(who, "segment_id").select(*key, "narrator").distinct()
     cells = supports.select(*key, "base_term").distinct()

@@ -11,15 +11,15 @@ from rungwork.session import materialize
 MAX_ROUNDS = 60
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+def _large_star(e: DataFrame, n: int) -> DataFrame:
     both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(e.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return salted_join(least, both.filter(F.col("v") > F.col("u")), "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+    return salted_join(least, both.filter(F.col("v") > F.col("u")), "u", build_rows=2 * n).select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
 
 
-def _small_star(e: DataFrame) -> DataFrame:
+def _small_star(e: DataFrame, n: int) -> DataFrame:
     least = e.groupBy("hi").agg(F.min("lo").alias("m"))
-    moved = salted_join(least, e, "hi").filter(F.col("lo") != F.col("m")).select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+    moved = salted_join(least, e, "hi", build_rows=n).filter(F.col("lo") != F.col("m")).select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
     return moved.unionByName(least.select("hi", F.col("m").alias("lo"))).distinct()
 
 
@@ -41,7 +41,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         if now == mark:
             break
         mark = now
-        e = materialize(_small_star(_large_star(e)))
+        # a large star has at most as many edges as it is given
+        e = materialize(_small_star(_large_star(e, now[0]), now[0]))
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return nodes.join(e, F.col("node") == F.col("hi"), "left").select("node", F.coalesce("lo", "node").alias("component"))

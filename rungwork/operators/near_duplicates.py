@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rungwork.operators.skew import salted_join
-from rungwork.session import materialize
+from rungwork.session import materialize, spread
 
 SHINGLE, LEAST_WORDS, THRESHOLD = 5, 8, 0.8
 #: Bands of rows: a pair of similarity 0.8 meets in a band with probability above 0.9999.
@@ -26,12 +30,30 @@ def text_classes(df: DataFrame, key: str, text: str) -> DataFrame:
     return s.withColumn("sh", F.array_sort("sh")).withColumn("class_id", F.md5(F.array_join(F.transform("sh", lambda h: h.cast("string")), ",")))
 
 
+def _band_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A key for each band of ``ROWS`` MinHash values of the shingles' hashes."""
+    rng = np.random.default_rng(5)
+    a, c = (rng.integers(1, 1 << 62, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
+    for df in batches:
+        if not len(df):
+            continue
+        flat = np.concatenate(df["sh"].to_numpy()).astype(np.int64).view(np.uint64)
+        starts = np.concatenate([[0], np.cumsum([len(v) for v in df["sh"]])[:-1]])
+        keys = np.empty((len(df), BANDS), dtype=np.int64)
+        with np.errstate(over="ignore"):
+            for band in range(BANDS):
+                acc = np.full(len(df), band + 1, dtype=np.uint64)
+                for i in range(band * ROWS, (band + 1) * ROWS):
+                    h = (flat ^ c[i]) * a[i]
+                    acc = (acc ^ np.minimum.reduceat(h ^ (h >> np.uint64(31)), starts)) * np.uint64(0x9E3779B97F4A7C15)
+                keys[:, band] = (acc ^ (acc >> np.uint64(29))).view(np.int64)
+        yield pd.DataFrame({"class_id": df["class_id"], "n": [len(v) for v in df["sh"]], "keys": list(keys)})
+
+
 def similar_classes(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``class_a, class_b, jaccard``: different classes whose shingles' similarity reaches the threshold, ``a < b``."""
     one = materialize(classes.groupBy("class_id").agg(F.first("sh").alias("sh")))
-    low = lambda i: F.array_min(F.transform("sh", lambda h: F.xxhash64(F.lit(i), h)))
-    bands = F.array(*[F.struct(F.lit(b).alias("b"), F.xxhash64(F.lit(b), *[low(b * ROWS + r) for r in range(ROWS)]).alias("h")) for b in range(BANDS)])
-    keyed = materialize(one.select("class_id", F.size("sh").alias("n"), F.explode(bands).alias("x")).select("class_id", "n", F.xxhash64("x.b", "x.h").alias("key")))
+    keyed = materialize(spread(one).mapInPandas(_band_keys, "class_id string, n int, keys array<long>").select("class_id", "n", F.explode("keys").alias("key")))
     left = keyed.select("key", F.col("class_id").alias("class_a"), F.col("n").alias("_na"))
     right = keyed.select("key", F.col("class_id").alias("class_b"), F.col("n").alias("_nb"))
     fit = (F.col("class_a") < F.col("class_b")) & (F.least("_na", "_nb") >= threshold * F.greatest("_na", "_nb"))

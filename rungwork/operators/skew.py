@@ -14,6 +14,8 @@ from rungwork.session import materialize
 CHUNK_ROWS = 100_000
 #: A key is hot when it holds more than one part in so many of all rows, so at most so many keys are hot.
 HOT_PARTS = 1_000
+#: Rows of a join side below which no key can hold more than a task's worth, so nothing is salted.
+SMALL_ROWS = 1_000_000
 
 
 def _parts(df: DataFrame) -> int:
@@ -92,15 +94,18 @@ def running_sum_in_blocks(df: DataFrame, keys: Sequence[str], order: str, value:
     return b.withColumn("_in", F.sum(value).over(frame)).join(carry, [*keys, "_b"], "left").withColumn(out, F.coalesce("_in", F.lit(0)) + F.coalesce("_carry", F.lit(0))).drop("_b", "_in", "_carry")
 
 
-def salted_join(probe: DataFrame, build: DataFrame, key: str, how: str = "inner", hot_parts: int = HOT_PARTS) -> DataFrame:
+def salted_join(probe: DataFrame, build: DataFrame, key: str, how: str = "inner", hot_parts: int = HOT_PARTS, build_rows: int | None = None) -> DataFrame:
     """Equi-join on ``key`` in which the rows of a key that is hot in ``build`` are spread over several tasks.
 
     Keys with more than one part in ``hot_parts`` of the build rows are hot, so their list has at most ``hot_parts``
     entries and may be broadcast. Their build rows get a hash salt and their probe rows are repeated once a salt.
-    NULL keys match nothing. ``how`` is ``inner``.
+    NULL keys match nothing. ``how`` is ``inner``. A caller that knows the build side to be small says so by
+    ``build_rows``; then it is joined as it is.
     """
     if how != "inner":
         raise ValueError("only inner joins")
+    if build_rows is not None and build_rows <= SMALL_ROWS:
+        return probe.join(build, key)
     n = _parts(build)
     counts = build.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_c"))
     total = counts.agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("_total"))

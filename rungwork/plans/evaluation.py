@@ -43,20 +43,22 @@ def stored_splits(s, d):
     return out
 
 
-def _routed(s, d, unit):
-    _, m, _, _ = _mid(s, d)
-    pairs = m.withColumn("pair", F.concat_ws("|", "cid", "narrator"))
+def _pairs(s, d):
+    return materialize(_mid(s, d)[1].withColumn("pair", F.concat_ws("|", "cid", "narrator")))
+
+
+def _routed(pairs, unit):
     return S.partition_incidences(pairs, S.make_split(pairs.select(F.col(unit).alias("unit"))), unit)
 
 
 def partition_incidences(s, d):
-    return _routed(s, d, "narrator").select("cid", "narrator", "bucket")
+    return _routed(_pairs(s, d), "narrator").select("cid", "narrator", "bucket")
 
 
 def split_straddle(s, d):
-    out = None
+    pairs, out = _pairs(s, d), None
     for unit in ("narrator", "cid", "pair"):
-        part = _round(S.straddle(_routed(s, d, unit)), "share").select(F.lit(unit).alias("unit"), "*")
+        part = _round(S.straddle(_routed(pairs, unit)), "share").select(F.lit(unit).alias("unit"), "*")
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -21,10 +21,9 @@ def maps(spark: SparkSession, d: str, seg: DataFrame) -> DataFrame:
 
 
 def complex_of(spark: SparkSession, d: str, map_name: str = "R-B") -> tuple[DataFrame, Complex]:
-    """Cleaned segments and their complex under one rank map, its tables written once."""
+    """Cleaned segments and their complex under one rank map; segments and supports are written once."""
     seg = segments(spark, d)
-    cx = build_complex(seg, maps(spark, d, seg).filter(F.col("map_name") == map_name))
-    return seg, Complex(materialize(cx.cells), materialize(cx.members), materialize(cx.supports), materialize(cx.ground))
+    return seg, build_complex(seg, maps(spark, d, seg).filter(F.col("map_name") == map_name), cut=materialize)
 
 
 def sq(x: str) -> str:
