@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rungwork.session import table
+from rungwork.session import spread, table
 
 #: Words of a window and of the shortest leak, and edits that a window may hold.
 WINDOW, EDITS = 20, 2
@@ -247,7 +247,7 @@ def leaks(docs: DataFrame, items: DataFrame, block_words: int = BLOCK_WORDS) ->
     size = F.size(F.split("passage", r"\s+"))
     sized = passages(items).withColumn("_n", size).filter(F.col("_n") > 0)
     n_blocks = -(-int(sized.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]) // block_words)
-    plain = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
+    plain = spread(docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text"))
     out = None
     for b in range(max(1, n_blocks)):
         rows = [(r[0], r[1]) for r in sized.filter(F.pmod(F.xxhash64("item_id"), F.lit(max(1, n_blocks))) == b).select("item_id", "passage").orderBy("item_id", "passage").toLocalIterator()]

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rungwork.functions.keys import canonical_key
-from rungwork.session import materialize, table
+from rungwork.session import materialize, spread, table
 
 #: Vocabulary whose tokens are the unit of size.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -57,7 +57,7 @@ def sized_documents(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
             yield pd.DataFrame({"doc_id": df["doc_id"], "source": df["source"], "lang": df["lang"], "topic": df["topic"], "n_tokens": [len(enc.encode_ordinary(t)) if t else 0 for t in df["text"]]})
 
     named = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", canonical_source(F.col("source")).alias("source"), canonical_language(F.col("lang")).alias("lang"), F.coalesce(canonical_key(F.col("genre")), F.lit("other")).alias("topic"), "text")
-    return named.mapInPandas(count, "doc_id long, source string, lang string, topic string, n_tokens long")
+    return spread(named).mapInPandas(count, "doc_id long, source string, lang string, topic string, n_tokens long")
 
 
 def clean_targets(targets: DataFrame) -> dict[str, tuple[float, int]]:

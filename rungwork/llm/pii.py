@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rungwork.session import table
+from rungwork.session import spread, table
 
 #: Share of all words from which a word is known to the vocabulary; it holds at most one over it.
 KNOWN_SHARE = 5e-7
@@ -334,7 +334,7 @@ def _over(spark: SparkSession, sf_dir: str, work: Callable, schema: str) -> Data
         for df in batches:
             yield work(df, classes, ends)
 
-    return texts.mapInPandas(run, schema).distinct()
+    return spread(texts).mapInPandas(run, schema).distinct()
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

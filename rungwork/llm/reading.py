@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rungwork.session import materialize, table
+from rungwork.session import materialize, spread, table
 
 BANDS = 5
 #: Fewest words of a document that gets a level.
@@ -105,7 +105,7 @@ def document_features(docs: DataFrame) -> DataFrame:
 
     A NULL or empty text has no words and is not English. Whole texts are read.
     """
-    plain_docs = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text")
+    plain_docs = spread(docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text"))
     counts = materialize(word_counts(plain_docs.filter(F.col("text").isNotNull())))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     known = {r[0]: r[1] for r in counts.filter(F.col("n") >= KNOWN_SHARE * total).toLocalIterator()}
