@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rungwork.operators.skew import number_rows
 from rungwork.operators.splits import hash_order
 
 
@@ -17,11 +18,10 @@ def uniform(cells: DataFrame, members: DataFrame, ground: DataFrame, draws: int
     """``cid, draw, negative``: a narrator outside the cell for each draw; none where all are inside.
 
     Rejection sampling by rank: ``tries`` hashed places among the numbered narrators are tried, which finds nearly all;
-    only cells still without one are compared with the whole ground set.
+    only cells still without one, which hold most of the ground set, are compared with all of it.
     """
-    from pyspark.sql import Window as W
-
-    numbered = ground.select("narrator").distinct().select("narrator", (F.row_number().over(W.orderBy("narrator")) - 1).alias("_i"))
+    whole = ground.select(F.lit(1).alias("_all"), "narrator").distinct()
+    numbered = number_rows(whole, ["_all"], ["narrator"]).select("narrator", F.col("_pos").alias("_i"))
     n = numbered.agg(F.count(F.lit(1)).alias("_n"))
     want = cells.select("cid").distinct().withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     tried = want.withColumn("_t", F.explode(F.sequence(F.lit(0), F.lit(tries - 1)))).join(F.broadcast(n))

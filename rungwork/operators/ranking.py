@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rungwork.operators.skew import number_rows
+
 #: Queries that are held by a task at once.
 QUERY_BLOCK = 2_000
 
@@ -32,53 +34,35 @@ def retrieval_metrics(ranked: DataFrame, at_ndcg: int = 10, at_recall: int = 50)
 def positive_places(queries: DataFrame, items: DataFrame) -> DataFrame:
     """``query, pos, rel``: the places of the positives of each query among all items by cosine, the query itself last.
 
-    ``queries`` and ``items`` have ``id, label, vec``; items of the query's label are its positives. Queries are a
-    stated set and taken in blocks against all items; each task counts, for each positive's score, the items above it
-    (ties by id), so scores are never shuffled: first the positives' scores, then the counts of each partition.
+    ``queries`` and ``items`` have ``id, label, vec``; items of the query's label are its positives, ties go by id.
+    Queries are a stated set and taken in blocks, each sent to the tasks that scan the items; places are exact and
+    numbered over ranges of the scores, so no task orders all items of a query.
     """
     spark = items.sparkSession
     norm = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-    n = queries.count()
+    n_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     out = None
-    for b in range(max(1, -(-n // QUERY_BLOCK))):
-        rows = queries.filter(F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // QUERY_BLOCK)))) == b).orderBy("id").collect()
+    for b in range(n_blocks):
+        rows = queries.filter(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == b).orderBy("id").collect()
         if not rows:
             continue
-        qid, qlabel = np.array([r["id"] for r in rows]), np.array([r["label"] for r in rows])
-        q = spark.sparkContext.broadcast((qid, qlabel, norm(np.array([r["vec"] for r in rows], dtype=np.float64))))
+        q = spark.sparkContext.broadcast((np.array([r["id"] for r in rows]), np.array([r["label"] for r in rows]), norm(np.array([r["vec"] for r in rows], dtype=np.float64))))
 
-        def positives(batches: Iterator[pd.DataFrame], q=q) -> Iterator[pd.DataFrame]:
+        def scores(batches: Iterator[pd.DataFrame], q=q) -> Iterator[pd.DataFrame]:
             ids, labels, m = q.value
             for df in batches:
-                s = m @ norm(np.stack(df["vec"].to_numpy()).astype(np.float64)).T
-                i, j = np.nonzero((labels[:, None] == df["label"].to_numpy()[None, :]) & (ids[:, None] != df["id"].to_numpy()[None, :]))
-                yield pd.DataFrame({"query": ids[i], "item": df["id"].to_numpy()[j], "score": np.round(s[i, j], 10)})
-
-        found = items.mapInPandas(positives, "query long, item long, score double")
-        pos = found.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("score", "item"))).alias("ps")).collect()
-        marks = spark.sparkContext.broadcast({r["query"]: (np.array([x["score"] for x in r["ps"]]), np.array([x["item"] for x in r["ps"]])) for r in pos})
-
-        def above(batches: Iterator[pd.DataFrame], q=q, marks=marks) -> Iterator[pd.DataFrame]:
-            ids, _, m = q.value
-            acc = {k: np.zeros(len(v[0]), dtype=np.int64) for k, v in marks.value.items()}
-            for df in batches:
-                item = df["id"].to_numpy()
-                s = np.round(m @ norm(np.stack(df["vec"].to_numpy()).astype(np.float64)).T, 10)
-                for a, k in enumerate(ids):
-                    if k in acc:
-                        ps, pi = marks.value[k]
-                        ok = item != k
-                        v, t = np.sort(s[a][ok]), s[a][ok]
-                        acc[k] += len(v) - np.searchsorted(v, ps, side="right")
-                        for z in np.nonzero(np.isin(ps, t))[0]:
-                            acc[k][z] += ((t == ps[z]) & (item[ok] < pi[z])).sum()
-            for k, v in acc.items():
-                yield pd.DataFrame({"query": k, "item": marks.value[k][1], "n": v})
-
-        counts = items.mapInPandas(above, "query long, item long, n long").groupBy("query", "item").agg((F.sum("n") + 1).alias("pos"))
-        part = counts.select("query", "pos", F.lit(1).alias("rel"))
+                if not len(df):
+                    continue
+                item, s = df["id"].to_numpy(), np.round(m @ norm(np.stack(df["vec"].to_numpy()).astype(np.float64)).T, 10)
+                rel = labels[:, None] == df["label"].to_numpy()[None, :]
+                i, j = np.nonzero(ids[:, None] != item[None, :])
+                yield pd.DataFrame({"query": ids[i], "item": item[j], "below": -s[i, j], "rel": rel[i, j].astype("int32")})
+
+        part = items.mapInPandas(scores, "query long, item long, below double, rel int")
         out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], "query long, pos long, rel int")
+    if out is None:
+        return spark.createDataFrame([], "query long, pos long, rel int")
+    return number_rows(out, ["query"], ["below", "item"]).filter("rel = 1").select("query", (F.col("_pos") + 1).alias("pos"), "rel")
 
 
 def auc(df: DataFrame, by: list[str], label: str, score: str) -> DataFrame:
