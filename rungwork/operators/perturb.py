@@ -45,3 +45,28 @@ def error_rates(members: DataFrame, supports: DataFrame, threshold: float = 0.8)
     segs = supports.groupBy("cid").agg(F.count_distinct("segment_id").alias("s"))
     split = size.join(segs, "cid").agg(F.avg(((F.col("n") >= 4) & (F.col("s") > 2 * F.col("n"))).cast("double")).alias("split_rate"))
     return n.crossJoin(sim).crossJoin(split).select("n_pairs", "n_alike", F.try_divide("n_alike", F.col("n_pairs")).alias("merge_rate"), "split_rate")
+
+
+def anonymise(voices: DataFrame, seed: int = 0) -> DataFrame:
+    """``segment_id, narrator`` with the narrators dealt anew over all slots: how often each speaks stays as it was.
+
+    Slots and labels are numbered exactly in two orders, by key and by hash, and joined by number.
+    """
+    from rungwork.operators.skew import number_rows
+
+    slots = voices.select(F.lit(1).alias("_all"), "segment_id", "narrator")
+    a = number_rows(slots, ["_all"], ["segment_id", "narrator"]).select("segment_id", "_pos")
+    dealt = slots.select("_all", "narrator", hash_order(seed, "segment_id", "narrator").alias("_h"))
+    b = number_rows(dealt, ["_all"], ["_h", "narrator"]).select("narrator", "_pos")
+    return a.join(b, "_pos").select("segment_id", "narrator")
+
+
+def triage_stability(members: DataFrame, rates: list[tuple[float, float]], draws: int = 3, k: int = 50, seed: int = 0) -> DataFrame:
+    """``cid, share``: in which share of all perturbed complexes a cell is among the ``k`` smallest."""
+    out = None
+    for i, (merge, split) in enumerate(rates):
+        for j in range(draws):
+            sizes = perturb(members, merge, split, seed + 100 * i + j).groupBy("cid").agg(F.count(F.lit(1)).alias("size"))
+            top = sizes.orderBy("size", "cid").limit(k).select("cid")
+            out = top if out is None else out.unionByName(top)
+    return out.groupBy("cid").agg((F.count(F.lit(1)) / (len(rates) * draws)).alias("share"))

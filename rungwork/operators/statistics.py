@@ -58,6 +58,21 @@ def paired_bootstrap(df: DataFrame, unit: str, a: str, b: str, draws: int = 200,
     return bootstrap_mean(df.withColumn("_d", F.col(a) - F.col(b)), unit, "_d", draws, seed)
 
 
+def difference_in_differences(df: DataFrame, unit: str, group: str, first: str, a: str, b: str, draws: int = 200, seed: int = 0) -> DataFrame:
+    """One row ``did, lo, hi``: mean of ``a - b`` in group ``first`` less that in all others, resampled over units.
+
+    A draw in which a side is empty counts for nothing.
+    """
+    d = F.col(a) - F.col(b)
+    one = F.col(group) == first
+    side = lambda c, f: F.sum(F.when(c, f))
+    u = df.filter(d.isNotNull()).groupBy(unit).agg(side(one, d).alias("s1"), side(one, F.lit(1)).alias("n1"), side(~one, d).alias("s0"), side(~one, F.lit(1)).alias("n0"))
+    r = u.withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(draws)))).withColumn("_w", F.when(F.col("_r") == 0, 1).otherwise(poisson_count(uniform_hash(seed, F.col("_r"), F.col(unit)))))
+    w = lambda c: F.sum(F.col("_w") * F.coalesce(F.col(c), F.lit(0)))
+    t = r.groupBy("_r").agg((F.try_divide(w("s1"), w("n1")) - F.try_divide(w("s0"), w("n0"))).alias("_d"))
+    return t.agg(F.max(F.when(F.col("_r") == 0, F.col("_d"))).alias("did"), F.expr("percentile(_d, 0.025) FILTER (WHERE _r > 0)").alias("lo"), F.expr("percentile(_d, 0.975) FILTER (WHERE _r > 0)").alias("hi"))
+
+
 def subsample_singletons(members: DataFrame, draws: int = 100, fraction: float = 0.632, z: float = 1.96, seed: int = 0) -> DataFrame:
     """One row ``point, se, lo, hi``: the share of cells with one member, with an interval by subsampling narrators.
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rungwork.functions import text as T
 from rungwork.operators import agreement as A
+from rungwork.operators import alignment as AL
 from rungwork.operators import complexes as C
 from rungwork.operators import corpus as K
 from rungwork.operators import graph as G
@@ -233,6 +234,37 @@ def clustering_scores(s, d):
     return _round(ST.clustering_scores(gold, system), *names)
 
 
+def ceaf(s, d):
+    seg = segments(s, d)
+    gold = K.mentions(seg).groupBy(F.col("segment_id").alias("item")).agg(F.max("term").alias("gold_id"))
+    system = K.mentions(seg).groupBy(F.col("segment_id").alias("item")).agg(F.max(K.referent(F.col("term"), 1)).alias("sys_id"))
+    return _round(AL.ceaf(gold, system), "precision", "recall", "total")
+
+
+def linkage_sweep(s, d):
+    """Average-linkage clusters within each label at several thresholds: clusters and the size of the largest."""
+    found = AL.cluster_by_similarity(_vectors(s, d), ["label"], "id", "vec", [0.3, 0.5, 0.7, 0.9])
+    sizes = found.groupBy("threshold", "label", "cluster").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.groupBy("threshold", "label").agg(F.count(F.lit(1)).alias("n_clusters"), F.max("n").alias("largest"))
+
+
+def role_length_did(s, d):
+    t = table(s, d, "turns").dropDuplicates(["turn_id"]).filter("narrator is not null and role_gold is not null")
+    return _round(ST.difference_in_differences(t.select("narrator", "role_gold", F.length("raw").alias("a"), F.lit(0).alias("b")), "narrator", "role_gold", "NARRATOR", "a", "b", 60), "did", "lo", "hi", digits=4)
+
+
+def anonymised_profile(s, d):
+    """Segments of each narrator before and after the narrators are dealt anew."""
+    v = K.voices(segments(s, d))
+    after = P.anonymise(v).groupBy("narrator").agg(F.count(F.lit(1)).alias("n_after"))
+    return v.groupBy("narrator").agg(F.count(F.lit(1)).alias("n_before")).join(after, "narrator", "full_outer")
+
+
+def triage_stability(s, d):
+    m = materialize(_mid(s, d)[1])
+    return _round(P.triage_stability(m, [(0.02, 0.02), (0.05, 0.1)], draws=2), "share")
+
+
 def stratified_sizes(s, d):
     sizes = complex_of(s, d)[1].sizes().filter("cell_rank = 2 and granularity = 'mid' and size >= 2")
     band = F.when(F.col("size") <= 3, "2-3").when(F.col("size") <= 10, "4-10").when(F.col("size") <= 50, "11-50").otherwise("51+")
@@ -384,7 +416,7 @@ def revenue_by_segment(s, d):
     return x.groupBy("r_name", "c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
 
 
-_FNS = (make_split, stored_splits, partition_incidences, split_straddle, exposure_law, training_pairs, negatives_uniform, negatives_size_matched, negatives_motif, negatives_clique, negatives_hard, retrieval_cosine, dense_pair_scores, link_auc, link_ranking, cell_retrieval_queries, rank_biased_overlap, jaccard_at, label_confusion, agreement_diagnostics, ordinal_alpha, dispute_kinds, design_effect, turn_length_bootstrap, singleton_interval, size_ks, violation_ratio, size_slope, clustering_scores, stratified_sizes, cowitness_graph, betti_curve, persistence, degree_profile, forman_curvature, hypergraph_laplacian, spectral_encoding, error_rates, perturbed_sizes, label_centroids, rank_features, message_passing, row_weights, identity_probe, clean_descriptions, turn_roles, turn_role_evaluation, transcript_headers, segment_marks_asof, document_quality, phrase_counts, near_duplicate_documents, event_numbers, term_ambiguity, revenue_by_segment)
+_FNS = (make_split, stored_splits, partition_incidences, split_straddle, exposure_law, training_pairs, negatives_uniform, negatives_size_matched, negatives_motif, negatives_clique, negatives_hard, retrieval_cosine, dense_pair_scores, link_auc, link_ranking, cell_retrieval_queries, rank_biased_overlap, jaccard_at, label_confusion, agreement_diagnostics, ordinal_alpha, dispute_kinds, design_effect, turn_length_bootstrap, singleton_interval, size_ks, violation_ratio, size_slope, clustering_scores, ceaf, linkage_sweep, role_length_did, anonymised_profile, triage_stability, stratified_sizes, cowitness_graph, betti_curve, persistence, degree_profile, forman_curvature, hypergraph_laplacian, spectral_encoding, error_rates, perturbed_sizes, label_centroids, rank_features, message_passing, row_weights, identity_probe, clean_descriptions, turn_roles, turn_role_evaluation, transcript_headers, segment_marks_asof, document_quality, phrase_counts, near_duplicate_documents, event_numbers, term_ambiguity, revenue_by_segment)
 QUERIES = {f.__name__: f for f in _FNS}
 
 _SPLIT = "SELECT {u} AS unit, CASE WHEN i < floor(0.7 * n) THEN 'train' WHEN i < floor(0.7 * n) + floor(0.15 * n) THEN 'val' ELSE 'test' END AS bucket FROM (SELECT {u}, row_number() OVER (ORDER BY md5('0|' || {u}), {u}) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT {u} FROM {t}))"
@@ -449,6 +481,7 @@ ORACLE = {
       p AS (SELECT s, any_value(ss.c) AS c, count(*) AS parts, sum(n * (n - 1) / 2) AS links, sum(n * n) AS sq, max((gs.c = 1)::INT) AS alone FROM o JOIN ss USING (s) JOIN gs USING (g) GROUP BY 1)
       SELECT """
     + ", ".join(f"(SELECT round(sum(c - parts) FILTER (c > 1) / sum(c - 1) FILTER (c > 1), 6) FROM {t}) AS muc_{x}, (SELECT round(sum(sq / c) / sum(c), 6) FROM {t}) AS b3_{x}, (SELECT round(sum(c * CASE WHEN c = 1 THEN alone ELSE links / (c * (c - 1) / 2) END) / sum(c), 6) FROM {t}) AS lea_{x}" for t, x in (("r", "recall"), ("p", "precision"))),
+    "anonymised_profile": f"WITH {SEG} SELECT narrator, count(*) AS n_before, count(*) AS n_after FROM voice GROUP BY 1",
     "stratified_sizes": f"WITH {MID} SELECT CASE WHEN size <= 3 THEN '2-3' WHEN size <= 10 THEN '4-10' WHEN size <= 50 THEN '11-50' ELSE '51+' END AS band, count(*) AS n, round(avg(n_segments), 6) AS segments_mean FROM s2 WHERE size >= 2 GROUP BY 1",
     "cowitness_graph": f"WITH {MID}, {_CW} SELECT * FROM cw",
     "betti_curve": f"""WITH RECURSIVE {MID}, {_CW}, top AS (SELECT least(25, max(size)) AS t FROM s2), ks AS (SELECT unnest(range(1, t + 1)) AS k FROM top), al AS (SELECT k, a, b FROM cw, ks WHERE max_size >= k), al2 AS (SELECT k, a, b FROM al UNION SELECT k, b, a FROM al),
