@@ -42,7 +42,7 @@ def strip_markup_keep(text: Column) -> Column:
 def header_names(text: Column, role: str) -> Column:
     """Names of a header line ``Role: a, b (primary) and c`` as an array."""
     line = F.regexp_replace(F.regexp_extract(text, rf"(?m)^{role}s?:\s*(.+)$", 1), r"\((primary|secondary|tertiary)\)", "")
-    return F.filter(F.transform(F.split(line, r"\s*,\s*|\s+and\s+"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(line, r"\s*,\s*|\s+and\s+"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def initials(name: Column) -> Column:
@@ -75,7 +75,7 @@ def quoted_numbers(text: Column) -> Column:
 
 def paragraphs(text: Column, least: int = 80) -> Column:
     """Stretches between blank lines of more than ``least`` characters."""
-    return F.filter(F.transform(F.split(text, r"\n\s*\n"), F.trim), lambda p: F.length(p) > least)
+    return F.filter(F.transform(F.split(text, r"\n\s*\n"), lambda p: F.trim(p)), lambda p: F.length(p) > least)
 
 
 def phrase_counts(text: Column, phrases: list[str]) -> Column:

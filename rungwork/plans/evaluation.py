@@ -509,3 +509,48 @@ ORACLE = {
       z AS (SELECT term, round(-coalesce((f - avg(f) OVER ()) / nullif(stddev_pop(f) OVER (), 0), 0) + coalesce((sib - avg(sib) OVER ()) / nullif(stddev_pop(sib) OVER (), 0), 0), 6) AS score FROM x) SELECT term, score, row_number() OVER (ORDER BY score DESC, term) <= greatest(1, count(*) OVER () // 10) AS flagged FROM z""",
     "revenue_by_segment": "SELECT r_name, c_mktsegment, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE l_returnflag = 'R' GROUP BY 1, 2",
 }
+
+_CURVE_WITH, _CURVE = ORACLE["betti_curve"].rsplit("\n      SELECT", 1)
+ORACLE["persistence"] = f"{_CURVE_WITH.rstrip()}, curve_ AS (SELECT{_CURVE}) " + " UNION ALL ".join(f"SELECT '{b}' AS curve, coalesce(sum(abs(v - p)), 0)::BIGINT AS variation, max(v) AS largest, coalesce(sum((v + p) / 2), 0)::DOUBLE AS area FROM (SELECT {b} AS v, lag({b}) OVER (ORDER BY k) AS p FROM curve_)" for b in ("beta0", "beta1"))
+
+
+def _phrases_sql() -> str:
+    phrases, left, counts = ("at the same time", "the same", "as a whole", "on the eve of the regatta"), "lower(text)", {}
+    for i in sorted(range(4), key=lambda i: -len(phrases[i])):
+        counts[i] = f"(length({left}) - length(replace({left}, '{phrases[i]}', ''))) // {len(phrases[i])}"
+        left = f"replace({left}, '{phrases[i]}', chr(1))"
+    return "SELECT " + ", ".join(f"sum({counts[i]})::BIGINT AS n{i}" for i in range(4)) + " FROM documents WHERE text IS NOT NULL"
+
+
+_NODES = r"""list_filter(list_transform(string_split(regexp_replace(html, '<[a-zA-Z/][^>]*>', chr(10), 'g'), chr(10)), lambda x: trim(regexp_replace(replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '[\s\x{00A0}]+', ' ', 'g'))), lambda x: x <> '')"""
+_HEAD = r"list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_extract(t, '(?m)^%ss?:\s*(.+)$', 1), '\((primary|secondary|tertiary)\)', '', 'g'), '\s*,\s*|\s+and\s+'), lambda x: trim(x)), lambda x: x <> '')"
+_INITIALS = r"upper(array_to_string(list_transform(list_filter(regexp_split_to_array(x, '[\s.]+'), lambda w: w <> '')[1:3], lambda w: w[1]), ''))"
+_PLACE = "(('0x' || substr(md5({}), 1, 12))::BIGINT::DOUBLE / 281474976710656.0)"
+
+
+def _poisson_sql(place: str) -> str:
+    import math
+
+    out, cum = "CASE", 0.0
+    for k in range(8):
+        cum += math.exp(-1) / math.factorial(k)
+        out += f" WHEN {place} < {cum!r} THEN {k}"
+    return out + " ELSE 8 END"
+
+
+ORACLE |= {
+    "phrase_counts": _phrases_sql(),
+    "transcript_headers": f"WITH x AS (SELECT DISTINCT interview_id, array_to_string({_NODES}, chr(10)) AS t FROM transcripts WHERE chunk_no = 1), h AS (SELECT interview_id, {_HEAD % 'Narrator'} AS n, {_HEAD % 'Interviewer'} AS i FROM x) SELECT interview_id, array_to_string(n, '|') AS narrators, array_to_string(i, '|') AS interviewers, array_to_string(list_transform(n, lambda x: {_INITIALS}), '|') AS tags FROM h",
+    "turn_length_bootstrap": f"""WITH {_TURN}, u AS (SELECT narrator, sum(length(raw)) AS s, count(raw) AS n FROM t WHERE narrator IS NOT NULL AND raw IS NOT NULL GROUP BY 1),
+      w AS (SELECT r, s, n, {_poisson_sql(_PLACE.format("'0|' || r || '|' || narrator"))} AS w FROM u, (SELECT unnest(range(1, 61)) AS r)), m AS (SELECT r, sum(w * s) / nullif(sum(w * n), 0) AS m FROM w GROUP BY 1)
+      SELECT (SELECT round(sum(s) / sum(n), 4) FROM u) AS mean, round(quantile_cont(m, 0.025), 4) AS lo, round(quantile_cont(m, 0.975), 4) AS hi, round(stddev_samp(m), 4) AS se FROM m""",
+    "perturbed_sizes": f"""WITH {MID}, c AS (SELECT cid, row_number() OVER (ORDER BY md5('0|' || cid), cid) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT cid FROM m2)), gg AS (SELECT cid, CASE WHEN i < 2 * floor(0.05 * n + 0.5) THEN i // 2 END AS g FROM c),
+      nm AS (SELECT cid, CASE WHEN g IS NULL THEN cid ELSE min(cid) OVER (PARTITION BY g) END AS new FROM gg), af AS (SELECT DISTINCT new AS cid, narrator FROM m2 JOIN nm USING (cid)), sz AS (SELECT cid, count(*) AS s FROM af GROUP BY 1),
+      ct AS (SELECT cid FROM (SELECT cid, row_number() OVER (ORDER BY md5('1|' || cid), cid) AS j FROM sz WHERE s >= 2) WHERE j <= floor(0.1 * (SELECT count(*) FROM sz) + 0.5)),
+      k AS (SELECT af.cid, ct.cid IS NOT NULL AS cut, row_number() OVER (PARTITION BY af.cid ORDER BY md5('2|' || af.cid || '|' || narrator), narrator) AS k, count(*) OVER (PARTITION BY af.cid) AS s FROM af LEFT JOIN ct ON ct.cid = af.cid)
+      SELECT CASE WHEN cut AND 2 * k > s THEN cid || '#2' ELSE cid END AS cid, count(*) AS size FROM k GROUP BY 1""",
+    "role_length_did": f"""WITH {_TURN}, u AS (SELECT narrator, sum(length(raw)) FILTER (role_gold = 'NARRATOR') AS s1, count(raw) FILTER (role_gold = 'NARRATOR') AS n1, sum(length(raw)) FILTER (role_gold <> 'NARRATOR') AS s0, count(raw) FILTER (role_gold <> 'NARRATOR') AS n0 FROM t WHERE narrator IS NOT NULL AND role_gold IS NOT NULL AND raw IS NOT NULL GROUP BY 1),
+      w AS (SELECT r, u.*, CASE WHEN r = 0 THEN 1 ELSE {_poisson_sql(_PLACE.format("'0|' || r || '|' || narrator"))} END AS w FROM u, (SELECT unnest(range(0, 61)) AS r)),
+      d AS (SELECT r, sum(w * coalesce(s1, 0)) / nullif(sum(w * n1), 0) - sum(w * coalesce(s0, 0)) / nullif(sum(w * n0), 0) AS d FROM w GROUP BY 1)
+      SELECT round(max(d) FILTER (r = 0), 4) AS did, round(quantile_cont(d, 0.025) FILTER (r > 0), 4) AS lo, round(quantile_cont(d, 0.975) FILTER (r > 0), 4) AS hi FROM d""",
+}
