@@ -95,9 +95,10 @@ class Lexicon:
             return 0, False, [0.0] * len(FEATURES)
         r, size, flags = self.rarity[ids], self.length[ids], self.flags[ids].mean(axis=0)
         top = np.sort(r)[-max(1, n // 5) :]
+        n_words = len(low.split())  # numbers count, too
         values = [r.mean(), (r > 3.5).mean(), size.mean(), (size >= 7).mean(), (size >= 11).mean(), len(np.unique(ids)) / np.sqrt(2 * n), flags[2], flags[3], flags[4], low.count(",") / n, np.log(n), r.std(), size.std(), top.mean()]
         english = bool(flags[0] >= 0.12 and flags[0] > flags[1])
-        return n, english, [float(v) for v in values]
+        return n_words, english, [float(v) for v in values]
 
 
 def document_features(docs: DataFrame) -> DataFrame:
