@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rungwork.session import spread, table
+from rungwork.session import materialize, spread, table
 
 #: Share of all words from which a word is known to the vocabulary; it holds at most one over it.
 KNOWN_SHARE = 5e-7
@@ -292,7 +292,7 @@ def word_classes(texts: DataFrame, places: DataFrame) -> dict[str, str]:
     inside = F.transform(F.regexp_extract_all(plain, F.lit(r"(?<=[\p{Ll},;] )\p{Lu}\p{L}+"), F.lit(0)), lambda w: F.struct(w.alias("w"), F.lit(1).alias("inside")))
     seen = texts.select(F.explode(F.concat(every, inside)).alias("x")).select("x.w", "x.inside").filter(F.length("w") > 1)
     word = F.lower("w")
-    stats = seen.groupBy(word.alias("word")).agg(F.count_if(F.col("inside") == 0).alias("n"), F.count_if((F.col("inside") == 0) & (F.col("w") == word)).alias("low"), F.sum("inside").alias("mid"))
+    stats = materialize(seen.groupBy(word.alias("word")).agg(F.count_if(F.col("inside") == 0).alias("n"), F.count_if((F.col("inside") == 0) & (F.col("w") == word)).alias("low"), F.sum("inside").alias("mid")))
     total = stats.agg(F.sum("n").alias("_total"))
     kept = stats.join(F.broadcast(total)).filter(F.col("n") >= KNOWN_SHARE * F.col("_total"))
     kind = (
