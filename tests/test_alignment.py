@@ -52,3 +52,29 @@ def test_anonymise_keeps_slots_and_did_is_exact(spark):
     r = ST.difference_in_differences(df, "u", "g", "x", "a", "b", 20).first()
     assert (r["did"], r["lo"], r["hi"]) == (3.0, 3.0, 3.0)
     assert spark.range(1).select(AL.title_similarity(F.lit("abc"), F.lit("abd")).alias("r")).first()["r"] > 0.6
+
+
+def test_large_groups_are_clustered_as_small_ones(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(90, 4))
+    x[60:] = x[0]  # a third are copies
+    df = spark.createDataFrame([(i, i % 2 if i < 60 else 0, [float(v) for v in r]) for i, r in enumerate(x)], "id int, label int, vec array<double>")
+    want = rows_of(AL.cluster_by_similarity(df, ["label"], "id", "vec", [0.1, 0.4, 0.9]))
+    assert rows_of(AL.cluster_by_similarity(df, ["label"], "id", "vec", [0.1, 0.4, 0.9], most=12)) == want and len(want) == 270
+
+
+def test_many_clusters_are_aligned_by_component(spark):
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        g = np.round(rng.random(rng.integers(1, 7, 2)), 2)
+        g[rng.random(g.shape) < 0.5] = 0
+        pairs = [(int(i), int(j), float(g[i, j])) for i, j in np.argwhere(g > 0)]
+        assert math.isclose(AL.sparse_total(pairs), sum(g[i, j] for i, j in AL.assign(g)), abs_tol=1e-9)
+    both = spark.createDataFrame([(i, int(a), int(b)) for i, (a, b) in enumerate(rng.integers(0, 12, (60, 2)))], "item int, gold_id int, sys_id int")
+    want = AL.ceaf(both.select("item", "gold_id"), both.select("item", "sys_id")).first()
+    got = AL.ceaf(both.select("item", "gold_id"), both.select("item", "sys_id"), most=3).first()
+    assert math.isclose(got["total"], want["total"]) and math.isclose(got["recall"], want["recall"])
+
+
+def rows_of(df):
+    return sorted(map(tuple, df.collect()))
