@@ -19,7 +19,7 @@ WINDOW, EDITS = 20, 2
 WALKS, SAMPLES, COORDINATES, STEPS = 4, 8, 6, 2 * WINDOW
 #: Most passage words that are sent to the executors at once; more are taken in blocks, each against all documents.
 BLOCK_WORDS = 500_000
-#: A sentence that so many items share is an instruction.
+#: A sentence before or after so many different passages is an instruction.
 SHARED = 3
 #: Characters of text that are worked on at once.
 CHARS = 2_000_000
@@ -37,21 +37,40 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(_LAYOUT.sub(" ", _PARTED.sub("", _TAG.sub(" ", text))).lower()) if text else []
 
 
+def _long_first(sents: Column) -> Column:
+    """The distinct sentences that are no questions, in lower case and by falling number of words, as ``n, s``."""
+    plain = F.array_distinct(F.transform(F.filter(sents, lambda s: ~s.endswith("?")), lambda s: F.lower(s)))
+    return F.sort_array(F.transform(plain, lambda s: F.struct((-F.size(F.split(s, r"\s+"))).alias("n"), s.alias("s"))))
+
+
+def instructions(texts: DataFrame) -> DataFrame:
+    """``_key``: sentences that stand beside at least ``SHARED`` different passages; ``texts`` has ``sents``.
+
+    A passage is known by its two longest sentences, the second if it is at least half as long, and both must differ:
+    items that reuse one passage, or copies of it with a sentence changed, count once. The longest sentence of a text is
+    no instruction there.
+    """
+    distinct = texts.select(_long_first(F.col("sents")).alias("a")).distinct()
+    each = distinct.select("a", F.posexplode("a").alias("i", "x")).filter("i > 0")
+    one, two = F.col("a")[0], F.get(F.filter("a", lambda y: y["s"] != F.col("x")["s"]), F.lit(1))
+    second = F.when(2 * two["n"] <= one["n"], two["s"]).otherwise(one["s"])
+    spread_ = each.groupBy(F.col("x")["s"].alias("_key")).agg(F.count_distinct(one["s"]).alias("_p"), F.count_distinct(second).alias("_q"))
+    return spread_.filter(F.least("_p", "_q") >= SHARED).select("_key")
+
+
 def passages(items: DataFrame) -> DataFrame:
-    """``item_id, passage``: the stretches of each item that are neither instructions nor questions.
+    """``item_id, passage``: the text of each item without the instructions and questions before and after it.
 
-    A sentence that ends in a question mark is a question; one that several items share is an instruction. Stretches
-    of fewer words than a window are left out, and items with NULL id or text.
+    A sentence that ends in a question mark is a question; for instructions see :func:`instructions`. Inside a passage
+    both are part of it. Items with NULL id or text are left out, and those of nothing else.
     """
-    parts = items.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", F.posexplode(F.split("text", r"(?<=[.!?:])\s+|\n+")).alias("i", "s")).distinct()
-    key = F.lower(F.trim(F.col("s")))
-    shared = parts.groupBy(key.alias("_key")).agg(F.count_distinct("item_id").alias("_n")).filter(F.col("_n") >= SHARED).select("_key")
-    told = parts.withColumn("_key", key).join(shared.withColumn("_told", F.lit(True)), "_key", "left")
-    out = told.withColumn("_cut", (F.coalesce("_told", F.lit(False)) | F.trim("s").endswith("?") | (F.trim("s") == "")).cast("int"))
-    whole = out.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("i", "_cut", "s"))).alias("a"))
-    # a cut sentence leaves a form feed, at which the stretches part
-    joined = F.array_join(F.transform("a", lambda x: F.when(x["_cut"] == 1, F.lit("\f")).otherwise(x["s"])), " ")
-    return whole.select("item_id", F.explode(F.split(joined, "\f")).alias("passage"))
+    cut = F.filter(F.transform(F.split("text", r"(?<=[.!?:])\s+|\n+"), lambda s: F.trim(s)), lambda s: s != "")
+    texts = items.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", cut.alias("sents")).distinct()
+    told = instructions(texts).withColumn("_told", F.lit(True))
+    parts = texts.select("item_id", "sents", F.posexplode("sents").alias("i", "s")).withColumn("_key", F.lower("s")).join(told, "_key", "left")
+    own = F.when(~(F.coalesce("_told", F.lit(False)) | F.col("s").endswith("?")), F.col("i"))
+    ends = parts.groupBy("item_id", "sents").agg(F.min(own).alias("_a"), F.max(own).alias("_z")).filter("_a is not null")
+    return ends.select("item_id", F.array_join(F.slice("sents", F.col("_a") + 1, F.col("_z") - F.col("_a") + 1), " ").alias("passage"))
 
 
 @dataclass

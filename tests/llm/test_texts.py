@@ -136,3 +136,19 @@ def test_stock_sentences_share(spark):
     texts = spark.createDataFrame([([f"one two three four five six {i}", "this is the stock sentence here now"],) for i in range(30)], "sents array<string>")
     assert O.stock_sentences(texts).first()["stock"] == ["this is the stock sentence here now"]
     assert texts.select(F.size("sents")).count() == 30
+
+
+def test_items_that_share_a_passage_keep_it(spark):
+    told = "Read the passage and answer the question below."
+    own = [" ".join(sentence() for _ in range(3)) for _ in range(4)]
+    body = [sentence(), sentence(), "And what could we do then?", sentence()]
+    reused = " ".join(body)
+    data = [(i, f"{told} {p} What is it about?") for i, p in enumerate(own)]
+    data += [(10 + i, f"{told} {reused} Which is number {i}?") for i in range(6)]
+    changed = [f"{body[0]} {body[1]} {' '.join(body[2:])}".replace(body[1], sentence(18)) for _ in range(4)]
+    data += [(20 + i, f"{told} {p}") for i, p in enumerate(changed)]
+    items = spark.createDataFrame(data, "item_id long, text string")
+    want = dict(enumerate(own)) | {10 + i: reused for i in range(6)} | {20 + i: p for i, p in enumerate(changed)}
+    assert dict(rows(L.passages(items).select("item_id", "passage"))) == want
+    docs = spark.createDataFrame([(1, reused)], "doc_id long, text string")
+    assert {(1, 10 + i) for i in range(6)} <= set(rows(L.leaks(docs, items)))
