@@ -33,10 +33,12 @@ def sentences(text: Column) -> Column:
 def stock_sentences(texts: DataFrame) -> DataFrame:
     """One row with ``stock``, the sentences that are added to many texts; ``texts`` has ``sents``.
 
-    A text holds a bounded number of sentences, so at most that number divided by the share can be stock.
+    Texts of the same set of sentences count once, however often they are copied. A text holds a bounded number of
+    sentences, so at most that number divided by the share can be stock.
     """
+    texts = materialize(texts.groupBy(F.array_sort(F.array_distinct("sents")).alias("_set")).agg(F.min("sents").alias("sents")).drop("_set"))
     n = texts.agg(F.count(F.lit(1)).alias("_n"))
-    each = texts.select("sents", F.posexplode("sents").alias("_i", "s")).filter(F.size(F.split("s", " ")) >= STOCK_WORDS)
+    each = texts.select("sents", F.posexplode("sents").alias("_i", "s")).filter((F.size(F.split("s", " ")) >= STOCK_WORDS) & (F.expr("array_position(sents, s)") == F.col("_i") + 1))
     beside = F.xxhash64(F.coalesce(F.get("sents", F.col("_i") - 1), F.get("sents", F.col("_i") + 1), F.lit("")))
     seen = each.groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.approx_count_distinct(beside, 0.02).alias("d"))
     often = seen.join(F.broadcast(n), F.col("c") >= F.greatest(F.lit(STOCK_LEAST), STOCK_SHARE * F.col("_n"))).filter(F.col("d") >= STOCK_SPREAD * F.col("c"))

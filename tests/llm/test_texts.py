@@ -152,3 +152,10 @@ def test_items_that_share_a_passage_keep_it(spark):
     assert dict(rows(L.passages(items).select("item_id", "passage"))) == want
     docs = spark.createDataFrame([(1, reused)], "doc_id long, text string")
     assert {(1, 10 + i) for i in range(6)} <= set(rows(L.leaks(docs, items)))
+
+
+def test_copies_do_not_hide_a_stock_sentence(spark):
+    stock = "this is the stock sentence here now"
+    copy = ["alpha beta gamma delta epsilon zeta", stock]
+    data = [(copy,)] * 50 + [([f"one two three four five six {i}", stock],) for i in range(15)] + [([f"seven eight nine ten eleven twelve {i}"],) for i in range(85)]
+    assert O.stock_sentences(spark.createDataFrame(data, "sents array<string>")).first()["stock"] == [stock]
