@@ -16,8 +16,8 @@ from rungwork.session import materialize, spread, table
 
 #: Share of all words from which a word is known to the vocabulary; it holds at most one over it.
 KNOWN_SHARE = 5e-7
-#: A capitalised word of this share, and of so many occurrences, is a place, house or street and no name.
-PLACE_SHARE, PLACE_LEAST = 1e-4, 10
+#: A word of so many occurrences is a place, house or street if so many of its capitalised ones follow a word of place.
+PLACE_LEAST, PLACED = 10, 0.15
 #: Share of its occurrences in lower case from which a word is ordinary, and within a sentence from which it is a name.
 ORDINARY, INSIDE = 0.6, 0.2
 
@@ -51,6 +51,9 @@ _PHONE = re.compile(
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _SUFFIX = re.compile(r"['’][sS]$")
 _TITLES = frozenset("mr mrs ms miss dr doctor captain capt reverend rev professor prof sergeant sgt lieutenant judge sir madam".split())
+#: Answers and calls, which open sentences and also stand within them.
+_ANSWERS = ("no", "yes", "oh", "well", "okay", "yeah")
+_SHORT = frozenset("mr mrs ms dr capt rev prof sgt".split())
 
 
 def pii_kinds() -> tuple[str, ...]:
@@ -102,11 +105,12 @@ def _name_spans(text: str, classes: dict[str, str]) -> list[tuple[int, int]]:
     def gap(k: int) -> str:
         return text[toks[k][1] : toks[k + 1][0]] if k + 1 < n else "\0"
 
-    def name(k: int, lower: bool) -> bool:
+    def name(k: int, lower: bool, sure: tuple[str, ...] = ()) -> bool:
+        """Whether a word may be of a name; ``sure`` has the classes that don't count against a capitalised one."""
         if k >= n:
             return False
         _, _, w, kind, _ = toks[k]
-        if kind in (ORDINARY_WORD, PLACE_WORD, OPENER) or len(w) < 2:
+        if kind in (ORDINARY_WORD, PLACE_WORD, OPENER) and not (kind in sure and w[0].isupper() and w.lower() not in _TITLES) or len(w) < 2:
             return False
         return lower or w[0].isupper()
 
@@ -121,7 +125,10 @@ def _name_spans(text: str, classes: dict[str, str]) -> list[tuple[int, int]]:
             while initial(k):
                 k += 1
             last = None
-            while name(k, lower) and (last is None or (gap(k - 1) == " " and not toks[k - 1][4])):
+            # "the doctor. The box" has a title at the end of a sentence
+            told = (ORDINARY_WORD, PLACE_WORD, OPENER) if "." not in gap(i) or w.lower() in _SHORT else ()
+            told = (PLACE_WORD,) if k > first else told
+            while name(k, lower, told if last is None else ()) and (last is None or (gap(k - 1) == " " and not toks[k - 1][4])):
                 last, k = k, k + 1
                 if initial(k):
                     k += 1
@@ -135,7 +142,7 @@ def _name_spans(text: str, classes: dict[str, str]) -> list[tuple[int, int]]:
             k = i
             while initial(k):
                 k += 1
-            if name(k, w.islower()) and (w.isupper() or toks[k][3] == NAME_WORD or toks[k][3] is None):
+            if name(k, w.islower(), (PLACE_WORD,)) and (w.isupper() or toks[k][3] == NAME_WORD or toks[k][3] is None):
                 spans.append((start, toks[k][1]))
                 i = k + 1
                 continue
@@ -146,7 +153,7 @@ def _name_spans(text: str, classes: dict[str, str]) -> list[tuple[int, int]]:
             if gap(i) == " ":
                 while initial(k) and gap(k - 1) in (" ", ". "):
                     k += 1
-                while name(k, lower) and gap(k - 1) in (" ", ". ") and (lower or toks[k][2][0].isupper()):
+                while name(k, lower, (PLACE_WORD,) if k > i + 1 and last is None else ()) and gap(k - 1) in (" ", ". ") and (lower or toks[k][2][0].isupper()):
                     last, k = k, k + 1
                     if toks[last][4] or k - i > 4 or gap(last) != " ":
                         break
@@ -284,20 +291,24 @@ def records(turns: DataFrame, segments: DataFrame) -> DataFrame:
 def word_classes(texts: DataFrame, places: DataFrame) -> dict[str, str]:
     """Classes of the words that hold at least ``KNOWN_SHARE`` of all words, so at most ``1 / KNOWN_SHARE`` of them.
 
-    A word that is often in lower case is ordinary; one always capitalised and common, or in the gazetteer ``places``
-    (``word``), is part of a place; one capitalised only where sentences begin opens sentences; others are names.
+    A word that is often in lower case is ordinary; one often within capitalised words after a word of place ("at",
+    "near", "the"), or in the gazetteer ``places`` (``word``), is part of a place; one capitalised only where sentences
+    begin opens sentences; others are names. Equal texts count once, so copies make no word common.
     """
     plain = F.regexp_replace(F.regexp_replace("text", r"\S*[@\d]\S*", " "), r"['’][sS]\b", "")
     every = F.transform(F.regexp_extract_all(plain, F.lit(r"\p{L}+"), F.lit(0)), lambda w: F.struct(w.alias("w"), F.lit(0).alias("inside")))
+    runs = F.regexp_extract_all(plain, F.lit(r"(?<=\b(?:at|in|near|the) )\p{Lu}\p{L}+(?: \p{Lu}\p{L}+){0,2}"), F.lit(0))
+    placed = F.transform(F.flatten(F.transform(runs, lambda r: F.split(r, " "))), lambda w: F.struct(w.alias("w"), F.lit(2).alias("inside")))
     inside = F.transform(F.regexp_extract_all(plain, F.lit(r"(?<=[\p{Ll},;] )\p{Lu}\p{L}+"), F.lit(0)), lambda w: F.struct(w.alias("w"), F.lit(1).alias("inside")))
-    seen = texts.select(F.explode(F.concat(every, inside)).alias("x")).select("x.w", "x.inside").filter(F.length("w") > 1)
+    seen = texts.select("text").distinct().select(F.explode(F.concat(every, inside, placed)).alias("x")).select("x.w", "x.inside").filter(F.length("w") > 1)
     word = F.lower("w")
-    stats = materialize(seen.groupBy(word.alias("word")).agg(F.count_if(F.col("inside") == 0).alias("n"), F.count_if((F.col("inside") == 0) & (F.col("w") == word)).alias("low"), F.sum("inside").alias("mid")))
+    stats = materialize(seen.groupBy(word.alias("word")).agg(F.count_if(F.col("inside") == 0).alias("n"), F.count_if((F.col("inside") == 0) & (F.col("w") == word)).alias("low"), F.count_if(F.col("inside") == 1).alias("mid"), F.count_if(F.col("inside") == 2).alias("placed")))
     total = stats.agg(F.sum("n").alias("_total"))
     kept = stats.join(F.broadcast(total)).filter(F.col("n") >= KNOWN_SHARE * F.col("_total"))
     kind = (
         F.when(F.col("low") >= ORDINARY * F.col("n"), ORDINARY_WORD)
-        .when((F.col("n") >= PLACE_SHARE * F.col("_total")) & (F.col("n") >= PLACE_LEAST), PLACE_WORD)
+        .when(F.col("word").isin(*_ANSWERS), OPENER)
+        .when((F.col("n") >= PLACE_LEAST) & (F.col("placed") >= PLACED * (F.col("n") - F.col("low"))), PLACE_WORD)
         .when((F.col("n") >= 5) & (F.col("mid") < INSIDE * (F.col("n") - F.col("low"))), OPENER)
         .otherwise(NAME_WORD)
     )

@@ -63,3 +63,17 @@ def test_tables_with_nulls_repeats_and_clashing_columns(spark):
 def test_very_long_text():
     text = "the box had cards. " * 20000 + "Call 415-555-0113."
     assert [k for k, _, _ in P.find(text, CLASSES, ENDS)] == ["phone"]
+
+
+def test_common_and_copied_names_stay_names(spark):
+    copied = [("We saw Joris Stisura on the barge, and Joris Stisura saw us.",)] * 60
+    common = [(f"She met Ashina Libova again on day {i}, word{i} and other{i}.",) for i in range(40)]
+    place = [(f"We worked at Gull Mission and at Tarn Hall in year {i}.",) for i in range(40)]
+    got = P.word_classes(spark.createDataFrame(copied + common + place, "text string"), spark.createDataFrame([], "word string"))
+    assert [got.get(w) for w in ("joris", "stisura", "ashina", "libova")] == ["n"] * 4
+    assert [got.get(w) for w in ("gull", "mission", "tarn", "hall")] == ["f"] * 4
+
+
+def test_no_class_of_place_vetoes_after_title_or_initials():
+    assert kinds("We met Mrs. Heron and Captain Mission and J. T. Heron.") == [("name", "Heron"), ("name", "Mission"), ("name", "J. T. Heron")]
+    assert kinds("We went to the doctor. The box was at Heron Point.") == []
