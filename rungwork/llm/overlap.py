@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,10 +19,17 @@ EDITS, LEAST_WORDS = 0.24, 12
 STOCK_WORDS, STOCK_SHARE, STOCK_LEAST = 6, 0.005, 5
 #: Share of a stock sentence's neighbours that must differ, so that copies of one text make none of its sentences stock.
 STOCK_SPREAD = 0.8
-#: Words of a segment and distance between cuts, for long texts and for texts of at most SHORT words.
-LONG_CUT, SHORT_CUT, SHORT = (8, 4), (6, 1), 32
-#: Share of its distinct words that a text must have in common with another to be compared with it.
-BAG = 0.55
+#: Words of a segment: a cut of a text into one more segment than edits has segments of about 1 / EDITS words.
+LENGTHS = (1, 2, 3, 4)
+#: Words of a text within which its share of the segments is chosen.
+BLOCK = 64
+#: Bits of a segment's place in the table of frequencies and in the map of the keys that are looked for; both are fixed.
+FREQUENCY_BITS, MAP_BITS = 18, 26
+#: Cells of a comparison's table from which its rows are computed in numpy.
+LONG = 50_000
+#: Numbers of 64 bits that hold a text's marks.
+MARKS = 2
+_EVAL = 0x5851F42D4C957F2D
 
 
 def sentences(text: Column) -> Column:
@@ -65,26 +74,180 @@ def text_classes(segments: DataFrame, splits: DataFrame) -> DataFrame:
     return kept.join(random, "segment_id").withColumn("text_id", F.md5(F.array_join(F.array_sort("sents"), " ")))
 
 
-def _grams(words: Column, width: int, step: int) -> Column:
-    at = F.sequence(F.lit(0), F.size(words) - width, F.lit(step))
-    return F.when(F.size(words) >= width, F.transform(at, lambda i: F.xxhash64(F.lit(width), F.array_join(F.slice(words, i + 1, width), " "))))
-
-
-def _marks(words: str) -> list[Column]:
-    """The distinct words of a text as 256 marks in four numbers, ``m0`` to ``m3``."""
-    hashes = f"transform(array_distinct({words}), x -> xxhash64(x))"
-    return [F.expr(f"aggregate({hashes}, 0L, (acc, h) -> if(pmod(shiftright(h, 6), 4) = {g}, acc | shiftleft(1L, cast(pmod(h, 64) as int)), acc))").alias(f"m{g}") for g in range(4)]
-
+def most_edits(n: int) -> int:
+    """Words that may differ between two texts of which the longer has ``n`` words."""
+    return int(EDITS * n)
+
+
+class _Texts:
+    """The texts of a batch as one row of word hashes; ``df`` has ``id, h`` (hashes) and ``sl`` (words of sentences)."""
+
+    def __init__(self, df: pd.DataFrame) -> None:
+        self.id = df["id"].to_numpy()
+        self.n = np.array([len(x) for x in df["h"]], dtype=np.int64)
+        self.h = np.concatenate([*df["h"], np.zeros(max(LENGTHS), np.int64)]).astype(np.int64).view(np.uint64)
+        self.first = np.cumsum(self.n) - self.n
+        self.doc = np.repeat(np.arange(len(self.n)), self.n)
+        size = int(self.n.sum())
+        self.pos = np.arange(size) - self.first[self.doc]
+        self.left = self.n[self.doc] - self.pos  # words from here to the end of the text
+        sl = np.concatenate([*df["sl"]]).astype(np.int64)
+        self.s_len = np.repeat(sl, sl)
+        self.s_pos = np.arange(size) - np.repeat(np.cumsum(sl) - sl, sl)
+
+    def keys(self, length: int) -> np.ndarray:
+        """Hash of the ``length`` words from each place on; those that go over the end of a text mean nothing."""
+        size = len(self.pos)
+        with np.errstate(over="ignore"):
+            acc = np.full(size, length * 0x9E3779B97F4A7C15 & (1 << 64) - 1, dtype=np.uint64)
+            for j in range(length):
+                acc = (acc ^ self.h[j : j + size]) * np.uint64(0xBF58476D1CE4E5B9)
+                acc ^= acc >> np.uint64(31)
+        return acc
+
+    def marks(self) -> np.ndarray:
+        """Parity marks of each text's words, a word's second and later occurrences as words of their own.
+
+        Two texts that differ by ``d`` words, counted with their occurrences, differ in at most ``d`` marks.
+        """
+        h = self.h[: len(self.pos)]
+        order = np.lexsort((self.pos, h, self.doc))
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (np.diff(self.doc[order]) != 0) | (h[order][1:] != h[order][:-1])
+        at = np.arange(len(order))
+        nth = at - np.maximum.accumulate(np.where(new, at, 0))
+        with np.errstate(over="ignore"):
+            x = (h[order] + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(29)
+        out = np.zeros((len(self.n), MARKS), dtype=np.uint64)
+        np.bitwise_xor.at(out, (self.doc[order], (x >> np.uint64(40)).astype(np.int64) % MARKS), np.uint64(1) << (x & np.uint64(63)))
+        return out.view(np.int64)
+
+
+def _frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    total = np.zeros(1 << FREQUENCY_BITS, dtype=np.int64)
+    for df in batches:
+        if len(df):
+            t = _Texts(df)
+            for n in LENGTHS:
+                total += np.bincount((t.keys(n)[t.left >= n] >> np.uint64(64 - FREQUENCY_BITS)).astype(np.int64), minlength=len(total))
+    at = np.nonzero(total)[0]
+    yield pd.DataFrame({"at": at, "c": total[at]})
 
-def _common_marks(a: str, b: str) -> Column:
-    """Whether two texts' marks have the share ``BAG`` in common."""
 
-    def count(cols: list[Column]) -> Column:
-        return sum((F.bit_count(c) for c in cols[1:]), F.bit_count(cols[0]))
+def rare_segments(cost: np.ndarray, room: np.ndarray, wanted: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """``(block, place, length)`` of disjoint segments of blocks of words, of least total cost.
 
-    ma, mb = ([F.col(f"{x}{g}") for g in range(4)] for x in (a, b))
-    both = count([x.bitwiseAND(y) for x, y in zip(ma, mb, strict=True)])
-    return both >= BAG * F.greatest(count(ma), count(mb))
+    ``cost`` is that of a segment by block, place and length, ``room`` the words from each place to the end of its
+    sentence or block, ``wanted`` the number of segments of each block.
+    """
+    blocks, size, _ = cost.shape
+    most, far = int(wanted.max(initial=0)), np.float32(1e18)
+    best = np.full((size + 1, blocks, most + 1), far, dtype=np.float32)
+    best[:, :, 0] = 0
+    took = np.zeros((size, blocks, most + 1), dtype=np.int8)
+    for i in range(size - 1, -1, -1):  # from place i on, the least cost of so many segments
+        now = best[i + 1].copy()
+        for at, n in enumerate(LENGTHS):
+            if i + n > size:
+                continue
+            c = np.where(room[:, i] >= n, cost[:, i, at], far)[:, None] + best[i + n][:, :-1]
+            less = c < now[:, 1:]
+            now[:, 1:] = np.where(less, c, now[:, 1:])
+            took[i][:, 1:] = np.where(less, np.int8(n), took[i][:, 1:])
+        best[i] = now
+    at, left, every, out = np.zeros(blocks, np.int64), wanted.astype(np.int64), np.arange(blocks), []
+    for _ in range(size):
+        open_ = at < size
+        n = np.where(open_, took[np.minimum(at, size - 1), every, left], 0)
+        for length in LENGTHS:
+            b = np.nonzero(n == length)[0]
+            if len(b):
+                out.append((b, at[b], length))
+        left -= n > 0
+        at += np.maximum(n, 1)
+        if not left.any():
+            break
+    return out
+
+
+def cut(t: _Texts, frequency: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(place, length, key)`` of the segments of each text: one more than the edits allowed, disjoint, within sentences.
+
+    An edit breaks one segment at most and moving sentences none, so a text of no more words within the edits holds one
+    of them. The segments are the rarest such by dynamic programming over blocks of words, each with its share of them.
+    """
+    n_blocks = -(-t.n // BLOCK)
+    k1 = np.array([most_edits(int(n)) + 1 for n in t.n], dtype=np.int64)
+    doc = np.repeat(np.arange(len(t.n)), n_blocks)
+    nth = np.arange(len(doc)) - np.repeat(np.cumsum(n_blocks) - n_blocks, n_blocks)
+    begin, end = nth * t.n[doc] // n_blocks[doc], (nth + 1) * t.n[doc] // n_blocks[doc]
+    wanted = (nth + 1) * k1[doc] // n_blocks[doc] - nth * k1[doc] // n_blocks[doc]
+    every = [t.keys(n) for n in LENGTHS]
+    places, lengths, keys = [], [], []
+    for a in range(0, len(doc), 4096):
+        d, b, e = doc[a : a + 4096], begin[a : a + 4096], end[a : a + 4096]
+        inside = np.arange(BLOCK)[None, :]
+        flat = np.minimum(t.first[d][:, None] + b[:, None] + inside, len(t.pos) - 1)
+        room = np.minimum((t.s_len - t.s_pos)[flat], (e - b)[:, None] - inside)
+        cost = np.stack([frequency[(k[flat] >> np.uint64(64 - FREQUENCY_BITS)).astype(np.int64)] for k in every], axis=2).astype(np.float32)
+        for block, place, length in rare_segments(cost, room, wanted[a : a + 4096]):
+            at = flat[block, place]
+            places.append(at)
+            lengths.append(np.full(len(at), length))
+            keys.append(every[LENGTHS.index(length)][at])
+    if not places:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+    return np.concatenate(places), np.concatenate(lengths), np.concatenate(keys)
+
+
+_MARK_NAMES = [f"m{i}" for i in range(MARKS)]
+_MARK_TYPES = ", ".join(f"{m} long" for m in _MARK_NAMES)
+
+
+def _cutter(shared):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frequency = shared.value
+        for df in batches:
+            if not len(df):
+                continue
+            t = _Texts(df)
+            marks, (at, length, key) = t.marks(), cut(t, frequency)
+            d = t.doc[at]
+            k = np.array([most_edits(int(n)) for n in t.n])[d]
+            out = pd.DataFrame({"c_id": t.id[d], "c_n": t.n[d], "k": k, "before": t.s_pos[at] - k, "after": (t.s_len - t.s_pos)[at] - length - k, **{m: marks[d, i] for i, m in enumerate(_MARK_NAMES)}})
+            for flag, mixed in (("eval", np.uint64(_EVAL)), ("train", np.uint64(0))):
+                on = df[flag].to_numpy(dtype=bool)[d]
+                yield out[on].assign(key=(key[on] ^ mixed).view(np.int64), by_eval=flag == "eval")
+
+    return run
+
+
+def _finder(shared):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = shared.value
+        for df in batches:
+            if not len(df):
+                continue
+            t = _Texts(df)
+            marks = t.marks()
+            for n in LENGTHS:
+                every = t.keys(n)
+                for flag, mixed in (("train", np.uint64(_EVAL)), ("eval", np.uint64(0))):  # the other side cuts
+                    key = every ^ mixed
+                    place = (key >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+                    at = np.nonzero((t.left >= n) & df[flag].to_numpy(dtype=bool)[t.doc] & ((seen[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1)).astype(bool))[0]
+                    d = t.doc[at]
+                    yield pd.DataFrame({"key": key[at].view(np.int64), "s_id": t.id[d], "s_n": t.n[d], "pos": t.pos[at], "rest": t.left[at] - n, **{"s" + m: marks[d, i] for i, m in enumerate(_MARK_NAMES)}})
+
+    return run
+
+
+def _dense(rows: DataFrame, size: int, dtype: type) -> np.ndarray:
+    """Rows ``at, c`` as an array of fixed size."""
+    got, out = rows.toPandas(), np.zeros(size, dtype=np.int64)
+    out[got["at"].to_numpy(dtype=np.int64)] = got["c"].to_numpy(dtype=np.int64)
+    return out.view(dtype)
 
 
 def banded_distance(a: list[str], b: list[str], k: int) -> int:
@@ -92,6 +255,8 @@ def banded_distance(a: list[str], b: list[str], k: int) -> int:
     n, m = len(a), len(b)
     if abs(n - m) > k:
         return k + 1
+    if n * k > LONG:
+        return _long_distance(a, b, k)
     far = k + 1
     prev = {j: j for j in range(min(m, k) + 1)}
     for i in range(1, n + 1):
@@ -116,6 +281,8 @@ def banded_distance(a: list[str], b: list[str], k: int) -> int:
 def best_place(pattern: list[str], text: list[str], k: int) -> int:
     """Least edit distance of ``pattern`` to a stretch of ``text``, or ``k + 1`` if that is larger."""
     n = len(pattern)
+    if len(text) * min(k, n) > LONG:
+        return _long_place(pattern, text, k)
     col, last = list(range(n + 1)), min(k, n)
     best = n if n <= k else k + 1
     for word in text:
@@ -133,10 +300,55 @@ def best_place(pattern: list[str], text: list[str], k: int) -> int:
     return best
 
 
+def _numbers(*texts: list[str]) -> list[np.ndarray]:
+    number: dict[str, int] = {}
+    return [np.array([number.setdefault(w, len(number)) for w in t], dtype=np.int64) for t in texts]
+
+
+def _long_distance(a: list[str], b: list[str], k: int) -> int:
+    """:func:`banded_distance` with a row of the band at a time in numpy."""
+    x, y = _numbers(a, b)
+    n, m, width = len(x), len(y), 2 * k + 1
+    steps, far = np.arange(width), k + 1
+    padded = np.concatenate([np.full(k + 1, -1), y, np.full(n + k + 1, -1)])
+    row = np.where(steps >= k, np.minimum(steps - k, far), far)  # column j of row i is at j - i + k
+    for i in range(1, n + 1):
+        now = row + (padded[i : i + width] != x[i - 1])
+        now[:-1] = np.minimum(now[:-1], row[1:] + 1)
+        j = steps + (i - k)
+        now[(j < 0) | (j > m)] = far
+        if i <= k:
+            now[k - i] = i
+        row = np.minimum(np.minimum.accumulate(now - steps) + steps, far)
+        if row.min() >= far:
+            return far
+    return int(min(row[m - n + k], far))
+
+
+def _long_place(pattern: list[str], text: list[str], k: int) -> int:
+    """:func:`best_place` with a column of the table at a time in numpy."""
+    p, t = _numbers(pattern, text)
+    steps = np.arange(len(p) + 1)
+    col = steps.copy()
+    best = int(col[-1])
+    for w in t:
+        now = np.minimum(col + 1, np.concatenate([[0], col[:-1] + (p != w)]))
+        now[0] = 0
+        col = np.minimum.accumulate(now - steps) + steps
+        best = min(best, int(col[-1]))
+    return min(best, k + 1)
+
+
 def near_same(a: list[str], b: list[str], edits: float = EDITS) -> bool:
-    """Whether two texts, given as sentences, are one apart from the order of sentences and ``edits`` of the words."""
+    """Whether two texts, given as sentences, are one apart from the order of sentences and ``edits`` of the words.
+
+    ``edits`` is a share of the longer text's words. All but so many of its words must be in the other text as often.
+    """
     wa, wb = " ".join(a).split(" "), " ".join(b).split(" ")
-    k = int(edits * max(len(wa), len(wb)))
+    longer = max(len(wa), len(wb))
+    k = int(edits * longer)
+    if abs(len(wa) - len(wb)) > k or (Counter(wa) & Counter(wb)).total() < longer - k:
+        return False
     if banded_distance(wa, wb, k) <= k:
         return True
     for sents, other, n in ((a, wb, len(wa)), (b, wa, len(wb))):
@@ -154,29 +366,42 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield df.loc[ok, ["e_id", "t_id"]]
 
 
+def candidates(texts: DataFrame) -> DataFrame:
+    """``e, t``: ids of different texts, one of an evaluation split and one of train, that may be nearly the same.
+
+    Of two texts the longer (the evaluation text of two equally long ones) is cut into one more segment than there may
+    be edits, and the other must hold one of them, at a place that leaves room for the segment's sentence before and
+    after it. ``texts`` has ``id, h, sl, train, eval``. No pair within the edits is lost: a segment's words stand in a
+    row in the other text, lengths differ by the edits at most, and marks by twice the edits less that difference.
+    """
+    spark = texts.sparkSession
+    columns = texts.select("id", "h", "sl", "train", "eval")
+    often = columns.mapInPandas(_frequencies, "at long, c long").groupBy("at").agg(F.sum("c").alias("c"))
+    frequency = spark.sparkContext.broadcast(_dense(often, 1 << FREQUENCY_BITS, np.int64).astype(np.float32))
+    cuts = materialize(columns.mapInPandas(_cutter(frequency), f"c_id long, c_n int, k int, before int, after int, {_MARK_TYPES}, key long, by_eval boolean"))
+    place = F.shiftrightunsigned("key", 64 - MAP_BITS)
+    bits = cuts.groupBy(F.shiftright(place, 6).alias("at")).agg(F.expr(f"bit_or(shiftleft(1L, cast(shiftrightunsigned(key, {64 - MAP_BITS}) & 63 as int)))").alias("c"))
+    seen = spark.sparkContext.broadcast(_dense(bits, 1 << (MAP_BITS - 6), np.uint64))
+    found = materialize(columns.mapInPandas(_finder(seen), f"key long, s_id long, s_n int, pos int, rest int, {', '.join(f's{m} long' for m in _MARK_NAMES)}"))
+    differ = sum((F.bit_count(F.col(m).bitwiseXOR(F.col(f"s{m}"))) for m in _MARK_NAMES[1:]), F.bit_count(F.col("m0").bitwiseXOR(F.col("sm0"))))
+    sizes = (F.col("s_n") >= F.col("c_n") - F.col("k")) & ((F.col("s_n") < F.col("c_n")) | (F.col("by_eval") & (F.col("s_n") == F.col("c_n"))))
+    fits = sizes & (F.col("c_id") != F.col("s_id")) & (F.col("pos") >= F.col("before")) & (F.col("rest") >= F.col("after")) & (differ <= 2 * F.col("k") - F.col("c_n") + F.col("s_n"))
+    met = salted_join(cuts, found, "key").filter(fits)
+    return met.select(F.when(F.col("by_eval"), F.col("c_id")).otherwise(F.col("s_id")).alias("e"), F.when(F.col("by_eval"), F.col("s_id")).otherwise(F.col("c_id")).alias("t")).distinct()
+
+
 def class_links(classes: DataFrame) -> DataFrame:
     """``e_id, t_id``: different texts, one of an evaluation split and one of train, that are nearly the same.
 
-    Evaluation texts are cut into segments; a training text that holds a segment's words in a row, at any position as
-    sentences may have moved, is compared by banded dynamic programming if length and words allow.
+    Candidates share a segment (:func:`candidates`); they are compared by banded dynamic programming.
     """
-    texts = materialize(classes.groupBy("text_id").agg(F.min("sents").alias("sents"), F.bool_or(F.col("bucket") == "train").alias("train"), F.bool_or(F.col("bucket") != "train").alias("eval")))
+    texts = classes.groupBy("text_id").agg(F.min("sents").alias("sents"), F.bool_or(F.col("bucket") == "train").alias("train"), F.bool_or(F.col("bucket") != "train").alias("eval"))
+    texts = materialize(texts.withColumn("id", F.monotonically_increasing_id()))
     words = F.split(F.array_join("sents", " "), " ")
-    marked = texts.withColumn("w", words).select("*", *_marks("w"))
-    ev = marked.filter("eval").select(F.col("text_id").alias("e_id"), "w", *[F.col(f"m{g}").alias(f"e{g}") for g in range(4)])
-    cut = F.when(F.size("w") <= SHORT, _grams(F.col("w"), *SHORT_CUT)).otherwise(_grams(F.col("w"), *LONG_CUT))
-    probe = ev.select("e_id", "e0", "e1", "e2", "e3", F.explode(F.array_distinct(cut)).alias("key"))
-    tr = marked.filter("train").select(F.col("text_id").alias("t_id"), "w", *[F.col(f"m{g}").alias(f"t{g}") for g in range(4)])
-    # a short text's partner has at most SHORT / (1 - EDITS) words
-    both = F.when(F.size("w") * (1 - EDITS) <= SHORT + 1, F.concat(_grams(F.col("w"), LONG_CUT[0], 1), _grams(F.col("w"), SHORT_CUT[0], 1))).otherwise(_grams(F.col("w"), LONG_CUT[0], 1))
-    build = materialize(tr.select("t_id", "t0", "t1", "t2", "t3", F.explode(F.array_distinct(both)).alias("key")))
-    pairs = salted_join(probe, build, "key").filter((F.col("e_id") != F.col("t_id")) & _common_marks("e", "t")).select("e_id", "t_id").distinct()
-    e = texts.select(F.col("text_id").alias("e_id"), F.col("sents").alias("e_sents"))
-    t = texts.select(F.col("text_id").alias("t_id"), F.col("sents").alias("t_sents"))
-    met = pairs.join(e, "e_id").join(t, "t_id")
-    bag = lambda c: F.array_distinct(F.split(F.array_join(c, " "), " "))
-    met = met.withColumn("_x", bag("e_sents")).withColumn("_y", bag("t_sents")).filter(F.size(F.array_intersect("_x", "_y")) >= BAG * F.greatest(F.size("_x"), F.size("_y")))
-    return met.select("e_id", "t_id", "e_sents", "t_sents").mapInPandas(_verify, "e_id string, t_id string")
+    pairs = candidates(texts.select("id", F.transform(words, lambda w: F.xxhash64(w)).alias("h"), F.transform("sents", lambda s: F.size(F.split(s, " "))).alias("sl"), "train", "eval"))
+    e = texts.select(F.col("id").alias("e"), F.col("text_id").alias("e_id"), F.col("sents").alias("e_sents"))
+    t = texts.select(F.col("id").alias("t"), F.col("text_id").alias("t_id"), F.col("sents").alias("t_sents"))
+    return pairs.join(e, "e").join(t, "t").select("e_id", "t_id", "e_sents", "t_sents").mapInPandas(_verify, "e_id string, t_id string")
 
 
 def all_links(classes: DataFrame, links: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -36,7 +37,9 @@ def test_banded_distance_and_best_place():
                     m[i, j] = min(m[i - 1, j] + 1, m[i, j - 1] + 1, m[i - 1, j - 1] + (x[i - 1] != y[j - 1]))
         assert O.banded_distance(x, y, 9) == d[-1, -1]
         for k in (0, 1, 3, 9):
-            assert O.best_place(x, y, k) == min(s[-1].min(), k + 1)
+            assert O.best_place(x, y, k) == O._long_place(x, y, k) == min(s[-1].min(), k + 1)
+            if abs(len(x) - len(y)) <= k:
+                assert O.banded_distance(x, y, k) == O._long_distance(x, y, k) == min(d[-1, -1], k + 1)
 
 
 SEG = "segment_id string, collection_id string, description string, text_id string, n int, bucket string"
@@ -59,6 +62,43 @@ def test_overlap_through_layout_order_and_edits(spark):
     assert O.all_links(none, O.class_links(none)).count() == 0
 
 
+def spread_edits(words, share):
+    """``words`` with so many evenly spread ones replaced, dropped or doubled."""
+    k = int(share * len(words))
+    at = {int((i + 0.5) * len(words) / k) for i in range(k)} if k else set()
+    return [x for i, w in enumerate(words) for x in (([f"new{i}"], [], [w, "more"])[RNG.choice((0, 0, 0, 1, 2))] if i in at else [w])]
+
+
+def test_overlap_finds_every_pair_of_brute_force(spark):
+    few = VOCABULARY[:60]  # so most short stretches are common
+    texts = {}
+    for n in range(90):
+        sents = [[RNG.choice(few) for _ in range(RNG.choice((1, 3, 9, 14)))] for _ in range(RNG.choice((3, 5, 12)))]
+        texts[f"e{n}"] = sents
+        share = (0.1, 0.17, 0.24)[n % 3]
+        changed = [x for x in (spread_edits(s, share) for s in sents) if x] if n % 2 else [spread_edits([w for s in sents for w in s], share)]
+        texts[f"t{n}"] = RNG.sample(changed, len(changed))
+    texts = {k: [" ".join(s) for s in v] for k, v in texts.items()}
+    texts = {k: v for k, v in texts.items() if len(" ".join(v).split(" ")) >= O.LEAST_WORDS}
+    df = spark.createDataFrame([(k, v, "train" if k[0] == "t" else "val") for k, v in texts.items()], "text_id string, sents array<string>, bucket string")
+    got = {tuple(r) for r in O.class_links(df).collect()}
+    want = {(e, t) for e in texts if e[0] == "e" for t in texts if t[0] == "t" and O.near_same(texts[e], texts[t])}
+    assert got == want and len({e for e, t in want if e[1:] == t[1:]}) >= 60
+    assert {(k, f"t{k[1:]}") for k in texts if k[0] == "e" and int(k[1:]) % 3 == 0 and f"t{k[1:]}" in texts} <= got
+
+
+def test_cuts_are_disjoint_within_sentences_and_one_more_than_edits():
+    sizes = [[1] * 12, [2, 3, 1, 9], [70, 1, 2, 200], [5] * 40, [17], [1, 400]]
+    h = [[RNG.randrange(1 << 40) for _ in range(sum(s))] for s in sizes]
+    t = O._Texts(pd.DataFrame({"id": range(len(sizes)), "h": h, "sl": sizes}))
+    at, length, _ = O.cut(t, np.ones(1 << O.FREQUENCY_BITS, dtype=np.float32))
+    for d, s in enumerate(sizes):
+        mine = t.doc[at] == d
+        used = np.concatenate([np.arange(a, a + n) for a, n in zip(t.pos[at[mine]], length[mine], strict=True)])
+        assert mine.sum() == O.most_edits(sum(s)) + 1 and len(set(used)) == len(used) and used.max() < sum(s)
+        assert all(t.s_len[a] - t.s_pos[a] >= n for a, n in zip(at[mine], length[mine], strict=True))
+
+
 # leaks
 
 
@@ -154,6 +194,21 @@ def test_items_that_share_a_passage_keep_it(spark):
     assert {(1, 10 + i) for i in range(6)} <= set(rows(L.leaks(docs, items)))
 
 
+@pytest.mark.parametrize("n_items", [1, 2, 3, 5])
+def test_a_passage_of_several_items_leaks_for_each(spark, n_items):
+    passage = " ".join(sentence(12) for _ in range(4))
+    items = spark.createDataFrame([(i, f"{passage} What is question {i}?") for i in range(n_items)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"{sentence(30)} {passage} {sentence(9)}")], "doc_id long, text string")
+    assert rows(L.leaks(docs, items)) == [(1, i) for i in range(n_items)]
+
+
+def test_a_question_inside_a_passage_is_part_of_it(spark):
+    passage = f"{sentence(12)} {sentence(12)[:-1]}? {sentence(12)}"
+    items = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"{sentence(30)} {passage} {sentence(9)}")], "doc_id long, text string")
+    assert rows(L.leaks(docs, items)) == [(1, 1)]
+
+
 def test_copies_do_not_hide_a_stock_sentence(spark):
     stock = "this is the stock sentence here now"
     copy = ["alpha beta gamma delta epsilon zeta", stock]
