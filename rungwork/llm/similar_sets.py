@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 
 from rungwork.functions.keys import distinct_keys
 from rungwork.operators.skew import salted_join
-from rungwork.session import materialize, table
+from rungwork.session import materialize, spread, table
 
 THRESHOLD, LEAST = 0.8, 4
-#: Bits of a code segment, segments of a code, and the wanted recall of the Hamming filter.
-SEGMENT_BITS, SEGMENTS, RECALL = 16, 48, 0.9999
+#: Wanted recall at the threshold, of the join of segments and of the Hamming filter each.
+RECALL = 0.9999
+#: Bits of a code's beginning that the Hamming filter compares, and the bounds of a segment's width.
+NEAR_BITS, LEAST_WIDTH, MOST_WIDTH = 64, 8, 60
 
 
 def hamming_radius(bits: int, threshold: float, recall: float = RECALL) -> int:
@@ -31,12 +33,19 @@ def hamming_radius(bits: int, threshold: float, recall: float = RECALL) -> int:
     return r
 
 
-def segment_recall(threshold: float, bits: int = SEGMENT_BITS, segments: int = SEGMENTS) -> float:
-    """Probability that two sets of the threshold similarity share a code segment.
+def segment_width(n: int) -> int:
+    """Bits of a segment for ``n`` sets: as many as number them, so unlike sets meet about once a segment and set."""
+    return max(LEAST_WIDTH, min(MOST_WIDTH, math.ceil(math.log2(max(2, n)))))
 
-    Any two codes within a distance below ``segments`` share one for certain, by the pigeonhole principle.
+
+def segments_needed(width: int, threshold: float, recall: float = RECALL) -> int:
+    """Fewest segments by which two sets of the threshold similarity share one with the given probability.
+
+    Codes that differ in fewer bits than there are segments share one for certain, by the pigeonhole principle; for
+    others each segment is equal with probability ``((1 + J) / 2) ** width``.
     """
-    return 1 - (1 - ((1 + threshold) / 2) ** bits) ** segments
+    equal = ((1 + threshold) / 2) ** width
+    return 1 if equal >= 1 else max(-(-NEAR_BITS // width), math.ceil(math.log(1 - recall) / math.log1p(-equal)))
 
 
 def sketch(values: pd.Series, bits: int, seed: int = 7) -> np.ndarray:
@@ -57,16 +66,24 @@ def sketch(values: pd.Series, bits: int, seed: int = 7) -> np.ndarray:
     return out
 
 
-def _codes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    weights = (1 << np.arange(SEGMENT_BITS)).astype(np.int64)
-    for df in batches:
-        if not len(df):
-            continue
-        bits = sketch(df["h"], 64 + SEGMENT_BITS * SEGMENTS)
-        near = np.packbits(bits[:, :64], axis=1).view(np.int64).ravel()
-        parts = bits[:, 64:].reshape(len(df), SEGMENTS, SEGMENT_BITS).astype(np.int64) @ weights
-        keys = parts + (np.arange(SEGMENTS, dtype=np.int64) << SEGMENT_BITS)
-        yield pd.DataFrame({"side": df["side"], "rep": df["rep"], "n": df["n"], "near": near, "keys": list(keys)})
+def _codes(width: int, segments: int):
+    """Batches ``id, n, s, h`` to ``id, n, near, keys``: a key for each segment of the code of ``h`` on side ``s``."""
+    weights = np.uint64(1) << np.arange(width, dtype=np.uint64)
+    salts = np.random.default_rng(3).integers(1, 1 << 63, segments, dtype=np.uint64)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            if not len(df):
+                continue
+            bits = sketch(df["h"], width * segments)
+            near = np.packbits(bits[:, :NEAR_BITS], axis=1).view(np.int64).ravel()
+            parts = (bits.reshape(len(df), segments, width).astype(np.uint64) * weights).sum(axis=2, dtype=np.uint64)
+            with np.errstate(over="ignore"):
+                keys = ((parts + salts) * np.uint64(0x9E3779B97F4A7C15)) ^ df["s"].to_numpy(dtype=np.int64).view(np.uint64)[:, None]
+                keys = (keys ^ (keys >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+            yield pd.DataFrame({"id": df["id"], "n": df["n"], "near": near, "keys": list(keys.view(np.int64))})
+
+    return run
 
 
 def set_classes(rows: DataFrame) -> DataFrame:
@@ -82,29 +99,36 @@ def set_classes(rows: DataFrame) -> DataFrame:
 def similar_class_pairs(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``side, rep_a, rep_b``: pairs of different sets whose Jaccard similarity reaches the threshold; ``rep_a < rep_b``.
 
-    Codes are cut into segments; sets that share one, are of fitting size and lie within the calibrated radius of a
-    separate 64-bit code are compared exactly.
+    One-bit minhashes are packed into codes and these cut into segments, whose width follows from the number of sets.
+    Sets that share a segment, are of fitting size and lie within the calibrated radius on the first bits of their codes
+    are compared exactly.
     """
-    sets = classes.filter(F.col("cid") == F.col("rep")).select("side", "rep", "vals", F.size("vals").alias("n"))
-    hashed = sets.select("side", "rep", "n", F.transform("vals", lambda v: F.xxhash64(v)).alias("h"))
-    codes = materialize(hashed.mapInPandas(_codes, "side string, rep string, n int, near long, keys array<long>"))
-    keyed = codes.select(F.explode("keys").alias("k"), "side", "rep", "n", "near").select(F.xxhash64("side", "k").alias("key"), "rep", "n", "near", "side")
-    left = keyed.select("key", F.col("rep").alias("rep_a"), F.col("n").alias("n_a"), F.col("near").alias("near_a"), F.col("side").alias("side_a"))
-    right = keyed.select("key", F.col("rep").alias("rep_b"), F.col("n").alias("n_b"), F.col("near").alias("near_b"), "side")
-    fits = (F.col("side") == F.col("side_a")) & (F.col("rep_a") < F.col("rep_b")) & (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9) & (F.bit_count(F.col("near_a").bitwiseXOR(F.col("near_b"))) <= hamming_radius(64, threshold))
-    pairs = salted_join(left, right, "key").filter(fits).select("side", "rep_a", "rep_b").distinct()
-    va, vb = sets.select("side", F.col("rep").alias("rep_a"), F.col("vals").alias("_a")), sets.select("side", F.col("rep").alias("rep_b"), F.col("vals").alias("_b"))
+    sets = materialize(classes.filter(F.col("cid") == F.col("rep")).select(F.monotonically_increasing_id().alias("id"), "side", "rep", "vals", F.size("vals").alias("n")))
+    width = segment_width(sets.count())
+    hashed = sets.select("id", "n", F.xxhash64("side").alias("s"), F.transform("vals", lambda v: F.xxhash64(v)).alias("h"))
+    codes = materialize(spread(hashed).mapInPandas(_codes(width, segments_needed(width, threshold)), "id long, n int, near long, keys array<long>"))
+    left = codes.select(F.explode("keys").alias("key"), F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("near").alias("near_a"))
+    right = codes.select(F.explode("keys").alias("key"), F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("near").alias("near_b"))
+    fits = (F.col("a") < F.col("b")) & (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9) & (F.bit_count(F.col("near_a").bitwiseXOR(F.col("near_b"))) <= hamming_radius(NEAR_BITS, threshold))
+    pairs = salted_join(left, right, "key").filter(fits).select("a", "b").distinct()
+    va = sets.select(F.col("id").alias("a"), "side", F.col("rep").alias("_ra"), F.col("vals").alias("_a"))
+    vb = sets.select(F.col("id").alias("b"), F.col("side").alias("_side"), F.col("rep").alias("_rb"), F.col("vals").alias("_b"))
     both = F.size(F.array_intersect("_a", "_b"))
-    return pairs.join(va, ["side", "rep_a"]).join(vb, ["side", "rep_b"]).filter(both >= threshold * (F.size("_a") + F.size("_b") - both) - 1e-9).select("side", "rep_a", "rep_b")
+    met = pairs.join(va, "a").join(vb, "b").filter((F.col("side") == F.col("_side")) & (both >= threshold * (F.size("_a") + F.size("_b") - both) - 1e-9))
+    return met.select("side", F.least("_ra", "_rb").alias("rep_a"), F.greatest("_ra", "_rb").alias("rep_b"))
 
 
 def expand(classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``side, cid_a, cid_b``: all pairs of records, of equal sets and of the given pairs of sets; the smaller id first."""
-    a = classes.select("side", F.col("rep").alias("rep_a"), F.col("cid").alias("_x"))
-    b = classes.select("side", F.col("rep").alias("rep_b"), F.col("cid").alias("_y"))
+    """``side, cid_a, cid_b``: all pairs of records, of equal sets and of the given pairs of sets; the smaller id first.
+
+    The records of a set with many copies are spread over several tasks.
+    """
+    name = lambda c: F.concat("side", F.lit("|"), c)
+    a = classes.select(name("rep").alias("_ka"), F.col("cid").alias("_x"))
+    b = classes.select(name("rep").alias("_kb"), F.col("cid").alias("_y"))
     same = classes.select("side", F.col("rep").alias("rep_a"), F.col("rep").alias("rep_b")).distinct()
-    met = pairs.unionByName(same).join(a, ["side", "rep_a"]).join(b, ["side", "rep_b"])
-    met = met.filter((F.col("rep_a") != F.col("rep_b")) | (F.col("_x") < F.col("_y")))
+    both = pairs.unionByName(same).withColumn("_ka", name("rep_a")).withColumn("_kb", name("rep_b"))
+    met = salted_join(salted_join(both, a, "_ka"), b, "_kb").filter((F.col("rep_a") != F.col("rep_b")) | (F.col("_x") < F.col("_y")))
     return met.select("side", F.least("_x", "_y").alias("cid_a"), F.greatest("_x", "_y").alias("cid_b"))
 
 

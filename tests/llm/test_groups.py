@@ -1,3 +1,7 @@
+import random
+
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from rungwork.llm import keep_together as K
@@ -36,8 +40,6 @@ def test_buckets_follow_shares(spark):
 
 
 def test_similar_sets_match_brute_force(spark):
-    import random
-
     rng = random.Random(4)
     sets = {}
     for c in range(60):
@@ -54,7 +56,20 @@ def test_similar_sets_match_brute_force(spark):
 
 
 def test_recall_is_calibrated():
-    assert S.segment_recall(0.8) > 0.9999 and S.hamming_radius(64, 0.8) < 24 and S.hamming_radius(64, 1.0) == 0
+    assert [S.segment_width(n) for n in (0, 1, 1000, 10**6, 1 << 70)] == [8, 8, 10, 20, 60] and S.segments_needed(10, 1.0) == 1
+    for width in (8, 16, 24, 40):
+        m = S.segments_needed(width, 0.8)
+        assert 1 - (1 - 0.9**width) ** m >= 0.9999 and m * width >= S.NEAR_BITS
+    assert S.hamming_radius(64, 0.8) < 24 and S.hamming_radius(64, 1.0) == 0
+
+
+@pytest.mark.parametrize("width", [8, 14, 20])
+def test_pairs_at_the_threshold_share_a_segment(width):
+    sets = [[rng.randrange(1 << 60) for _ in range(18)] for rng in map(random.Random, range(150))]
+    near = [[*s[:16], 1 + i, 2 + i] for i, s in enumerate(sets)]  # 16 of 20 in common
+    df = pd.DataFrame({"id": range(300), "n": 18, "s": 5, "h": [*sets, *near]})
+    keys = next(S._codes(width, S.segments_needed(width, 0.8))([df]))["keys"]
+    assert all(set(keys[i]) & set(keys[150 + i]) for i in range(150))
 
 
 def test_cell_sets_with_nulls_ties_and_clashes(spark):
