@@ -27,8 +27,10 @@ BLOCK = 64
 FREQUENCY_BITS, MAP_BITS = 18, 26
 #: Cells of a comparison's table from which its rows are computed in numpy.
 LONG = 50_000
-#: Numbers of 64 bits that hold a text's marks.
-MARKS = 2
+#: Rows of texts that hold a segment from which its rows are spread over several keys.
+HOT_ROWS = 50_000
+#: Numbers of 64 bits that hold a text's marks, and how many of them go with each segment.
+MARKS, CARRIED = 16, 2
 _EVAL = 0x5851F42D4C957F2D
 
 
@@ -79,6 +81,10 @@ def most_edits(n: int) -> int:
     return int(EDITS * n)
 
 
+_MARK_NAMES = [f"m{i}" for i in range(CARRIED)]
+_MARK_TYPES = ", ".join(f"{m} long" for m in _MARK_NAMES)
+
+
 class _Texts:
     """The texts of a batch as one row of word hashes; ``df`` has ``id, h`` (hashes) and ``sl`` (words of sentences)."""
 
@@ -111,7 +117,7 @@ class _Texts:
         Two texts that differ by ``d`` words, counted with their occurrences, differ in at most ``d`` marks.
         """
         h = self.h[: len(self.pos)]
-        order = np.lexsort((self.pos, h, self.doc))
+        order = np.lexsort((h, self.doc))
         new = np.ones(len(order), dtype=bool)
         new[1:] = (np.diff(self.doc[order]) != 0) | (h[order][1:] != h[order][:-1])
         at = np.arange(len(order))
@@ -124,6 +130,14 @@ class _Texts:
         return out.view(np.int64)
 
 
+def _marked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for df in batches:
+        if len(df):
+            marks = _Texts(df).marks()
+            folded = np.bitwise_xor.reduce(marks.reshape(len(df), -1, CARRIED), axis=1)
+            yield df.assign(marks=list(marks), **{m: folded[:, i] for i, m in enumerate(_MARK_NAMES)})
+
+
 def _frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     total = np.zeros(1 << FREQUENCY_BITS, dtype=np.int64)
     for df in batches:
@@ -201,8 +215,14 @@ def cut(t: _Texts, frequency: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     return np.concatenate(places), np.concatenate(lengths), np.concatenate(keys)
 
 
-_MARK_NAMES = [f"m{i}" for i in range(MARKS)]
-_MARK_TYPES = ", ".join(f"{m} long" for m in _MARK_NAMES)
+def _salts(key: np.ndarray, frequency: np.ndarray) -> np.ndarray:
+    """Over how many keys the rows of a segment are spread."""
+    return 1 + (frequency[(key >> np.uint64(64 - FREQUENCY_BITS)).astype(np.int64)] / HOT_ROWS).astype(np.int64)
+
+
+def _salted(key: np.ndarray, salt: np.ndarray, cut_by_eval: bool) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return ((key ^ np.uint64(_EVAL if cut_by_eval else 0)) + salt.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
 
 
 def _cutter(shared):
@@ -212,33 +232,36 @@ def _cutter(shared):
             if not len(df):
                 continue
             t = _Texts(df)
-            marks, (at, length, key) = t.marks(), cut(t, frequency)
+            at, length, key = cut(t, frequency)
+            n = _salts(key, frequency)
+            salt = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            at, length, key = (np.repeat(x, n) for x in (at, length, key))
             d = t.doc[at]
             k = np.array([most_edits(int(n)) for n in t.n])[d]
-            out = pd.DataFrame({"c_id": t.id[d], "c_n": t.n[d], "k": k, "before": t.s_pos[at] - k, "after": (t.s_len - t.s_pos)[at] - length - k, **{m: marks[d, i] for i, m in enumerate(_MARK_NAMES)}})
-            for flag, mixed in (("eval", np.uint64(_EVAL)), ("train", np.uint64(0))):
+            out = pd.DataFrame({"c_id": t.id[d], "c_n": t.n[d], "k": k, "before": t.s_pos[at] - k, "after": (t.s_len - t.s_pos)[at] - length - k, **{m: df[m].to_numpy()[d] for m in _MARK_NAMES}})
+            for flag in ("eval", "train"):
                 on = df[flag].to_numpy(dtype=bool)[d]
-                yield out[on].assign(key=(key[on] ^ mixed).view(np.int64), by_eval=flag == "eval")
+                yield out[on].assign(key=_salted(key[on], salt[on], flag == "eval"), by_eval=flag == "eval")
 
     return run
 
 
 def _finder(shared):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = shared.value
+        frequency, seen = shared.value
         for df in batches:
             if not len(df):
                 continue
             t = _Texts(df)
-            marks = t.marks()
             for n in LENGTHS:
                 every = t.keys(n)
-                for flag, mixed in (("train", np.uint64(_EVAL)), ("eval", np.uint64(0))):  # the other side cuts
-                    key = every ^ mixed
-                    place = (key >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+                salt = (t.id[t.doc] % _salts(every, frequency)).astype(np.int64)
+                for flag in ("train", "eval"):  # the other side cuts
+                    key = _salted(every, salt, flag == "train")
+                    place = (key.view(np.uint64) >> np.uint64(64 - MAP_BITS)).astype(np.int64)
                     at = np.nonzero((t.left >= n) & df[flag].to_numpy(dtype=bool)[t.doc] & ((seen[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1)).astype(bool))[0]
                     d = t.doc[at]
-                    yield pd.DataFrame({"key": key[at].view(np.int64), "s_id": t.id[d], "s_n": t.n[d], "pos": t.pos[at], "rest": t.left[at] - n, **{"s" + m: marks[d, i] for i, m in enumerate(_MARK_NAMES)}})
+                    yield pd.DataFrame({"key": key[at], "s_id": t.id[d], "s_n": t.n[d], "pos": t.pos[at], "rest": t.left[at] - n, **{"s" + m: df[m].to_numpy()[d] for m in _MARK_NAMES}})
 
     return run
 
@@ -366,42 +389,51 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield df.loc[ok, ["e_id", "t_id"]]
 
 
+def _differ(pairs: list[tuple[Column, Column]]) -> Column:
+    return sum((F.bit_count(a.bitwiseXOR(b)) for a, b in pairs[1:]), F.bit_count(pairs[0][0].bitwiseXOR(pairs[0][1])))
+
+
 def candidates(texts: DataFrame) -> DataFrame:
     """``e, t``: ids of different texts, one of an evaluation split and one of train, that may be nearly the same.
 
     Of two texts the longer (the evaluation text of two equally long ones) is cut into one more segment than there may
     be edits, and the other must hold one of them, at a place that leaves room for the segment's sentence before and
-    after it. ``texts`` has ``id, h, sl, train, eval``. No pair within the edits is lost: a segment's words stand in a
-    row in the other text, lengths differ by the edits at most, and marks by twice the edits less that difference.
+    after it. ``texts`` has ``id, h, sl, train, eval`` and marks. No pair within the edits is lost: a segment's words
+    stand in a row in the other text, lengths differ by the edits at most, and marks by twice the edits less that.
     """
     spark = texts.sparkSession
-    columns = texts.select("id", "h", "sl", "train", "eval")
-    often = columns.mapInPandas(_frequencies, "at long, c long").groupBy("at").agg(F.sum("c").alias("c"))
-    frequency = spark.sparkContext.broadcast(_dense(often, 1 << FREQUENCY_BITS, np.int64).astype(np.float32))
-    cuts = materialize(columns.mapInPandas(_cutter(frequency), f"c_id long, c_n int, k int, before int, after int, {_MARK_TYPES}, key long, by_eval boolean"))
+    columns = texts.select("id", "h", "sl", "train", "eval", *_MARK_NAMES)
+    often = texts.select("id", "h", "sl").mapInPandas(_frequencies, "at long, c long").groupBy("at").agg(F.sum("c").alias("c"))
+    frequency = _dense(often, 1 << FREQUENCY_BITS, np.int64).astype(np.float32)
+    cuts = materialize(columns.mapInPandas(_cutter(spark.sparkContext.broadcast(frequency)), f"c_id long, c_n int, k int, before int, after int, {_MARK_TYPES}, key long, by_eval boolean"))
     place = F.shiftrightunsigned("key", 64 - MAP_BITS)
     bits = cuts.groupBy(F.shiftright(place, 6).alias("at")).agg(F.expr(f"bit_or(shiftleft(1L, cast(shiftrightunsigned(key, {64 - MAP_BITS}) & 63 as int)))").alias("c"))
-    seen = spark.sparkContext.broadcast(_dense(bits, 1 << (MAP_BITS - 6), np.uint64))
-    found = materialize(columns.mapInPandas(_finder(seen), f"key long, s_id long, s_n int, pos int, rest int, {', '.join(f's{m} long' for m in _MARK_NAMES)}"))
-    differ = sum((F.bit_count(F.col(m).bitwiseXOR(F.col(f"s{m}"))) for m in _MARK_NAMES[1:]), F.bit_count(F.col("m0").bitwiseXOR(F.col("sm0"))))
+    seen = _dense(bits, 1 << (MAP_BITS - 6), np.uint64)
+    found = columns.mapInPandas(_finder(spark.sparkContext.broadcast((frequency, seen))), f"key long, s_id long, s_n int, pos int, rest int, {', '.join(f's{m} long' for m in _MARK_NAMES)}")
+    differ = _differ([(F.col(m), F.col(f"s{m}")) for m in _MARK_NAMES])
     sizes = (F.col("s_n") >= F.col("c_n") - F.col("k")) & ((F.col("s_n") < F.col("c_n")) | (F.col("by_eval") & (F.col("s_n") == F.col("c_n"))))
     fits = sizes & (F.col("c_id") != F.col("s_id")) & (F.col("pos") >= F.col("before")) & (F.col("rest") >= F.col("after")) & (differ <= 2 * F.col("k") - F.col("c_n") + F.col("s_n"))
-    met = salted_join(cuts, found, "key").filter(fits)
+    met = cuts.join(found, "key").filter(fits)
     return met.select(F.when(F.col("by_eval"), F.col("c_id")).otherwise(F.col("s_id")).alias("e"), F.when(F.col("by_eval"), F.col("s_id")).otherwise(F.col("c_id")).alias("t")).distinct()
 
 
 def class_links(classes: DataFrame) -> DataFrame:
     """``e_id, t_id``: different texts, one of an evaluation split and one of train, that are nearly the same.
 
-    Candidates share a segment (:func:`candidates`); they are compared by banded dynamic programming.
+    Candidates share a segment (:func:`candidates`); those whose marks allow are compared by banded dynamic programming.
     """
     texts = classes.groupBy("text_id").agg(F.min("sents").alias("sents"), F.bool_or(F.col("bucket") == "train").alias("train"), F.bool_or(F.col("bucket") != "train").alias("eval"))
-    texts = materialize(texts.withColumn("id", F.monotonically_increasing_id()))
     words = F.split(F.array_join("sents", " "), " ")
-    pairs = candidates(texts.select("id", F.transform(words, lambda w: F.xxhash64(w)).alias("h"), F.transform("sents", lambda s: F.size(F.split(s, " "))).alias("sl"), "train", "eval"))
+    shape = texts.select(F.monotonically_increasing_id().alias("id"), "text_id", "sents", "train", "eval", F.transform(words, lambda w: F.xxhash64(w)).alias("h"), F.transform("sents", lambda s: F.size(F.split(s, " "))).alias("sl"))
+    texts = materialize(shape.mapInPandas(_marked, f"id long, text_id string, sents array<string>, train boolean, eval boolean, h array<long>, sl array<int>, marks array<long>, {_MARK_TYPES}"))
+    sizes = texts.select("id", F.size("h").alias("n"), "marks")
+    near = candidates(texts).join(sizes.toDF("e", "e_n", "e_marks"), "e").join(sizes.toDF("t", "t_n", "t_marks"), "t")
+    longer, shorter = F.greatest("e_n", "t_n"), F.least("e_n", "t_n")
+    differ = _differ([(F.get("e_marks", F.lit(i)), F.get("t_marks", F.lit(i))) for i in range(MARKS)])
+    near = near.filter(differ <= 2 * F.floor(EDITS * longer) - longer + shorter).select("e", "t")
     e = texts.select(F.col("id").alias("e"), F.col("text_id").alias("e_id"), F.col("sents").alias("e_sents"))
     t = texts.select(F.col("id").alias("t"), F.col("text_id").alias("t_id"), F.col("sents").alias("t_sents"))
-    return pairs.join(e, "e").join(t, "t").select("e_id", "t_id", "e_sents", "t_sents").mapInPandas(_verify, "e_id string, t_id string")
+    return near.join(e, "e").join(t, "t").select("e_id", "t_id", "e_sents", "t_sents").mapInPandas(_verify, "e_id string, t_id string")
 
 
 def all_links(classes: DataFrame, links: DataFrame) -> DataFrame:
