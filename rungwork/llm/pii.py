@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import secrets
+from collections import Counter
 from collections.abc import Callable, Iterator
 from datetime import date, timedelta
 
@@ -16,10 +18,18 @@ from rungwork.session import materialize, spread, table
 
 #: Share of all words from which a word is known to the vocabulary; it holds at most one over it.
 KNOWN_SHARE = 5e-7
-#: A word of so many occurrences is a place, house or street if so many of its capitalised ones follow a word of place.
-PLACE_LEAST, PLACED = 10, 0.15
+#: A word is of a place, house or street if this share of its capitalised occurrences follows a word of place.
+PLACED = 0.15
 #: Share of its occurrences in lower case from which a word is ordinary, and within a sentence from which it is a name.
 ORDINARY, INSIDE = 0.6, 0.2
+#: Each share is taken as if so many occurrences more without the sign had been seen, so few of them prove little.
+DOUBT_PLACED, DOUBT_ORDINARY, DOUBT_INSIDE = 4.0, 1.5, 1.0
+#: Distinct words of a partition that are counted before they are passed on.
+COUNTED = 500_000
+
+#: Setting with the key of the pseudonyms.
+KEY_SETTING = "spark.rungwork.pseudonymKey"
+_OWN_KEY = secrets.token_bytes(32)
 
 ORDINARY_WORD, PLACE_WORD, OPENER, NAME_WORD = "o", "f", "s", "n"
 
@@ -31,23 +41,42 @@ _EMAIL = re.compile(
     re.IGNORECASE,
 )
 _TYPES = r"street|st|avenue|ave|road|rd|lane|ln|court|ct|place|pl|terrace|ter|row|way|boulevard|blvd|drive|dr|square|sq|close|crescent|alley|parkway|highway"
-_ADDRESS = re.compile(
-    rf"(?:(?<!\w)(?:no|nr|number)\.?\s+|#\s?)?(?<![\w.,:/$-])\d{{1,5}}[a-z]?,?\s+(?:(?:[nsew]\.|north|south|east|west)\s+)?[^\W\d_][\w'’]*(?:\s+[A-Z][\w'’]*)?\s+(?-i:(?i:{_TYPES}))(?!\w)"
-    r"|(?<!\w)(?:p\.?\s?o\.?|post office)\s+box\s+\d{1,6}(?!\w)",
+_STREET = re.compile(
+    rf"(?<![\w.,:/$-])\d{{1,5}}[a-z]?,?\s+(?:(?:[nsew]\.|north|south|east|west)\s+)?[^\W\d_][\w'’]*(?:\s+[A-Z][\w'’]*)?\s+(?-i:(?i:{_TYPES}))(?!\w)",
     re.IGNORECASE,
 )
+_BOX = re.compile(r"(?<!\w)(?:p\.?\s?o\.?|post office)\s+box\s+\d{1,6}(?!\w)", re.IGNORECASE)
+#: What may stand before a house number and belongs to it.
+_NUMBERED = re.compile(r"(?:(?<!\w)(?:no|nr|number)\.?\s+|#\s?)$", re.IGNORECASE)
 _UNIT = re.compile(r"\.?,?\s+(?:apt|apartment|unit|suite|ste|flat|room|#)\.?\s*#?\s?\d{1,5}[a-z]?(?!\w)", re.IGNORECASE)
 _PLACE = re.compile(r"\.?,\s+([^\W\d_][\w'’]*(?:\s+[^\W\d_][\w'’]*){0,2})")
 _POST = re.compile(r",?\s+\d{5}(?:-\d{4})?(?![\w-])")
+_FOREIGN = re.compile(
+    r"(?<![\w.,:/$-])\d{1,4}(?:\s?bis)?,?\s+(?i:rue|quai|calle|via|rua|avenida|avenue|boulevard|plaza|piazza|place)\s+(?:(?:de|des|du|del|della|la|le|les|los|las|di|da|do|dos)\s+|[ld]['’])*[A-Z][\w'’]*(?:\s+[A-Z][\w'’]*)?"
+)
 _ID = re.compile(
-    r"(?<![\w/.-])(?:[A-Z]{2}-\d{4}-\d{4,6}-[A-Z]|\d{2}/\d{5,7}/[A-Z]|\d{3}([- ])\d{2}\1\d{4}|[A-Z] \d{3} \d{3} \d{2}|[A-Z]\d{7,8})(?![\w/-])",
+    r"(?<![\w/.-])(?:(?P<register>[A-Z]{2}-\d{4}-\d{4,6}-[A-Z])|(?P<file>\d{2}/\d{5,7}/[A-Z])|(?P<tax>\d{3}([- ])\d{2}\4\d{4})|(?P<licence>[A-Z] \d{3} \d{3} \d{2})|(?P<passport>[A-Z]\d{7,8}|[A-Z]{2}\d{7})"
+    r"|(?P<insurance>[A-Z]{2} ?\d\d ?\d\d ?\d\d ?[A-D])|(?P<card>\d{4}([- ]?)\d{4}\9\d{4}\9\d{3,4})|(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?))(?![\w/-])",
     re.IGNORECASE,
 )
 _PHONE = re.compile(
-    r"(?<![\w/.$+-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3,5}\)[ .-]?\d{3}[ .-]?\d{3,4}|\d{3}[ .-]\d{3}[ .-]\d{4}|\d{4} \d{6}|0\d{4} \d{6}|0\d{3} \d{3} \d{3,4}|\d{2} \d{4} \d{4}|\d{3}-\d{4}|\d{10,11})(?![\w/-])"
+    r"(?<![\w/.$+-])(?:\+\d{1,3}[ .-]?(?:\(0\)[ .-]?)?(?:\(\d{1,5}\)|\d{1,5})(?:[ .-]?\d{2,8}){1,5}|(?:1[ .-])?(?:\(\d{3,5}\)[ .-]?\d{3}[ .-]?\d{3,4}|\d{3}[ .-]\d{3}[ .-]\d{4})"
+    r"|\(0\d{1,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|0\d{4} \d{6}|0\d{4} \d{3} \d{3}|0\d{3} \d{6}|0\d{3} \d{3} \d{3,4}|0\d{1,2} \d{4} \d{4}|0\d(?:[ .-]\d\d){4}|\d{3}-\d{4}|\d{10,11})(?![\w/-])"
     r"(?:,?\s*(?:ext\.?|extension|x)\s*\d{1,5}(?!\w))?",
     re.IGNORECASE,
 )
+_EXTENSION = re.compile(r",?\s*(?:ext\.?|extension|x)\s*\d{1,5}$", re.IGNORECASE)
+#: First digits of the country prefixes of one and of two digits; all others have three.
+_ONE, _TWO = frozenset("17"), frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+#: First digits of the prefixes of three.
+_THREE = frozenset("21 22 23 24 25 26 29 35 37 38 42 50 59 67 68 69 80 85 87 88 96 97 99".split())
+_MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+_MONTH = "|".join(f"{m[:3]}(?:{m[3:]})?\\.?" if m[3:] else m for m in _MONTHS) + r"|sept\.?"
+_DATE = re.compile(
+    rf"(?<![\w/.-])(?:(?P<m1>{_MONTH})\s+(?P<d1>\d{{1,2}})(?:st|nd|rd|th)?,?\s+(?P<y1>\d{{4}})|(?P<d2>\d{{1,2}})(?:st|nd|rd|th)?\s+(?:of\s+)?(?P<m2>{_MONTH}),?\s+(?P<y2>\d{{4}})"
+    r"|(?P<y3>\d{4})-(?P<m3>\d{2})-(?P<d3>\d{2})|(?P<a4>\d{1,2})(?P<sep>[/.])(?P<b4>\d{1,2})(?P=sep)(?P<y4>\d{4}))(?![\w/-])",
+    re.IGNORECASE,
+)
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _SUFFIX = re.compile(r"['’][sS]$")
 _TITLES = frozenset("mr mrs ms miss dr doctor captain capt reverend rev professor prof sergeant sgt lieutenant judge sir madam".split())
@@ -61,6 +90,93 @@ def pii_kinds() -> tuple[str, ...]:
     return ("name", "email", "phone", "address", "id_number")
 
 
+def _luhn(digits: str) -> bool:
+    each = [int(c) * (1 + i % 2) for i, c in enumerate(reversed(digits))]
+    return sum(x - 9 * (x > 9) for x in each) % 10 == 0
+
+
+def _iban(value: str) -> bool:
+    plain = value.replace(" ", "").upper()
+    return 15 <= len(plain) <= 34 and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+
+
+def valid_id(value: str) -> bool:
+    """Whether a string of an identity number's form is one: ranges, letters and check digits are as issued.
+
+    A tax or social number has no empty group and not the areas 000 and 666; a card number has its Luhn digit, a bank
+    account its remainder, an insurance number issued prefix letters and a register number a year of birth or entry.
+    """
+    m = _ID.fullmatch(value)
+    if not m:
+        return False
+    digits = re.sub(r"\D", "", value)
+    if m["tax"]:
+        return digits[:3] not in ("000", "666") and digits[3:5] != "00" and digits[5:] != "0000"
+    if m["register"]:
+        return 1800 <= int(value[3:7]) <= 2099
+    if m["insurance"] and not m["passport"]:
+        a, b = value[0].upper(), value[1].upper()
+        return a not in "DFIQUV" and b not in "DFIOQUV" and a + b not in ("BG", "GB", "KN", "NK", "NT", "TN", "ZZ")
+    if m["card"]:
+        return _luhn(digits)
+    return _iban(value) if m["iban"] else True
+
+
+def phone_parts(value: str) -> tuple[int, int, int] | None:
+    """Of the digits of a telephone number, the first and the end of the national number, and of all before an extension.
+
+    Country prefix, trunk zero and extension are no part of the national number. ``None`` if it is no valid number: the
+    prefix must be assigned; a number of ten digits without prefix, or with prefix 1, has area and exchange from 2 on;
+    one of seven an exchange from 2 on; others begin with the trunk zero and have seven to thirteen digits.
+    """
+    body = _EXTENSION.sub("", value)
+    d = re.sub(r"\D", "", body)
+    n = len(d)
+    at = 0
+    if body.startswith("+"):
+        at = 1 if d[:1] in _ONE else 2 if d[:2] in _TWO else 3 if d[:2] in _THREE else 0
+        if not at:
+            return None
+        if d[:at] == "1":
+            return (at, n, n) if _north_american(d[1:]) else None
+        at += d[at : at + 1] == "0"
+        return (at, n, n) if 6 <= n - at <= 12 else None
+    if d[:1] == "0":
+        return (1, n, n) if 8 <= n <= 12 else None
+    if n == 11 and d[0] == "1" and _north_american(d[1:]):
+        return 1, n, n
+    if n == 10:
+        return (0, n, n) if _north_american(d) else None
+    return (0, n, n) if n == 7 and d[0] in "23456789" and d[1:3] != "11" else None
+
+
+def _north_american(d: str) -> bool:
+    return len(d) == 10 and d[0] in "23456789" and d[3] in "23456789"
+
+
+def _month(word: str) -> int:
+    return next(i for i, m in enumerate(_MONTHS, 1) if m.startswith(word.lower().rstrip(".")[:3]))
+
+
+def date_of(m: re.Match) -> tuple[date, bool] | None:
+    """The day a matched date names, and whether its day stands first; ``None`` if there is no such day.
+
+    Of two numbers the first is the month unless it can't be, with dots the day unless it can't be.
+    """
+    try:
+        if m["m1"]:
+            return date(int(m["y1"]), _month(m["m1"]), int(m["d1"])), False
+        if m["m2"]:
+            return date(int(m["y2"]), _month(m["m2"]), int(m["d2"])), True
+        if m["y3"]:
+            return date(int(m["y3"]), int(m["m3"]), int(m["d3"])), False
+        a, b, y = int(m["a4"]), int(m["b4"]), int(m["y4"])
+        first = b <= 12 if m["sep"] == "." else a > 12
+        return (date(y, b, a) if first else date(y, a, b)), first
+    except ValueError:
+        return None
+
+
 def _address_end(text: str, at: int, suffixes: frozenset[str]) -> int:
     end = at
     if m := _UNIT.match(text, end):
@@ -170,11 +286,33 @@ def _name_spans(text: str, classes: dict[str, str]) -> list[tuple[int, int]]:
     return spans
 
 
-def find(text: str | None, classes: dict[str, str], suffixes: frozenset[str]) -> list[tuple[str, int, int]]:
+_AT, _DOT = re.compile(r"@|[\[(]at[\])]", re.IGNORECASE), re.compile(r"\sat\s[\w-]+\sdot\s", re.IGNORECASE)
+_DIGITS, _POST_BOX = re.compile(r"\d+"), re.compile(r"\bbox\s+\d", re.IGNORECASE)
+#: Digits of the shortest identity or telephone number, and of the shortest date.
+_LEAST_DIGITS, _DATE_DIGITS = 6, 5
+
+
+_INITIAL = re.compile(r"\b[^\W\d_]\.")
+
+
+def _may_hold_name(text: str, classes: dict[str, str]) -> bool:
+    """Whether a text has a word that a name may begin with."""
+    if _INITIAL.search(text):
+        return True
+    for w in _WORD.findall(text):
+        low = w.lower()
+        kind = classes.get(low)
+        if kind == NAME_WORD or (kind is None and w[0].isupper()) or low in _TITLES:
+            return True
+    return False
+
+
+def find(text: str | None, classes: dict[str, str], suffixes: frozenset[str], dates: bool = False) -> list[tuple[str, int, int]]:
     """``(kind, start, end)`` of the personal information in a text, by place; NULL and empty texts hold none.
 
     ``classes`` has the class of known words, ``suffixes`` the last words of known places. Of overlapping finds the one
-    of the kind tried first stays: e-mail, address, identity number, telephone number, name.
+    of the kind tried first stays: e-mail, address, identity number, telephone number, with ``dates`` full date, name.
+    Numbers of any kind must be valid (:func:`valid_id`, :func:`phone_parts`, :func:`date_of`).
     """
     if not text:
         return []
@@ -186,18 +324,31 @@ def find(text: str | None, classes: dict[str, str], suffixes: frozenset[str]) ->
         out.append((kind, start, end))
         masked = masked[:start] + "\x01" * (end - start) + masked[end:]
 
-    if "@" in text or " at " in text.lower() or "(at)" in text.lower() or "[at]" in text.lower():
+    if _AT.search(text) or _DOT.search(text):
         for m in list(_EMAIL.finditer(masked)):
             take("email", m.start(), m.end())
-    if any(c.isdigit() for c in text):
-        for m in list(_ADDRESS.finditer(masked)):
-            if masked[m.start()] != "\x01":
-                take("address", m.start(), _address_end(masked, m.end(), suffixes))
+    n_digits = sum(map(len, _DIGITS.findall(masked)))
+    if n_digits:
+        for m in list(_STREET.finditer(masked)):
+            before = _NUMBERED.search(masked, max(0, m.start() - 10), m.start())
+            if "\x01" not in m.group():
+                take("address", before.start() if before else m.start(), _address_end(masked, m.end(), suffixes))
+        for pattern in (_BOX, _FOREIGN) if _POST_BOX.search(masked) else (_FOREIGN,):
+            for m in list(pattern.finditer(masked)):
+                if "\x01" not in masked[m.start() : m.end()]:
+                    take("address", m.start(), _address_end(masked, m.end(), suffixes))
+    if n_digits >= _LEAST_DIGITS:
         for m in list(_ID.finditer(masked)):
-            take("id_number", m.start(), m.end())
+            if valid_id(m.group()):
+                take("id_number", m.start(), m.end())
         for m in list(_PHONE.finditer(masked)):
-            take("phone", m.start(), m.end())
-    if any(classes.get(w.lower(), NAME_WORD) == NAME_WORD for w in _WORD.findall(masked)):
+            if phone_parts(m.group()):
+                take("phone", m.start(), m.end())
+    if dates and n_digits >= _DATE_DIGITS:
+        for m in list(_DATE.finditer(masked)):
+            if date_of(m):
+                take("date", m.start(), m.end())
+    if _may_hold_name(masked, classes):
         out += [("name", a, b) for a, b in _name_spans(masked, classes)]
     return sorted(out, key=lambda x: x[1])
 
@@ -248,18 +399,71 @@ def permute_date(value: date, key: bytes, first: date = date(1850, 1, 1), days:
             return first + timedelta(days=at)
 
 
+def _walk(digits: str, key: bytes, like: Callable[[str], object]) -> str:
+    """Keyed permutation among the digit strings of one length that are ``like`` each other: its cycle is walked on."""
+    want, at = like(digits), permute_digits(digits, key)
+    while like(at) != want:
+        at = permute_digits(at, key)
+    return at
+
+
+def _with_digits(value: str, digits: str) -> str:
+    it = iter(digits)
+    return re.sub(r"[0-9]", lambda _: next(it), value)
+
+
+def _phone(value: str, key: bytes) -> str:
+    parts = phone_parts(value)
+    d = re.sub(r"\D", "", value)
+    a, b, _ = parts or (0, len(d), len(d))
+    national = _walk(d[a:b], key, lambda x: (_north_american(x), x[:1] == "0", len(x) == 7 and x[1:3] == "11", x[:1] == "1"))
+    return _with_digits(value, d[:a] + national + (permute_digits(d[b:], key) if d[b:] else ""))
+
+
+def _identity(value: str, key: bytes) -> str:
+    return _with_digits(value, _walk(re.sub(r"\D", "", value), key, lambda x: valid_id(_with_digits(value, x))))
+
+
+def _date(value: str, key: bytes) -> str:
+    m = _DATE.fullmatch(value)
+    if not m or not (read := date_of(m)):
+        return value
+    new, day_first = permute_date(read[0], key), read[1]
+
+    def number(group: str, n: int) -> tuple[int, int, str]:
+        return m.start(group), m.end(group), str(n).zfill(len(m[group]) if m[group][0] == "0" or len(m[group]) == 4 else 1)
+
+    if m["m1"] or m["m2"]:
+        i = "1" if m["m1"] else "2"
+        old = m["m" + i]
+        name = _MONTHS[new.month - 1]
+        name = name if len(old.rstrip(".")) > 4 or old.lower() in _MONTHS else name[:3] + "." * old.endswith(".")
+        name = name.upper() if old.isupper() else name.title() if old[0].isupper() else name
+        parts = [(m.start("m" + i), m.end("m" + i), name), number("d" + i, new.day), number("y" + i, new.year)]
+    elif m["y3"]:
+        parts = [(0, len(value), new.isoformat())]
+    else:
+        parts = [number("a4", new.day if day_first else new.month), number("b4", new.month if day_first else new.day), number("y4", new.year)]
+    for a, b, t in sorted(parts, reverse=True):
+        value = value[:a] + t + value[b:]
+    return value
+
+
 def pseudonym(kind: str, value: str, key: bytes) -> str:
     """Typed placeholder of a value: equal values, written in any way, get equal ones.
 
-    Of a number the digits are permuted and everything else is kept; a name, e-mail or address gets a keyed mark.
+    Numbers and dates are permuted among the valid ones of their form and keep their layout. A telephone number's
+    country prefix and trunk zero stay, its national number and extension are permuted by themselves, so spellings with
+    and without them stay linked. A name, e-mail or address gets a keyed mark of 128 bits.
     """
-    if kind in ("phone", "id_number"):
-        digits = permute_digits(re.sub(r"\D", "", value), hmac.new(key, kind.encode(), hashlib.sha256).digest())
-        it = iter(digits)
-        return f"<{kind.upper()}:{re.sub(r'[0-9]', lambda _: next(it), value)}>"
+    own = hmac.new(key, kind.encode(), hashlib.sha256).digest()
+    if kind in _PERMUTED:
+        return f"<{kind.upper()}:{_PERMUTED[kind](value, own)}>"
     same = " ".join(re.findall(r"\w+", value.lower()))
-    mark = int.from_bytes(hmac.new(key, f"{kind}|{same}".encode(), hashlib.sha256).digest()[:5], "big")
-    return f"<{kind.upper()}:{mark:010x}>"
+    return f"<{kind.upper()}:{hmac.new(own, same.encode(), hashlib.sha256).hexdigest()[:32]}>"
+
+
+_PERMUTED = {"phone": _phone, "id_number": _identity, "date": _date}
 
 
 def replace(text: str | None, found: list[tuple[str, int, int]], key: bytes) -> str | None:
@@ -288,32 +492,73 @@ def records(turns: DataFrame, segments: DataFrame) -> DataFrame:
     return t.unionByName(s).filter(F.col("record_id").isNotNull() & F.col("text").isNotNull())
 
 
+_PLAIN = re.compile(r"\S*[@\d]\S*")
+_LETTERS = re.compile(r"[^\W\d_]+")
+_SUFFIXES = re.compile(r"['’][sS]\b")
+_UPPER = "".join(c for c in map(chr, range(0x250)) if c.isupper())
+_LOWER = "".join(c for c in map(chr, range(0x250)) if c.islower())
+_MIDDLE = re.compile(rf"(?<=[{_LOWER},;] )[{_UPPER}][^\W\d_]+")
+_AFTER = re.compile(rf"\b(?:at|in|near|the) ([{_UPPER}][^\W\d_]+(?: [{_UPPER}][^\W\d_]+){{0,2}})")
+
+
+def _word_signs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``word, n, low, mid, placed``: occurrences of words, those in lower case, within sentences and after places."""
+    seen: dict[str, list[int]] = {}
+
+    def flush() -> pd.DataFrame:
+        out = pd.DataFrame([(w, *c) for w, c in seen.items()], columns=["word", "n", "low", "mid", "placed"])
+        seen.clear()
+        return out.astype({c: "int64" for c in ("n", "low", "mid", "placed")})
+
+    def counts(word: str) -> list[int]:
+        return seen.setdefault(word, [0, 0, 0, 0])
+
+    for df in batches:
+        forms: Counter[str] = Counter()
+        for text in df["text"]:
+            plain = _SUFFIXES.sub("", _PLAIN.sub(" ", text))
+            words = _LETTERS.findall(plain)
+            forms.update(words)
+            if not any(w[0].isupper() for w in words[1:]) and not plain[:1].isupper():
+                continue
+            for m in _MIDDLE.finditer(plain):
+                counts(m.group().lower())[2] += 1
+            for m in _AFTER.finditer(plain):
+                for w in m.group(1).split(" "):
+                    counts(w.lower())[3] += 1
+        for w, n in forms.items():
+            if len(w) > 1:
+                low = w.lower()
+                c = counts(low)
+                c[0] += n
+                c[1] += n if w == low else 0
+        if len(seen) > COUNTED:
+            yield flush()
+    yield flush()
+
+
 def word_classes(texts: DataFrame, places: DataFrame) -> dict[str, str]:
     """Classes of the words that hold at least ``KNOWN_SHARE`` of all words, so at most ``1 / KNOWN_SHARE`` of them.
 
     A word that is often in lower case is ordinary; one often within capitalised words after a word of place ("at",
     "near", "the"), or in the gazetteer ``places`` (``word``), is part of a place; one capitalised only where sentences
-    begin opens sentences; others are names. Equal texts count once, so copies make no word common.
+    begin opens sentences; others are names. The shares that decide allow for doubt (``DOUBT_*``), so they mean the same
+    for rare and common words and in small and large tables. Equal texts count once, so copies make no word common.
     """
-    plain = F.regexp_replace(F.regexp_replace("text", r"\S*[@\d]\S*", " "), r"['’][sS]\b", "")
-    every = F.transform(F.regexp_extract_all(plain, F.lit(r"\p{L}+"), F.lit(0)), lambda w: F.struct(w.alias("w"), F.lit(0).alias("inside")))
-    runs = F.regexp_extract_all(plain, F.lit(r"(?<=\b(?:at|in|near|the) )\p{Lu}\p{L}+(?: \p{Lu}\p{L}+){0,2}"), F.lit(0))
-    placed = F.transform(F.flatten(F.transform(runs, lambda r: F.split(r, " "))), lambda w: F.struct(w.alias("w"), F.lit(2).alias("inside")))
-    inside = F.transform(F.regexp_extract_all(plain, F.lit(r"(?<=[\p{Ll},;] )\p{Lu}\p{L}+"), F.lit(0)), lambda w: F.struct(w.alias("w"), F.lit(1).alias("inside")))
-    seen = texts.select("text").distinct().select(F.explode(F.concat(every, inside, placed)).alias("x")).select("x.w", "x.inside").filter(F.length("w") > 1)
-    word = F.lower("w")
-    stats = materialize(seen.groupBy(word.alias("word")).agg(F.count_if(F.col("inside") == 0).alias("n"), F.count_if((F.col("inside") == 0) & (F.col("w") == word)).alias("low"), F.count_if(F.col("inside") == 1).alias("mid"), F.count_if(F.col("inside") == 2).alias("placed")))
+    signs = texts.select("text").distinct().mapInPandas(_word_signs, "word string, n long, low long, mid long, placed long")
+    stats = materialize(signs.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", "low", "mid", "placed")]))
     total = stats.agg(F.sum("n").alias("_total"))
-    kept = stats.join(F.broadcast(total)).filter(F.col("n") >= KNOWN_SHARE * F.col("_total"))
+    kept = stats.join(F.broadcast(total)).filter((F.col("n") >= KNOWN_SHARE * F.col("_total")) & (F.col("n") > 0))
+    capital = F.col("n") - F.col("low")
     kind = (
-        F.when(F.col("low") >= ORDINARY * F.col("n"), ORDINARY_WORD)
+        F.when(F.col("low") >= ORDINARY * (F.col("n") + DOUBT_ORDINARY), ORDINARY_WORD)
+        # rather in lower case, but too few to tell: it may be a name typed so
+        .when(F.col("low") >= ORDINARY * F.col("n"), F.lit(None))
         .when(F.col("word").isin(*_ANSWERS), OPENER)
-        .when((F.col("n") >= PLACE_LEAST) & (F.col("placed") >= PLACED * (F.col("n") - F.col("low"))), PLACE_WORD)
-        .when((F.col("n") >= 5) & (F.col("mid") < INSIDE * (F.col("n") - F.col("low"))), OPENER)
+        .when(F.col("placed") >= PLACED * (capital + DOUBT_PLACED), PLACE_WORD)
+        .when(F.col("mid") + DOUBT_INSIDE < INSIDE * capital, OPENER)
         .otherwise(NAME_WORD)
     )
-    # a word seen once or twice, in lower case, may be a name typed so: not enough to call it ordinary
-    kind = F.when((F.col("n") <= 2) & (F.col("low") == F.col("n")), F.lit(None)).otherwise(kind)
     out = {r["word"]: r["kind"] for r in kept.select("word", kind.alias("kind")).filter("kind is not null").toLocalIterator()}
     for r in places.toLocalIterator():
         if out.get(r["word"]) != ORDINARY_WORD:
@@ -334,7 +579,8 @@ def gazetteer(segments: DataFrame, interviews: DataFrame) -> tuple[DataFrame, fr
     return words, frozenset(r["word"] for r in last.select("word").toLocalIterator())
 
 
-def _over(spark: SparkSession, sf_dir: str, work: Callable, schema: str) -> DataFrame:
+def occurrences(spark: SparkSession, sf_dir: str, work: Callable, schema: str) -> DataFrame:
+    """What ``work(rows, classes, suffixes)`` makes of the rows of :func:`records`, in batches."""
     segments = table(spark, sf_dir, "segments")
     texts = records(table(spark, sf_dir, "turns"), segments)
     words, suffixes = gazetteer(segments, table(spark, sf_dir, "interviews"))
@@ -348,27 +594,43 @@ def _over(spark: SparkSession, sf_dir: str, work: Callable, schema: str) -> Data
     return spread(texts).mapInPandas(run, schema).distinct()
 
 
-def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per occurrence of personal information."""
+def pseudonymised(spark: SparkSession, sf_dir: str, key: bytes) -> DataFrame:
+    """``record_kind, record_id, pii_kind, char_start, char_end, placeholder``: one row per occurrence."""
 
     def work(df: pd.DataFrame, classes: dict[str, str], suffixes: frozenset[str]) -> pd.DataFrame:
-        rows = [(k, i, *x) for k, i, t in zip(df["record_kind"], df["record_id"], df["text"], strict=True) for x in find(t, classes, suffixes)]
-        return pd.DataFrame(rows, columns=["record_kind", "record_id", "pii_kind", "char_start", "char_end"])
+        rows = [(k, i, kind, a, b, pseudonym(kind, t[a:b], key)) for k, i, t in zip(df["record_kind"], df["record_id"], df["text"], strict=True) for kind, a, b in find(t, classes, suffixes, dates=True)]
+        return pd.DataFrame(rows, columns=["record_kind", "record_id", "pii_kind", "char_start", "char_end", "placeholder"])
+
+    return occurrences(spark, sf_dir, work, "record_kind string, record_id string, pii_kind string, char_start int, char_end int, placeholder string")
 
-    return _over(spark, sf_dir, work, "record_kind string, record_id string, pii_kind string, char_start int, char_end int")
+
+def pseudonym_key(spark: SparkSession) -> bytes:
+    """The caller's key, from the setting ``KEY_SETTING``; where it is unset, one drawn at random for this process.
+
+    Only with a key of the caller do values stay linked from one run to the next.
+    """
+    named = spark.conf.get(KEY_SETTING, "") or ""
+    return named.encode() if named else _OWN_KEY
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per occurrence of personal information that gets a placeholder; full dates are no cases here."""
+    found = pseudonymised(spark, sf_dir, pseudonym_key(spark))
+    return found.filter(F.col("pii_kind").isin(*pii_kinds())).drop("placeholder")
 
 
-def p2_texts(spark: SparkSession, sf_dir: str, key: bytes = b"a key for tests only") -> DataFrame:
-    """The texts that hold personal information, with placeholders in its place."""
+def p2_texts(spark: SparkSession, sf_dir: str, key: bytes | None = None) -> DataFrame:
+    """The texts that hold personal information or full dates, with placeholders in their place."""
+    key = key or pseudonym_key(spark)
 
     def work(df: pd.DataFrame, classes: dict[str, str], suffixes: frozenset[str]) -> pd.DataFrame:
         rows = []
         for k, i, t in zip(df["record_kind"], df["record_id"], df["text"], strict=True):
-            if found := find(t, classes, suffixes):
+            if found := find(t, classes, suffixes, dates=True):
                 rows.append((k, i, len(found), replace(t, found, key)))
         return pd.DataFrame(rows, columns=["record_kind", "record_id", "n_found", "text"])
 
-    return _over(spark, sf_dir, work, "record_kind string, record_id string, n_found int, text string")
+    return occurrences(spark, sf_dir, work, "record_kind string, record_id string, n_found int, text string")
 
 
 QUERIES = {"p2_found": p2_found, "p2_texts": p2_texts}

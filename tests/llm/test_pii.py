@@ -77,3 +77,57 @@ def test_common_and_copied_names_stay_names(spark):
 def test_no_class_of_place_vetoes_after_title_or_initials():
     assert kinds("We met Mrs. Heron and Captain Mission and J. T. Heron.") == [("name", "Heron"), ("name", "Mission"), ("name", "J. T. Heron")]
     assert kinds("We went to the doctor. The box was at Heron Point.") == []
+
+
+def test_numbers_must_be_valid():
+    good = ["AB1234567", "QQ 12 34 56 C".replace("QQ", "AB"), "4539 1488 0343 6467", "DE89 3704 0044 0532 0130 00", "915-38-9389"]
+    bad = ["000-00-0000", "666-12-3456", "123-00-4567", "4539 1488 0343 6466", "DE88 3704 0044 0532 0130 00", "BG 12 34 56 C", "RC-9950-51279-A"]
+    for x in good:
+        assert kinds(f"It was {x} on it") == [("id_number", x)], x
+    for x in bad:
+        assert not [k for k, _ in kinds(f"It was {x} on it") if k == "id_number"], x
+    for x in ("020 7946 0958", "+33 1 42 68 53 00", "+1 415 555 0113", "+353 1 679 9000", "01632 960608", "0491 570 379", "4155550178", "1-415-555-0113"):
+        assert kinds(f"Call {x} said") == [("phone", x)], x
+    for x in ("115-555-0113", "415-055-0113", "+281 415 555 011", "1234567890", "155-0113"):
+        assert not [k for k, _ in kinds(f"Call {x} said") if k == "phone"], x
+    assert kinds("We went to 12 Rue de Rivoli, Paris.") == [("address", "12 Rue de Rivoli, Paris")]
+
+
+def national(value):
+    out = P.pseudonym("phone", value, b"k")[len("<PHONE:") : -1]
+    a, b, _ = P.phone_parts(value)
+    assert P.phone_parts(out) == P.phone_parts(value) and len(out) == len(value)
+    return "".join(c for c in P._EXTENSION.sub("", out) if c.isdigit())[a:b]
+
+
+def test_spellings_of_one_number_stay_linked():
+    assert len({national(x) for x in ("+1 415 555 0113", "(415) 555-0113", "415-555-0113 ext. 2", "4155550113", "1-415-555-0113", "415.555.0113")}) == 1
+    assert national("+44 7700 900965") == national("07700 900965") != national("+44 7700 900966")
+    assert len({national(f"415-555-{i:04d}") for i in range(3000)}) == 3000
+    ids = [f"9{i:02d}-38-{j:04d}" for i in range(15, 45) for j in range(1, 60)]
+    assert len({P.pseudonym("id_number", x, b"k") for x in ids}) == len(ids) and all(P.valid_id(P.pseudonym("id_number", x, b"k")[11:-1]) for x in ids[:200])
+    assert P.valid_id(P.pseudonym("id_number", "4539 1488 0343 6467", b"k")[11:-1]) and P.valid_id(P.pseudonym("id_number", "DE89 3704 0044 0532 0130 00", b"k")[11:-1])
+
+
+def test_dates_are_found_validated_and_permuted():
+    def dates(text):
+        return [text[a:b] for k, a, b in P.find(text, CLASSES, ENDS, dates=True) if k == "date"]
+
+    for x in ("March 5, 1942", "5 March 1942", "5th of march 1942", "Mar. 05, 1942", "1942-03-05", "03/05/1942", "25/12/1940", "5.3.1942", "MAY 7 1950"):
+        assert dates(f"It was {x} then") == [x], x
+        out = P.pseudonym("date", x, b"k")[6:-1]
+        assert P._DATE.fullmatch(out) and out != x, out
+    for x in ("February 30, 1942", "1942-13-05", "33/12/1940", "in 1942", "00/00/1900"):
+        assert dates(f"It was {x} then") == [], x
+    same = {P.date_of(P._DATE.fullmatch(P.pseudonym("date", x, b"k")[6:-1]))[0] for x in ("March 5, 1942", "5 March 1942", "1942-03-05")}
+    assert len(same) == 1
+    assert P.find("It was March 5, 1942.", CLASSES, ENDS) == [] and P.find(None, CLASSES, ENDS, dates=True) == []
+
+
+def test_marks_have_128_bits_and_the_key_is_the_callers(spark):
+    assert len(P.pseudonym("name", "Ana Lee", b"k")) == len("<NAME:>") + 32 and P.pseudonym("name", "Ana  LEE", b"k") == P.pseudonym("name", "Ana Lee", b"k")
+    own = P.pseudonym_key(spark)
+    assert len(own) == 32 and own == P.pseudonym_key(spark)
+    spark.conf.set(P.KEY_SETTING, "mine")
+    assert P.pseudonym_key(spark) == b"mine"
+    spark.conf.unset(P.KEY_SETTING)
