@@ -51,8 +51,10 @@ def stock_sentences(texts: DataFrame) -> DataFrame:
     n = texts.agg(F.count(F.lit(1)).alias("_n"))
     each = texts.select("sents", F.posexplode("sents").alias("_i", "s")).filter((F.size(F.split("s", " ")) >= STOCK_WORDS) & (F.expr("array_position(sents, s)") == F.col("_i") + 1))
     beside = F.xxhash64(F.coalesce(F.get("sents", F.col("_i") - 1), F.get("sents", F.col("_i") + 1), F.lit("")))
-    seen = each.groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.approx_count_distinct(beside, 0.02).alias("d"))
-    often = seen.join(F.broadcast(n), F.col("c") >= F.greatest(F.lit(STOCK_LEAST), STOCK_SHARE * F.col("_n"))).filter(F.col("d") >= STOCK_SPREAD * F.col("c"))
+    each = materialize(each.select("s", beside.alias("beside")))
+    # at most a text's sentences divided by the share are so frequent, so their neighbours alone are told apart
+    often = each.groupBy("s").agg(F.count(F.lit(1)).alias("c")).join(F.broadcast(n), F.col("c") >= F.greatest(F.lit(STOCK_LEAST), STOCK_SHARE * F.col("_n"))).select("s", "c")
+    often = each.join(F.broadcast(often), "s").groupBy("s", "c").agg(F.count_distinct("beside").alias("d")).filter(F.col("d") >= STOCK_SPREAD * F.col("c"))
     return often.agg(F.coalesce(F.collect_set("s"), F.array().cast("array<string>")).alias("stock"))
 
 
