@@ -91,9 +91,9 @@ def set_classes(rows: DataFrame) -> DataFrame:
 
     ``rows`` has ``side, cid, vals`` with sorted distinct values; a record delivered again counts once.
     """
-    rows = rows.select("side", "cid", "vals").distinct()
-    reps = rows.groupBy("side", "vals").agg(F.min("cid").alias("rep"))
-    return rows.join(reps, ["side", "vals"])
+    rows = materialize(rows.select("side", "cid", "vals").distinct().withColumn("_set", F.md5(F.to_json(F.struct("side", "vals")))))
+    reps = rows.groupBy("_set").agg(F.min("cid").alias("rep"))
+    return salted_join(reps, rows, "_set").select("side", "vals", "cid", "rep")
 
 
 def similar_class_pairs(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
