@@ -18,7 +18,9 @@ from rungwork.session import materialize, spread, table
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: A topic that holds less than this share of the documents is counted with the others, so there are at most so many.
 TOPIC_SHARE = 0.001
-ROUNDS = 200
+ROUNDS, SETTLED = 200, 1e-7
+#: Bits of a document's hash; bins of a level and the bits that each level leaves to the next.
+PLACE_BITS, BINS, LEVELS = 40, 4096, (32, 20, 8)
 #: Spellings of language codes.
 LANGUAGES = {"en": "en", "eng": "en", "english": "en", "es": "es", "spa": "es", "de": "de", "deu": "de", "ger": "de", "fr": "fr", "fra": "fr", "it": "it", "ita": "it", "pt": "pt", "por": "pt", "nl": "nl", "nld": "nl"}
 
@@ -81,15 +83,23 @@ class Plan:
 
     copies: dict[tuple[str, str, str], float]
     tokens: float
+    #: Rounds of fitting and the last one's largest change, as a share of all tokens.
+    rounds: int = 0
+    change: float = 0.0
 
+    @property
+    def converged(self) -> bool:
+        return self.change < SETTLED
 
-def rake(cells: dict[tuple[str, str, str], float], targets: dict[str, tuple[float, int]], rounds: int = ROUNDS) -> Plan:
+
+def rake(cells: dict[tuple[str, str, str], float], targets: dict[str, tuple[float, int]], rounds: int = ROUNDS, languages: dict[str, float] | None = None, topics: dict[str, float] | None = None) -> Plan:
     """Token weights of ``(source, language, topic)`` cells that meet the sources' shares.
 
     The size of the mixture is the largest at which every source that has documents can give its share with its
-    repeats; shares of absent sources go to the others in proportion. Languages and topics are raked to the shares that
-    they have among all tokens of the listed sources, as far as the cap of each cell lets them; sources come last in
-    each round, so their shares hold.
+    repeats; shares of absent sources go to the others in proportion. ``languages`` and ``topics`` are the shares wanted
+    of those, scaled to those that have documents; where they aren't given, the shares that they have among all tokens
+    of the listed sources. They are raked to as far as the cap of each cell lets them; sources come last in each round,
+    so their shares hold. Whether the fitting settled is told by the plan.
     """
     have: dict[str, float] = {}
     for (s, _, _), n in cells.items():
@@ -102,16 +112,20 @@ def rake(cells: dict[tuple[str, str, str], float], targets: dict[str, tuple[floa
     size = min(have[s] * targets[s][1] / share[s] for s in have)
     total = sum(cells.values())
     margins = []
-    for axis in (1, 2):
+    for axis, named in ((1, languages), (2, topics)):
         m: dict[str, float] = {}
         for k, n in cells.items():
             m[k[axis]] = m.get(k[axis], 0.0) + n / total * size
+        if named:
+            most = sum(max(0.0, named.get(x, 0.0)) for x in m)
+            m = {x: max(0.0, named.get(x, 0.0)) / most * size for x in m} if most else m
         margins.append((axis, m))
     margins.append((0, {s: share[s] * size for s in have}))
     cap = {k: n * targets[k[0]][1] for k, n in cells.items()}
     w = {k: n * share[k[0]] * size / have[k[0]] for k, n in cells.items()}
-    for _ in range(rounds):
-        change = 0.0
+    change, done = 0.0, 0
+    for done in range(1, rounds + 1):
+        before = dict(w)
         for axis, want in margins:
             for _fill in range(20 if axis == 0 else 1):
                 now: dict[str, float] = {}
@@ -130,30 +144,67 @@ def rake(cells: dict[tuple[str, str, str], float], targets: dict[str, tuple[floa
                         new = min(cap[k], v * max(0.0, 1 + short / base))
                         moved = max(moved, abs(new - v) / size)
                         w[k] = new
-                change = max(change, moved)
                 if moved < 1e-9:
                     break
-        if change < 1e-7:
+        change = max(abs(v - before[k]) / size for k, v in w.items())
+        if change < SETTLED:
             break
-    return Plan({k: v / cells[k] for k, v in w.items()}, size)
+    return Plan({k: v / cells[k] for k, v in w.items()}, size, done, change)
+
+
+def _bounds(drawn: DataFrame, wanted: dict[str, float]) -> dict[str, int]:
+    """For each source the bound of ``_v`` below which documents hold the wanted tokens, to within a document.
+
+    The bound is narrowed down by histograms of ``_v`` per source, of a fixed number of bins; each level looks into the
+    bin in which the last one passed the wanted number. ``drawn`` has ``source, _v, n_tokens``.
+    """
+    spark = drawn.sparkSession
+    at = {s: (0, 0.0) for s in wanted}
+    for shift in LEVELS:
+        rows = spark.createDataFrame([(s, lo) for s, (lo, _) in sorted(at.items())], "source string, _lo long")
+        near = drawn.join(F.broadcast(rows), "source").select("source", F.shiftright(F.col("_v") - F.col("_lo"), shift).alias("_b"), "n_tokens").filter((F.col("_b") >= 0) & (F.col("_b") < BINS))
+        bins: dict[str, list[tuple[int, float]]] = {}
+        for r in near.groupBy("source", "_b").agg(F.sum("n_tokens").alias("t")).collect():
+            bins.setdefault(r["source"], []).append((r["_b"], float(r["t"])))
+        for s, (lo, sum_) in at.items():
+            last = BINS
+            for b, t in sorted(bins.get(s, [])):
+                if sum_ + t > wanted[s]:
+                    # of the last level's bin, a document as a rule, the nearer end is taken
+                    last = b if shift != LEVELS[-1] or 2 * (wanted[s] - sum_) < t else b + 1
+                    break
+                sum_ += t
+            at[s] = (lo + (last << shift), sum_) if last < BINS or shift != LEVELS[0] else (1 << 62, sum_)
+    return {s: lo for s, (lo, _) in at.items()}
 
 
-def mixture(sized: DataFrame, targets: dict[str, tuple[float, int]], seed: int = 0) -> DataFrame:
+def mixture(sized: DataFrame, targets: dict[str, tuple[float, int]], seed: int = 0, languages: dict[str, float] | None = None, topics: dict[str, float] | None = None) -> DataFrame:
     """``doc_id, source, n_tokens, copies`` of the documents that are in the mixture.
 
-    A document of a cell with ``c`` expected copies is taken ``floor(c)`` times, and once more if its hash falls below
-    the rest of ``c``; so never more often than its source allows. Empty documents and unlisted sources are left out.
+    A document of a cell with ``c`` expected copies is taken ``floor(c)`` times, so never more often than its source
+    allows, and once more if its hash, divided by the rest of ``c``, falls below its source's bound. The bound is
+    calibrated on tokens, so a source's tokens are those of the plan to within one document. Empty documents and
+    unlisted sources are left out.
     """
     n = sized.agg(F.count(F.lit(1)).alias("_n"))
     often = sized.groupBy("topic").agg(F.count(F.lit(1)).alias("_c")).join(F.broadcast(n), F.col("_c") >= TOPIC_SHARE * F.col("_n")).select("topic", F.lit(True).alias("_often"))
     folded = sized.filter(F.col("source").isin(*targets) & (F.col("n_tokens") > 0)).join(F.broadcast(often), "topic", "left").withColumn("topic", F.when(F.col("_often"), F.col("topic")).otherwise("other")).drop("_often")
     cells = {(r["source"], r["lang"], r["topic"]): float(r["t"]) for r in folded.groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("t")).collect()}
-    plan = rake(cells, targets)
+    plan = rake(cells, targets, languages=languages, topics=topics)
     spark = sized.sparkSession
-    rates = spark.createDataFrame([(*k, c) for k, c in sorted(plan.copies.items())], "source string, lang string, topic string, _rate double")
-    place = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 40)) / float(1 << 40)
-    copies = (F.floor(F.col("_rate") + 1e-9) + (place < F.col("_rate") + 1e-9 - F.floor(F.col("_rate") + 1e-9) - 1e-9).cast("long")).cast("int")
-    return folded.join(F.broadcast(rates), ["source", "lang", "topic"]).select("doc_id", "source", "n_tokens", copies.alias("copies")).filter("copies > 0")
+    whole = {k: int(c + 1e-9) for k, c in plan.copies.items()}
+    rest = {k: max(0.0, c - whole[k]) for k, c in plan.copies.items()}
+    rest = {k: 0.0 if f < 1e-9 else f for k, f in rest.items()}
+    rates = spark.createDataFrame([(*k, whole[k], rest[k]) for k in sorted(plan.copies)], "source string, lang string, topic string, _whole int, _rest double")
+    place = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << PLACE_BITS))
+    drawn = folded.join(F.broadcast(rates), ["source", "lang", "topic"]).withColumn("_v", F.when(F.col("_rest") > 0, F.floor(place / F.col("_rest"))))
+    wanted: dict[str, float] = {}
+    for k, f in rest.items():
+        if f > 0:
+            wanted[k[0]] = wanted.get(k[0], 0.0) + f * cells[k]
+    bounds = spark.createDataFrame(sorted(_bounds(drawn.filter("_v is not null").select("source", "_v", "n_tokens"), wanted).items()), "source string, _bound long")
+    more = F.coalesce(F.col("_v") < F.col("_bound"), F.lit(False)).cast("int")
+    return drawn.join(F.broadcast(bounds), "source", "left").select("doc_id", "source", "n_tokens", (F.col("_whole") + more).alias("copies")).filter("copies > 0")
 
 
 def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, tuple[float, int]]]:

@@ -29,12 +29,34 @@ def test_mixture_with_nulls_repeats_and_clashes(spark):
     sized = M.sized_documents(docs.withColumn("source", F.translate("source", "_", ""))).persist()
     mixed = M.mixture(sized, targets)
     share = {r["source"]: r["t"] for r in mixed.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("t")).collect()}
-    assert abs(share["a"] / (share["a"] + share["b"]) - 0.625) < 0.03
+    # each source's tokens are the plan's to within a document
+    have = {r["source"]: r["t"] for r in sized.groupBy("source").agg(F.sum("n_tokens").alias("t")).collect()}
+    size = min(have[s] * targets[s][1] / t for s, t in (("a", 0.625), ("b", 0.375)))
+    most = sized.agg(F.max("n_tokens")).first()[0]
+    assert all(abs(share[s] - t * size) <= most for s, t in (("a", 0.625), ("b", 0.375)))
     assert mixed.agg(F.max(F.when(F.col("source") == "a", F.col("copies")))).first()[0] == 1
     assert rows(mixed) == rows(M.mixture(sized.repartition(3), targets))
     assert M.mixture(sized.filter("false"), targets).count() == 0 and M.mixture(sized, {"none": (1.0, 1)}).count() == 0
 
 
+@pytest.mark.parametrize("n", [40, 3000])
+def test_small_and_large_sources_hold_their_tokens(spark, n):
+    sized = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 3).alias("source"), F.concat(F.lit("l"), F.col("id") % 2).alias("lang"), F.concat(F.lit("t"), F.col("id") % 7).alias("topic"), (F.pow(F.col("id") % 17 + 1, F.lit(2))).cast("long").alias("n_tokens")).persist()
+    targets = {"s0": (0.7, 2), "s1": (0.2, 3), "s2": (0.1, 4)}
+    got = {r["source"]: (r["t"], r["c"]) for r in M.mixture(sized, targets, languages={"l0": 0.6, "l1": 0.4}).groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("t"), F.max("copies").alias("c")).collect()}
+    have = {r["source"]: r["t"] for r in sized.groupBy("source").agg(F.sum("n_tokens").alias("t")).collect()}
+    size = min(have[s] * m / t for s, (t, m) in targets.items())
+    assert all(abs(got[s][0] - t * size) <= 289 and got[s][1] <= m for s, (t, m) in targets.items())
+
+
+def test_fitting_tells_whether_it_settled():
+    cells = {(s, l, t): (10.0 if s == "a" else 90.0) + len(l + t) for s in ("a", "b") for l in ("en", "es") for t in ("x", "y")}
+    plan = M.rake(cells, {"a": (0.5, 2), "b": (0.5, 2)}, languages={"en": 0.7, "es": 0.3, "gone": 1.0})
+    en = sum(c * cells[k] for k, c in plan.copies.items() if k[1] == "en")
+    assert plan.converged and plan.rounds < M.ROUNDS and abs(en / plan.tokens - 0.7) < 1e-4
+    assert not M.rake(cells, {"a": (0.5, 2), "b": (0.5, 2)}, rounds=1, languages={"en": 0.9, "es": 0.1}).converged
+
+
 def test_tokens_round_trip():
     enc = M.encoder()
     text = "A text, with <|endoftext|> and ünïcode.\n"
