@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIR: list[str] = []
@@ -45,10 +46,14 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """``df`` in at least as many partitions as there are cores, for work that costs far more than a shuffle.
 
-    Only an input that the scan leaves in fewer partitions is shuffled, so never a large one.
+    ``df`` is a scan, filtered or projected. Only one that is left in fewer partitions is shuffled, so never a large one.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        few = df.rdd.getNumPartitions() < cores
+    except PySparkException:  # a remote session tells no number of partitions
+        return df
+    return df.repartition(cores) if few else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
