@@ -6,7 +6,7 @@ import html as _html
 import re
 import unicodedata
 from collections.abc import Iterator
-from heapq import heappop, heappush
+from heapq import heapify, heappop, heappush
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +16,9 @@ from rungwork.operators.skew import last_in_blocks, running_sum_in_blocks, salte
 from rungwork.session import materialize, table
 
 UNKNOWN = "UNK"
-#: Weights of the constraints: dialogue order (chunk numbers), cues (segment marks), timing (time stamps).
-DIALOGUE, CUE, TIMING = 3, 2, 1
+#: Weights of the constraints: dialogue order (chunk numbers), cues (segment marks), timing (time stamps). A number
+#: outweighs both others, as turns are to follow the order of chunks.
+DIALOGUE, CUE, TIMING = 4, 2, 1
 
 _BREAK = re.compile(r"<\s*br\s*/?>|</?\s*(?:p|div|li|tr|h\d|body|html)\b[^>]*>|\r?\n", re.IGNORECASE)
 _MARKUP = re.compile(r"</?[a-z][^<>]*>", re.IGNORECASE)
@@ -25,7 +26,8 @@ _MARK = re.compile(r"^\s*<?\s*(?:begin|end)\s+segment\s+(\d+)\s*>?\s*$", re.IGNO
 _PAGE = re.compile(r"^\s*(?:page\s+\d+(?:\s+of\s+\d+)?|[-–—]*\s*\d{1,4}\s*[-–—]*)\s*$", re.IGNORECASE)
 _STAMP = re.compile(r"[\[(<]?\b\d{1,2}:\d{2}(?::\d{2})?(?:\.\d{1,3})?\b[\])>]?")
 _CLOCK = re.compile(r"\b(?:(\d{1,2}):)?(\d{1,2}):(\d{2})(?:\.\d{1,3})?\b")
-_NOISE = re.compile(r"\[[^\[\]]{0,60}\]|\({1,2}[^()]{0,60}\){1,2}|\*[^*\n]{1,40}\*")
+#: An e-mail address as typed, with (at) or [dot], is no noise.
+_NOISE = re.compile(r"\[(?!(?:at|dot)\])[^\[\]]{0,60}\]|\((?!(?:at|dot)\))\(?[^()]{0,60}\){1,2}|\*[^*\n]{1,40}\*", re.IGNORECASE)
 _FILLER = re.compile(r"(?<![\w-])(?:uh-huh|uh|um|erm|er|ah|hmm|mm|you know)(?![\w-])\s*,?", re.IGNORECASE)
 _AGAIN = re.compile(r"\b([\w'’]+)(?:(?:\s+--)?\s+\1\b)+", re.IGNORECASE)
 _LABEL = re.compile(r"^\s*(?:>>\s*)?(?:\[([^\[\]:]{1,40})\]\s*:?|([^:\[\]()<>*?!]{1,48}?)\s*:)\s*")
@@ -163,47 +165,61 @@ def parse_chunk(text: str, first: bool, persons: list[tuple[str, str]]) -> list[
 def chunk_order(chunks: list[tuple[str, int | None, int | None, int | None]]) -> dict[str, int]:
     """Places of chunks ``(key, chunk number, first segment mark, first second)`` in their interview.
 
-    Each kind of order gives precedence constraints between neighbours by it. Constraints are taken by weight; one that
-    contradicts those taken before is dropped. The rest is sorted topologically, ties by number, mark, time and key.
+    Each kind of order gives precedence constraints between neighbours by it, with the weight of its kind. Several
+    kinds that say the same add up. Constraints are taken by falling weight, and one that contradicts those taken is
+    dropped. The rest is sorted topologically, ties by number, mark, time and key.
     """
     rank = {c[0]: tuple((v is None, v or 0) for v in c[1:]) + (c[0],) for c in chunks}
-    after: dict[str, set[str]] = {c[0]: set() for c in chunks}
-
-    def reaches(a: str, b: str) -> bool:
-        todo, seen = [a], {a}
-        while todo:
-            x = todo.pop()
-            if x == b:
-                return True
-            todo += [y for y in after[x] if y not in seen]
-            seen |= after[x]
-        return False
-
-    whole = all(c[1] is not None for c in chunks) and len({c[1] for c in chunks}) == len(chunks)
-    for kind, _weight in ((1, DIALOGUE), (2, CUE), (3, TIMING)):
+    weight: dict[tuple[str, str], int] = {}
+    for kind, w in ((1, DIALOGUE), (2, CUE), (3, TIMING)):
         known = sorted((c for c in chunks if c[kind] is not None), key=lambda c: (c[kind], rank[c[0]]))
         for a, b in zip(known, known[1:], strict=False):
-            if a[kind] < b[kind] and not reaches(b[0], a[0]):
-                after[a[0]].add(b[0])
-        if whole:
-            break  # a total order: every other constraint follows from it or contradicts it
-    degree = {k: 0 for k in after}
+            if a[kind] < b[kind]:
+                weight[a[0], b[0]] = weight.get((a[0], b[0]), 0) + w
+    at = {k: i for i, k in enumerate(sorted(rank, key=rank.get))}
+    place = dict(at)
+    after: dict[str, list[str]] = {k: [] for k in rank}
+    for a, b in sorted(weight, key=lambda e: (-weight[e], at[e[0]], at[e[1]])):
+        if _add_edge(after, place, a, b):
+            after[a].append(b)
+    degree = dict.fromkeys(rank, 0)
     for ys in after.values():
         for y in ys:
             degree[y] += 1
-    ready: list = []
-    for k, n in degree.items():
-        if not n:
-            heappush(ready, (rank[k], k))
-    place: dict[str, int] = {}
+    ready = [(rank[k], k) for k, n in degree.items() if not n]
+    heapify(ready)
+    out: dict[str, int] = {}
     while ready:
         _, k = heappop(ready)
-        place[k] = len(place)
+        out[k] = len(out)
         for y in after[k]:
             degree[y] -= 1
             if not degree[y]:
                 heappush(ready, (rank[y], y))
-    return place
+    return out
+
+
+def _add_edge(after: dict[str, list[str]], place: dict[str, int], a: str, b: str) -> bool:
+    """Whether ``a`` before ``b`` contradicts no path; ``place`` is kept a topological order of all edges.
+
+    Only chunks placed between the two are looked at, so an edge that agrees with the places costs nothing.
+    """
+    low, high = place[b], place[a]
+    if high < low:
+        return True
+    ahead, todo = {b}, [b]
+    while todo:
+        for y in after[todo.pop()]:
+            if y == a:
+                return False
+            if y not in ahead and place[y] <= high:
+                ahead.add(y)
+                todo.append(y)
+    between = sorted((k for k in place if low <= place[k] <= high), key=place.get)
+    free = [place[k] for k in between]
+    for k, p in zip([k for k in between if k not in ahead] + [k for k in between if k in ahead], free, strict=True):
+        place[k] = p
+    return True
 
 
 def _order(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -243,10 +259,14 @@ def turns(transcripts: DataFrame) -> DataFrame:
     clock = lambda g: F.try_to_number(F.nullif(F.regexp_extract("html", r"\b(?:(\d{1,2}):)?(\d{1,2}):(\d{2})(?:\.\d{1,3})?\b", g), F.lit("")), F.lit("99"))
     second = F.coalesce(clock(1), F.lit(0)) * 3600 + clock(2) * 60 + clock(3)
     meta = chunks.select("interview_id", "key", "chunk_no", mark.try_cast("int").alias("mark"), second.cast("int").alias("second"))
-    places = meta.groupBy("interview_id").applyInPandas(_order, "interview_id string, key string, pos long")
-    placed = materialize(chunks.join(places, ["interview_id", "key"]).select("interview_id", "pos", "html"))
-    heads = placed.filter("pos = 0").mapInPandas(_headers, "interview_id string, persons array<struct<name: string, role: string>>")
-    rows = salted_join(heads, placed, "interview_id").select("interview_id", "pos", "html", "persons").mapInPandas(_runs, "interview_id string, at long, speaker string, tag string, role string, spoken boolean, text string")
+    # ordered, and later parsed, in tasks of their own: adaptive execution would put so few bytes into one
+    parts = int(raw.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    places = materialize(meta.repartition(parts, "interview_id").groupBy("interview_id").applyInPandas(_order, "interview_id string, key string, pos long"))
+    firsts = places.filter("pos = 0").join(chunks, ["interview_id", "key"])
+    heads = firsts.select("interview_id", "html").mapInPandas(_headers, "interview_id string, persons array<struct<name: string, role: string>>")
+    placed = salted_join(heads, places, "interview_id").repartition(parts, "interview_id", "key")
+    texts = chunks.select("interview_id", "key", "html").repartition(parts, "interview_id", "key")
+    rows = placed.join(texts, ["interview_id", "key"]).select("interview_id", "pos", "html", "persons").mapInPandas(_runs, "interview_id string, at long, speaker string, tag string, role string, spoken boolean, text string")
     rows = materialize(rows)
     chunk = 1 << 32
     who = F.when(F.col("speaker").isNotNull(), F.struct("speaker", "tag", "role"))

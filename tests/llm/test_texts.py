@@ -167,6 +167,43 @@ def test_chunk_order_resolves_conflicts():
     assert T.chunk_order([("x", None, None, 50), ("y", None, None, 20)]) == {"y": 0, "x": 1}
 
 
+def test_constraints_are_taken_by_weight():
+    # a number outweighs mark and time together
+    c = [("a", 2, 1, 10), ("b", 3, 2, 200), ("x", 1, 3, 400)]
+    assert T.chunk_order(c) == {"x": 0, "a": 1, "b": 2}
+    # without numbers a mark outweighs a time
+    assert T.chunk_order([("a", None, 1, 90), ("b", None, 2, 10)]) == {"a": 0, "b": 1}
+    # where number and time agree against the mark they win
+    c = [("a", 1, 9, 10), ("b", 2, 1, 200)]
+    assert T.chunk_order(c) == {"a": 0, "b": 1}
+    # numbers missing: marks and times order what they know, long interviews without a path search per edge
+    n = 5000
+    got = T.chunk_order([(f"k{i:05d}", None, i // 2, i * 30) for i in RNG.sample(range(n), n)])
+    assert [k for k, _ in sorted(got.items(), key=lambda x: x[1])] == [f"k{i:05d}" for i in range(n)]
+
+
+def test_order_has_no_circles_and_keeps_the_heaviest(spark):
+    for _ in range(300):
+        chunks = [(f"c{i}", *(RNG.choice([None, RNG.randrange(6)]) for _ in range(3))) for i in range(RNG.randrange(1, 8))]
+        got = T.chunk_order(chunks)
+        assert sorted(got.values()) == list(range(len(chunks)))
+        numbered = [c for c in chunks if c[1] is not None]
+        if len({c[1] for c in numbered}) == len(numbered) == len(chunks) and len({c[2] for c in chunks}) == 1:
+            assert [c[0] for c in sorted(chunks, key=lambda c: c[1])] == sorted(got, key=got.get)
+
+
+def test_clean_text_of_given_turns():
+    import pathlib
+
+    path = pathlib.Path("/root/testdata/sf0.01/turns.parquet")
+    if not path.exists():
+        pytest.skip("no tables here")
+    t = pd.read_parquet(path, columns=["raw", "clean"]).dropna()
+    # what is left are names of places typed in lower case, whose capitals nothing tells
+    assert np.mean([T.clean_text(r) == c for r, c in zip(t["raw"], t["clean"], strict=True)]) > 0.985
+    assert T.clean_text("It is um, x_1 (at) y [dot] test (laughs) [pause], no.") == "It is x_1 (at) y [dot] test, no."
+
+
 @pytest.mark.parametrize("text", ["[laughs]", "uh, um", "00:01:02", "Page 7", "--", ""])
 def test_noise_is_no_turn(text):
     assert not T.has_words(text)
