@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rungwork.functions.keys import canonical_key, canonical_term
+from rungwork.operators.skew import salted_join
 from rungwork.session import materialize, table
 
 LOW, HIGH = 2, 3
 #: Pairs of raters count as if so many more common items without agreement had been seen.
 SHRINK = 4.0
-ROUNDS, CUT_EVERY = 24, 4
+#: Most rounds of the iteration, rounds between two looks at the change, and the change at which it ends.
+ROUNDS, CUT_EVERY, SETTLED = 400, 5, 1e-5
 
 
 def clean_labels(labels: DataFrame) -> DataFrame:
@@ -40,8 +44,10 @@ def agreement_matrix(labels: DataFrame) -> DataFrame:
     """
     rates = labels.groupBy("rater").agg(F.avg("x").alias("_p"))
     z = labels.join(rates, "rater").select("rater", "term", F.coalesce(F.try_divide(F.col("x") - F.col("_p"), F.sqrt(F.col("_p") * (1 - F.col("_p")))), F.lit(0.0)).alias("z"))
+    z = materialize(z)
     other = z.select("term", F.col("rater").alias("b"), F.col("z").alias("zb"))
-    pairs = z.withColumnRenamed("rater", "a").join(other, "term").filter("a <> b")
+    # a term that many raters label is spread over several tasks
+    pairs = salted_join(z.withColumnRenamed("rater", "a"), other, "term").filter("a <> b")
     return pairs.groupBy("a", "b").agg((F.sum(F.col("z") * F.col("zb")) / (F.count(F.lit(1)) + SHRINK)).alias("w"))
 
 
@@ -49,25 +55,35 @@ def reliabilities(labels: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """``rater, r, p, n``: estimated correlation ``r`` of each rater with the truth, rate ``p`` of rank 3, labels ``n``.
 
     ``r`` is the leading eigenvector of the agreement matrix, found by power iteration with sparse joins and scaled so
-    that products of two entries fit the matrix. The majority of raters by weight is taken to be right, so the sum of
-    ``r`` is positive. A rater without common items has 0.
+    that products of two entries fit the matrix. The iteration ends when the vector turns by less than ``SETTLED``
+    between two looks; one that doesn't within ``rounds`` raises. The majority of raters by weight is taken to be right, so
+    the sum of ``r`` is positive. A rater without common items has 0.
     """
     raters = materialize(labels.groupBy("rater").agg(F.avg("x").alias("p"), F.count(F.lit(1)).alias("n")))
     m = materialize(agreement_matrix(labels))
+    # a part of the old vector, in units of the matrix: a negative eigenvalue of equal size can't make it swing
+    shift = 0.1 * float(m.groupBy("a").agg(F.sum(F.abs("w")).alias("s")).agg(F.coalesce(F.max("s"), F.lit(0.0))).first()[0])
     v = raters.select("rater", F.lit(1.0).alias("v"))
-    for i in range(rounds):
-        y = m.join(v, m["b"] == v["rater"]).groupBy("a").agg(F.sum(F.col("w") * F.col("v")).alias("y"))
-        # half of the old vector: a negative eigenvalue of equal size can't make the iteration swing
-        v = v.join(y, v["rater"] == y["a"], "left").select("rater", (F.coalesce("y", F.lit(0.0)) + 0.5 * F.col("v")).alias("v"))
-        if i % CUT_EVERY == CUT_EVERY - 1 or i == rounds - 1:
-            v = materialize(v)
-            norm = v.agg(F.max(F.abs("v")).alias("_norm"))
-            v = v.join(F.broadcast(norm)).select("rater", F.coalesce(F.try_divide("v", F.col("_norm")), F.lit(0.0)).alias("v"))
+    for _ in range(0, rounds, CUT_EVERY):
+        old = v
+        for _step in range(CUT_EVERY):
+            y = m.join(v, m["b"] == v["rater"]).groupBy("a").agg(F.sum(F.col("w") * F.col("v")).alias("y"))
+            v = v.join(y, v["rater"] == y["a"], "left").select("rater", (F.coalesce("y", F.lit(0.0)) + shift * F.col("v")).alias("v"))
+        v = materialize(v)
+        # one look at both: how long the new vector is and how far it has turned
+        seen = v.join(old.withColumnRenamed("v", "_old"), "rater").agg(F.max(F.abs("v")).alias("norm"), F.sum(F.col("v") * F.col("_old")).alias("dot"), F.sum(F.col("v") * F.col("v")).alias("new"), F.sum(F.col("_old") * F.col("_old")).alias("old")).first()
+        norm = seen["norm"] or 0.0
+        v = v.select("rater", (F.col("v") / norm if norm > 0 else F.lit(0.0)).alias("v"))
+        change = math.sqrt(max(0.0, 1 - seen["dot"] ** 2 / (seen["new"] * seen["old"]))) if norm > 0 else 0.0
+        if change <= SETTLED:
+            break
+    else:
+        raise RuntimeError(f"the power iteration still changes by {change:.2g} after {rounds} rounds")
     va, vb = v.select(F.col("rater").alias("a"), F.col("v").alias("va")), v.select(F.col("rater").alias("b"), F.col("v").alias("vb"))
-    fit = m.join(va, "a").join(vb, "b").agg(F.try_divide(F.sum(F.col("w") * F.col("va") * F.col("vb")), F.sum(F.pow(F.col("va") * F.col("vb"), F.lit(2.0)))).alias("_s"))
-    scaled = v.join(F.broadcast(fit)).select("rater", (F.col("v") * F.sqrt(F.greatest(F.coalesce("_s", F.lit(0.0)), F.lit(0.0)))).alias("r"))
-    sign = scaled.agg(F.when(F.sum("r") < 0, -1.0).otherwise(1.0).alias("_sign"))
-    return raters.join(scaled, "rater").join(F.broadcast(sign)).select("rater", F.greatest(F.lit(-0.98), F.least(F.lit(0.98), F.col("r") * F.col("_sign"))).alias("r"), "p", "n")
+    fit = m.join(va, "a").join(vb, "b").agg(F.try_divide(F.sum(F.col("w") * F.col("va") * F.col("vb")), F.sum(F.pow(F.col("va") * F.col("vb"), F.lit(2.0)))).alias("_s")).first()[0]
+    total = v.agg(F.sum("v")).first()[0] or 0.0
+    scale = max(0.0, fit or 0.0) ** 0.5 * (-1.0 if total < 0 else 1.0)
+    return raters.join(v, "rater").select("rater", F.greatest(F.lit(-0.98), F.least(F.lit(0.98), F.col("v") * scale)).alias("r"), "p", "n")
 
 
 def consensus(labels: DataFrame, reliability: DataFrame) -> DataFrame:
@@ -76,13 +92,14 @@ def consensus(labels: DataFrame, reliability: DataFrame) -> DataFrame:
     A label's weight is the log likelihood ratio that follows from its rater's ``r`` and ``p`` and the prevalence of
     rank 3. Zero log odds give the lower rank.
     """
-    prior = reliability.agg(F.coalesce(F.try_divide(F.sum(F.greatest("r", F.lit(0.0)) * F.col("n") * F.col("p")), F.sum(F.greatest("r", F.lit(0.0)) * F.col("n"))), F.lit(0.5)).alias("_pi"))
-    prior = prior.select(F.greatest(F.lit(0.05), F.least(F.lit(0.95), "_pi")).alias("_pi"))
+    trust = F.greatest("r", F.lit(0.0)) * F.col("n")
+    prior = reliability.agg(F.coalesce(F.try_divide(F.sum(trust * F.col("p")), F.sum(trust)), F.lit(0.5))).first()[0]
+    prior = max(0.05, min(0.95, prior))
     spread = F.col("r") * F.sqrt(F.col("p") * (1 - F.col("p")))
     bound = lambda c: F.greatest(F.lit(0.02), F.least(F.lit(0.98), c))
-    rates = reliability.join(F.broadcast(prior)).select("rater", "_pi", bound(F.col("p") + spread * F.sqrt((1 - F.col("_pi")) / F.col("_pi"))).alias("_t"), bound(F.col("p") - spread * F.sqrt(F.col("_pi") / (1 - F.col("_pi")))).alias("_f"))
+    rates = reliability.select("rater", bound(F.col("p") + spread * ((1 - prior) / prior) ** 0.5).alias("_t"), bound(F.col("p") - spread * (prior / (1 - prior)) ** 0.5).alias("_f"))
     weight = F.when(F.col("x") == 1, F.log(F.col("_t") / F.col("_f"))).otherwise(F.log((1 - F.col("_t")) / (1 - F.col("_f"))))
-    votes = labels.join(rates, "rater").groupBy("term").agg((F.sum(weight) + F.log(F.first("_pi") / (1 - F.first("_pi")))).alias("log_odds"), F.count(F.lit(1)).alias("n_labels"))
+    votes = labels.join(rates, "rater").groupBy("term").agg((F.sum(weight) + math.log(prior / (1 - prior))).alias("log_odds"), F.count(F.lit(1)).alias("n_labels"))
     return votes.select("term", F.when(F.round("log_odds", 9) > 0, HIGH).otherwise(LOW).alias("label_rank"), "n_labels", "log_odds")
 
 

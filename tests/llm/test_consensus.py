@@ -1,6 +1,9 @@
 import math
 import random
 
+import numpy as np
+import pytest
+
 from rungwork.llm import consensus as C
 from tests.conftest import rows
 
@@ -45,6 +48,23 @@ def test_reliable_raters_outvote_careless_and_contrary_ones(spark):
 
 def test_empty_and_single_label(spark):
     empty = C.clean_labels(frame(spark, []))
-    assert C.consensus(empty, C.reliabilities(empty, 2)).count() == 0
+    assert C.consensus(empty, C.reliabilities(empty)).count() == 0
     one = C.clean_labels(frame(spark, [("a", 1, "T", 3, 1)]))
-    assert [r["term"] for r in C.consensus(one, C.reliabilities(one, 2)).collect()] == ["T"]
+    assert [r["term"] for r in C.consensus(one, C.reliabilities(one)).collect()] == ["T"]
+
+
+def test_the_vector_is_the_leading_one_or_raises(spark):
+    rng = random.Random(3)
+    data = [(f"a{i}", 2, f"t{j}", 2 + ((j % 3 == 0) ^ (rng.random() < 0.1 + 0.04 * i)), 1) for i in range(9) for j in range(80) if rng.random() < 0.6]
+    labels = C.clean_labels(frame(spark, data)).persist()
+    names = sorted({a + "|2" for a, *_ in data})
+    m = np.zeros((len(names), len(names)))
+    for r in C.agreement_matrix(labels).collect():
+        m[names.index(r["a"]), names.index(r["b"])] = r["w"]
+    values, vectors = np.linalg.eigh(m)
+    want = vectors[:, -1] * np.sign(vectors[:, -1].sum())
+    got = {r["rater"]: r["r"] for r in C.reliabilities(labels).collect()}
+    got = np.array([got[n] for n in names])
+    assert np.allclose(got / np.linalg.norm(got), want, atol=1e-3)
+    with pytest.raises(RuntimeError):
+        C.reliabilities(labels, C.CUT_EVERY - 1)
