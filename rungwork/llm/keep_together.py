@@ -40,8 +40,8 @@ def groups(records: DataFrame) -> DataFrame:
 
 
 def bucket(key: Column, shares: dict[str, float] = SHARES, seed: int = 0) -> Column:
-    """The split whose share of the hash range holds ``key``."""
-    place = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 30)) / float(1 << 30)
+    """The split whose share of the hash range holds ``key``; the hash is the first 32 bits of an MD5, as any engine has."""
+    place = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), key)), 1, 8), 16, 10).cast("long") / float(1 << 32)
     out, upto, names = None, 0.0, list(shares)
     for name in names[:-1]:
         upto += shares[name]
@@ -49,6 +49,21 @@ def bucket(key: Column, shares: dict[str, float] = SHARES, seed: int = 0) -> Col
     return F.lit(names[-1]) if out is None else out.otherwise(names[-1])
 
 
+def assign(found: DataFrame, shares: dict[str, float] = SHARES, seed: int = 0) -> DataFrame:
+    """``segment_id, group_key, bucket`` of ``segment_id, group_key``: groups hashed into ranges of the given shares.
+
+    A group that holds more of the rows than the smallest share would burst that split wherever it is hashed to, so it
+    goes to the largest. There are fewer such groups than the inverse of the smallest share.
+    """
+    found = materialize(found)
+    sizes = found.groupBy("group_key").agg(F.count(F.lit(1)).alias("_n"))
+    total = found.count()
+    giants = [r["group_key"] for r in sizes.filter(F.col("_n") > min(shares.values()) * total).select("group_key").collect()]
+    largest = max(shares, key=shares.get)
+    hashed = bucket(F.col("group_key"), shares, seed)
+    return found.withColumn("bucket", F.when(F.col("group_key").isin(giants), largest).otherwise(hashed) if giants else hashed)
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per segment with the group that may not be divided."""
     return groups(entities(table(spark, sf_dir, "segments"), table(spark, sf_dir, "interviews")))
@@ -56,21 +71,41 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The split itself: groups hashed into proportional ranges."""
-    return p3_found(spark, sf_dir).withColumn("bucket", bucket(F.col("group_key")))
+    return assign(p3_found(spark, sf_dir))
+
+
+def p3_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per split: its share of the segments as wanted and as reached, its segments, groups and largest group."""
+    split = p3_split(spark, sf_dir)
+    per = split.groupBy("bucket", "group_key").agg(F.count(F.lit(1)).alias("_n")).groupBy("bucket").agg(F.sum("_n").alias("n_segments"), F.count(F.lit(1)).alias("n_groups"), F.max("_n").alias("largest_group"))
+    want = spark.createDataFrame(list(SHARES.items()), "bucket string, target_share double")
+    total = per.agg(F.sum("n_segments").alias("_t"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    met = F.broadcast(want).join(per, "bucket", "left").join(F.broadcast(total))
+    return met.select("bucket", "target_share", F.round(F.coalesce(F.try_divide("n_segments", F.col("_t")), F.lit(0.0)), 6).alias("share"), zero("n_segments").alias("n_segments"), zero("n_groups").alias("n_groups"), zero("largest_group").alias("largest_group"))
 
 
 _SQ = r"trim(regexp_replace({}, '[\s\x{{00A0}}]+', ' ', 'g'))"
 _KEYS = "list_distinct(list_filter(list_transform(coalesce(narrators, []), lambda n: nullif(lower(" + _SQ.format("n") + "), '')), lambda n: n IS NOT NULL))"
 
-QUERIES = {"p3_found": p3_found, "p3_split": p3_split}
+QUERIES = {"p3_found": p3_found, "p3_split": p3_split, "p3_shares": p3_shares}
 
-ORACLE = {
-    "p3_found": f"""
-WITH RECURSIVE s AS (SELECT DISTINCT segment_id, nullif({_SQ.format("interview_id")}, '') AS i, list_sort({_KEYS}) AS k FROM segments WHERE segment_id IS NOT NULL),
+_GROUPS = f"""
+s AS (SELECT DISTINCT segment_id, nullif({_SQ.format("interview_id")}, '') AS i, list_sort({_KEYS}) AS k FROM segments WHERE segment_id IS NOT NULL),
 iv AS (SELECT nullif({_SQ.format("interview_id")}, '') AS i, list_sort(list_distinct(flatten(list({_KEYS})))) AS k FROM interviews GROUP BY 1),
 e AS (SELECT segment_id, s.i, CASE WHEN len(s.k) > 0 THEN s.k ELSE coalesce(iv.k, []) END AS k FROM s LEFT JOIN iv ON s.i = iv.i),
 n AS (SELECT DISTINCT segment_id, unnest(list_concat(list_transform(k, lambda x: '0' || x), CASE WHEN i IS NULL THEN (CASE WHEN len(k) = 0 THEN ['2' || segment_id] ELSE [] END) ELSE ['1' || i] END)) AS node FROM e),
 l AS (SELECT DISTINCT a.node AS a, b.node AS b FROM n a JOIN n b USING (segment_id)),
-reach(node, r) AS (SELECT a, b FROM l UNION SELECT reach.node, l.b FROM reach JOIN l ON reach.r = l.a)
-SELECT segment_id, substr(min(r), 2) AS group_key FROM n JOIN reach USING (node) GROUP BY 1"""
+reach(node, r) AS (SELECT a, b FROM l UNION SELECT reach.node, l.b FROM reach JOIN l ON reach.r = l.a),
+found AS (SELECT segment_id, substr(min(r), 2) AS group_key FROM n JOIN reach USING (node) GROUP BY 1)"""
+_PLACE = "(('0x' || substr(md5('0|' || group_key), 1, 8))::BIGINT / 4294967296.0)"
+_SPLIT = f"""{_GROUPS},
+split AS (SELECT segment_id, group_key, CASE WHEN count(*) OVER (PARTITION BY group_key) > 0.1 * count(*) OVER () THEN 'train' WHEN {_PLACE} < 0.8 THEN 'train' WHEN {_PLACE} < 0.9 THEN 'val' ELSE 'test' END AS bucket FROM found)"""
+
+ORACLE = {
+    "p3_found": f"WITH RECURSIVE {_GROUPS} SELECT * FROM found",
+    "p3_split": f"WITH RECURSIVE {_SPLIT} SELECT * FROM split",
+    "p3_shares": f"""WITH RECURSIVE {_SPLIT}, w(bucket, target_share) AS (VALUES ('train', 0.8::DOUBLE), ('val', 0.1::DOUBLE), ('test', 0.1::DOUBLE)),
+    g AS (SELECT bucket, group_key, count(*) AS c FROM split GROUP BY 1, 2), p AS (SELECT bucket, sum(c)::BIGINT AS n_segments, count(*) AS n_groups, max(c) AS largest_group FROM g GROUP BY 1)
+    SELECT bucket, target_share, round(coalesce(n_segments / (SELECT count(*) FROM split)::DOUBLE, 0), 6) AS share, coalesce(n_segments, 0) AS n_segments, coalesce(n_groups, 0) AS n_groups, coalesce(largest_group, 0) AS largest_group FROM w LEFT JOIN p USING (bucket)""",
 }

@@ -39,6 +39,14 @@ def test_buckets_follow_shares(spark):
     assert abs(n["train"] - 0.7) < 0.02 and abs(n["test"] - 0.2) < 0.02
 
 
+def test_a_giant_group_goes_to_the_largest_split(spark):
+    rows_ = [(f"g{i}", "giant") for i in range(400)] + [(f"s{i}", f"k{i}") for i in range(600)]
+    got = K.assign(spark.createDataFrame(rows_, "segment_id string, group_key string"), {"test": 0.1, "train": 0.9})
+    n = {r["bucket"]: r["count"] for r in got.groupBy("bucket").count().collect()}
+    assert {r["bucket"] for r in got.filter("group_key = 'giant'").collect()} == {"train"} and 30 <= n["test"] <= 95
+    assert K.assign(got.drop("bucket").filter("false")).count() == 0
+
+
 def test_similar_sets_match_brute_force(spark):
     rng = random.Random(4)
     sets = {}
