@@ -55,8 +55,9 @@ def turn_score(text: Column) -> Column:
     """Score of a turn as an interviewer's: questions and second person for it, first person and length against it."""
     low = F.lower(text)
     words = F.greatest(F.size(F.filter(F.split(low, r"\s+"), lambda w: w != "")), F.lit(1))
-    second = F.regexp_count(low, F.lit(r"\b(you|your|yours)\b"))
-    first = F.regexp_count(low, F.lit(r"\b(i|we|my|our|me|us)\b"))
+    # fixed values: pronouns of the second and of the first person
+    second = F.regexp_count(low, F.lit(r"\b(you|your|yours|you're|you've|did you|were you|do you)\b"))
+    first = F.regexp_count(low, F.lit(r"\b(i|me|my|mine|we|us|our|i'm|i've|i'd)\b"))
     ask = F.regexp_count(text, F.lit(r"\?")) > 0
     return 2 * ask.cast("int") + 3 * second / words - 3 * first / words + (words < 25).cast("int") - (words > 80).cast("int")
 

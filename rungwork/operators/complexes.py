@@ -44,16 +44,14 @@ def _keyed(said: DataFrame) -> DataFrame:
     return said.select("segment_id", F.explode(forms).alias("f")).select("segment_id", "f.*")
 
 
-def build_complex(segments: DataFrame, rank_map: DataFrame, include_interviewers: bool = False, min_cell_size: int = 1, cut: Callable[[DataFrame], DataFrame] = lambda df: df) -> Complex:
-    """Complex of cleaned segments at all granularities.
+def complex_supports(segments: DataFrame, rank_map: DataFrame, include_interviewers: bool = False) -> DataFrame:
+    """``granularity, cell_rank, cid, base_term, segment_id``: the segments that support each cell.
 
     ``rank_map`` has ``term, cell_rank``; terms of other ranks make no cell. Rank 1 are segments that someone speaks in.
-    An episode takes in the members and segments of the events whose term lies strictly below its own, found by an
-    equi-join on the events' proper prefixes; then cells with fewer than ``min_cell_size`` members are dropped.
-    ``cut`` is applied to the supports, from which cells and members follow; it may write them once.
+    An episode takes in the segments of the events whose term lies strictly below its own, found by an equi-join on the
+    events' proper prefixes.
     """
-    who = voices(segments, include_interviewers)
-    spoken = who.select("segment_id").distinct()
+    spoken = voices(segments, include_interviewers).select("segment_id").distinct()
     said = mentions(segments).join(spoken, "segment_id", "left_semi").join(rank_map.select("term", "cell_rank").distinct(), "term")
     events = _keyed(said.filter("cell_rank = 2")).select("granularity", F.lit(2).alias("cell_rank"), F.concat(F.lit("r2:"), "key").alias("cid"), "base_term", "segment_id").distinct()
     all_ = F.explode(F.array(*map(F.lit, GRANULARITIES))).alias("granularity")
@@ -65,9 +63,13 @@ def build_complex(segments: DataFrame, rank_map: DataFrame, include_interviewers
     taken = own.unionByName(below.join(episodes, ["granularity", "base_term"], "left_semi"))
     upper = taken.select("granularity", F.lit(3).alias("cell_rank"), F.concat(F.lit("r3:"), "base_term").alias("cid"), "base_term", "segment_id").distinct()
     moments = spoken.select(all_, F.lit(1).alias("cell_rank"), F.col("segment_id").alias("cid"), F.lit(None).cast("string").alias("base_term"), "segment_id")
-    supports = cut(moments.unionByName(events).unionByName(upper))
+    return moments.unionByName(events).unionByName(upper)
+
+
+def complex_from_supports(segments: DataFrame, supports: DataFrame, include_interviewers: bool = False, min_cell_size: int = 1) -> Complex:
+    """The complex that follows from its supports; cells with fewer than ``min_cell_size`` members are dropped."""
     key = ["granularity", "cell_rank", "cid"]
-    members = supports.join(who, "segment_id").select(*key, "narrator").distinct()
+    members = supports.join(voices(segments, include_interviewers), "segment_id").select(*key, "narrator").distinct()
     cells = supports.select(*key, "base_term").distinct()
     if min_cell_size > 1:
         kept = members.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter((F.col("_n") >= min_cell_size) | (F.col("cell_rank") == 1)).select(*key)
@@ -76,6 +78,14 @@ def build_complex(segments: DataFrame, rank_map: DataFrame, include_interviewers
     return Complex(cells, members, supports.select(*key, "segment_id"), ground)
 
 
+def build_complex(segments: DataFrame, rank_map: DataFrame, include_interviewers: bool = False, min_cell_size: int = 1, cut: Callable[[DataFrame], DataFrame] = lambda df: df) -> Complex:
+    """Complex of cleaned segments at all granularities: :func:`complex_supports`, then :func:`complex_from_supports`.
+
+    ``cut`` is applied to the supports, from which cells and members follow; it may write them once.
+    """
+    return complex_from_supports(segments, cut(complex_supports(segments, rank_map, include_interviewers)), include_interviewers, min_cell_size)
+
+
 def triage(sizes: DataFrame, k: int = 50) -> DataFrame:
     """``granularity, pos, cid, size``: the ``k`` events with fewest members, then by key, of each granularity."""
     pos = F.row_number().over(W.partitionBy("granularity").orderBy("size", "cid"))

@@ -17,17 +17,29 @@ SHINGLE, LEAST_WORDS, THRESHOLD = 5, 8, 0.8
 BANDS, ROWS = 22, 4
 
 
-def shingles(text: Column, width: int = SHINGLE) -> Column:
-    """Distinct hashes of ``width`` words in a row; NULL for texts with fewer than eight words."""
-    words = F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
-    at = F.sequence(F.lit(0), F.size(words) - width)
-    return F.when(F.size(words) >= LEAST_WORDS, F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice(words, i + 1, width), " ")))))
+def words(text: Column) -> Column:
+    """Lower-case words of a text."""
+    return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
 
 
-def text_classes(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, class_id, sh`` of texts that have shingles: texts with the same shingles are one class, named by a hash."""
-    s = df.filter(F.col(key).isNotNull()).select(key, shingles(F.col(text)).alias("sh")).filter(F.col("sh").isNotNull())
-    return s.withColumn("sh", F.array_sort("sh")).withColumn("class_id", F.md5(F.array_join(F.transform("sh", lambda h: h.cast("string")), ",")))
+def shingles(words_: Column, width: int = SHINGLE) -> Column:
+    """Distinct hashes of ``width`` words in a row, in order; NULL for texts with fewer than eight words.
+
+    ``words_`` should be a column of its own: an expression would be computed again for every shingle.
+    """
+    at = F.sequence(F.lit(0), F.size(words_) - width)
+    return F.when(F.size(words_) >= LEAST_WORDS, F.array_sort(F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice(words_, i + 1, width), " "))))))
+
+
+def text_classes(df: DataFrame, key: str, text: str, owners: str | None = None) -> DataFrame:
+    """``key, class_id, sh`` of texts that have shingles: texts with the same shingles are one class, named by a hash.
+
+    A key delivered again with the same text counts once. ``owners`` names a column of arrays to keep beside the key.
+    """
+    more = [owners] if owners else []
+    w = spread(df.filter(F.col(key).isNotNull()).select(key, *more, text)).select(key, *more, words(F.col(text)).alias("_w"))
+    s = w.select(key, *more, shingles(F.col("_w")).alias("sh")).filter(F.col("sh").isNotNull())
+    return s.withColumn("class_id", F.md5(F.array_join(F.transform("sh", lambda h: h.cast("string")), ","))).dropDuplicates([key, "class_id"])
 
 
 def _band_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -69,7 +81,7 @@ def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = THRES
 
     Texts of fewer than eight words and NULL texts have no row; a key delivered again with the same text counts once.
     """
-    classes = materialize(text_classes(df.select(key, text).distinct(), key, text))
+    classes = materialize(text_classes(df, key, text))
     links = similar_classes(classes, threshold)
     ends = links.select(F.explode(F.array("class_a", "class_b")).alias("class_id")).groupBy("class_id").agg(F.count(F.lit(1)).alias("n_links"))
     sizes = classes.groupBy("class_id").agg(F.count(F.lit(1)).alias("n_copies"))

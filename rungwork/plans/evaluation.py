@@ -17,7 +17,7 @@ from rungwork.operators import ranking as R
 from rungwork.operators import splits as S
 from rungwork.operators import statistics as ST
 from rungwork.operators import vectors as V
-from rungwork.plans.prelude import MID, SEG, complex_of, keys, segments, sq, term
+from rungwork.plans.prelude import MID, SEG, complex_of, keys, segments, sizes_of, sq, term
 from rungwork.plans.structure import _LATEST, _round
 from rungwork.session import materialize, table
 from rungwork.sources.readers import numbers_in_json
@@ -151,7 +151,7 @@ def cell_retrieval_queries(s, d):
 
 
 def _triage_lists(s, d):
-    return materialize(C.triage_referents(complex_of(s, d)[1].sizes()).select(F.col("granularity").alias("list_id"), "pos", F.col("referent").alias("item")))
+    return materialize(C.triage_referents(sizes_of(s, d)).select(F.col("granularity").alias("list_id"), "pos", F.col("referent").alias("item")))
 
 
 def rank_biased_overlap(s, d):
@@ -212,7 +212,7 @@ def singleton_interval(s, d):
 
 
 def size_ks(s, d):
-    sizes = complex_of(s, d)[1].sizes().filter("cell_rank = 2")
+    sizes = sizes_of(s, d).filter("cell_rank = 2")
     return _round(ST.ks_distance(sizes.filter("granularity = 'mid'"), sizes.filter("granularity = 'fine'"), "size"), "ks")
 
 
@@ -222,7 +222,7 @@ def violation_ratio(s, d):
 
 
 def size_slope(s, d):
-    sizes = complex_of(s, d)[1].sizes().filter("cell_rank = 2 and granularity = 'mid'").select(F.log1p("n_segments").alias("x"), F.col("size").cast("double").alias("y"))
+    sizes = sizes_of(s, d).filter("cell_rank = 2 and granularity = 'mid'").select(F.log1p("n_segments").alias("x"), F.col("size").cast("double").alias("y"))
     return _round(ST.slope_hc3(sizes, "x", "y"), "intercept", "slope", "se", digits=5)
 
 
@@ -266,7 +266,7 @@ def triage_stability(s, d):
 
 
 def stratified_sizes(s, d):
-    sizes = complex_of(s, d)[1].sizes().filter("cell_rank = 2 and granularity = 'mid' and size >= 2")
+    sizes = sizes_of(s, d).filter("cell_rank = 2 and granularity = 'mid' and size >= 2")
     band = F.when(F.col("size") <= 3, "2-3").when(F.col("size") <= 10, "4-10").when(F.col("size") <= 50, "11-50").otherwise("51+")
     return _round(sizes.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n"), F.avg("n_segments").alias("segments_mean")), "segments_mean")
 
@@ -431,7 +431,7 @@ _LISTS = "o AS (SELECT granularity, array_to_string(string_split(base_term, ' --
 _PLAIN = "trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace({}, '<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '[\\s\\x{{00A0}}]+', ' ', 'g'))"
 _WORDS = "greatest(len(list_filter(regexp_split_to_array(lower(raw), '\\s+'), lambda w: w <> '')), 1)"
 _N = "len(regexp_extract_all(lower(raw), '\\b({})\\b'))"
-_SCORE = f"2 * (contains(raw, '?'))::INT + 3.0 * {_N.format('you|your|yours')} / {_WORDS} - 3.0 * {_N.format('i|we|my|our|me|us')} / {_WORDS} + ({_WORDS} < 25)::INT - ({_WORDS} > 80)::INT"
+_SCORE = f"2 * (contains(raw, '?'))::INT + 3.0 * {_N.format("you|your|yours|you''re|you''ve|did you|were you|do you")} / {_WORDS} - 3.0 * {_N.format("i|me|my|mine|we|us|our|i''m|i''ve|i''d")} / {_WORDS} + ({_WORDS} < 25)::INT - ({_WORDS} > 80)::INT"
 
 ORACLE = {
     "make_split": f"WITH {SEG} {_SPLIT.format(u='segment_id', t='seg').replace('segment_id AS unit', 'segment_id AS unit')}",

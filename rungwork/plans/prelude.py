@@ -5,25 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rungwork.operators.complexes import Complex, build_complex
+from rungwork.operators.complexes import Complex, complex_from_supports, complex_supports
 from rungwork.operators.corpus import clean_segments, rank_maps, topic_terms
-from rungwork.session import materialize, table
+from rungwork.session import kept, table
 
 
 def segments(spark: SparkSession, d: str) -> DataFrame:
-    """Cleaned segments, written once."""
-    return materialize(clean_segments(table(spark, d, "segments"), table(spark, d, "interviews")))
+    """Cleaned segments, written once an application."""
+    return kept(spark, d, "segments", lambda: clean_segments(table(spark, d, "segments"), table(spark, d, "interviews")))
 
 
-def maps(spark: SparkSession, d: str, seg: DataFrame) -> DataFrame:
-    """All rank maps over the terms in use."""
-    return rank_maps(topic_terms(seg), table(spark, d, "term_labels"))
+def maps(spark: SparkSession, d: str) -> DataFrame:
+    """All rank maps over the terms in use, written once an application."""
+    return kept(spark, d, "maps", lambda: rank_maps(topic_terms(segments(spark, d)), table(spark, d, "term_labels")))
 
 
 def complex_of(spark: SparkSession, d: str, map_name: str = "R-B") -> tuple[DataFrame, Complex]:
-    """Cleaned segments and their complex under one rank map; segments and supports are written once."""
-    seg = segments(spark, d)
-    return seg, build_complex(seg, maps(spark, d, seg).filter(F.col("map_name") == map_name), cut=materialize)
+    """Cleaned segments and their complex under one rank map.
+
+    Its parts are written once an application, by granularity and rank, so a query reads only what it asks for.
+    """
+    seg, by = segments(spark, d), ("granularity", "cell_rank")
+    plain: list[Complex] = []
+
+    def made() -> Complex:
+        if not plain:
+            supports = kept(spark, d, f"supports {map_name}", lambda: complex_supports(seg, maps(spark, d).filter(F.col("map_name") == map_name)), *by)
+            plain.append(complex_from_supports(seg, supports))
+        return plain[0]
+
+    parts = {name: kept(spark, d, f"{name} {map_name}", lambda name=name: getattr(made(), name), *by) for name in ("cells", "members", "supports")}
+    ground = kept(spark, d, "ground", lambda: made().ground)
+    return seg, Complex(parts["cells"], parts["members"], parts["supports"].select("granularity", "cell_rank", "cid", "segment_id"), ground)
+
+
+def sizes_of(spark: SparkSession, d: str, map_name: str = "R-B") -> DataFrame:
+    """The cells of the complex with their sizes, written once an application."""
+    return kept(spark, d, f"sizes {map_name}", lambda: complex_of(spark, d, map_name)[1].sizes(), "granularity", "cell_rank")
 
 
 def sq(x: str) -> str:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rungwork.operators import complexes as C
 from rungwork.operators import corpus as K
-from rungwork.plans.prelude import CX, SEG, complex_of, keys, maps, segments, sq, term
+from rungwork.plans.prelude import CX, SEG, complex_of, keys, maps, segments, sizes_of, sq, term
 from rungwork.session import table
 
 
@@ -23,7 +23,7 @@ def topic_tree(s, d):
 
 
 def rank_maps(s, d):
-    return maps(s, d, segments(s, d))
+    return maps(s, d)
 
 
 def frequency_strata(s, d):
@@ -50,39 +50,39 @@ def narrator_roles(s, d):
 
 
 def complex_cells(s, d):
-    return complex_of(s, d)[1].sizes()
+    return sizes_of(s, d)
 
 
 def complex_with_interviewers(s, d):
     seg = segments(s, d)
-    cx = C.build_complex(seg, maps(s, d, seg).filter("map_name = 'R-B'"), include_interviewers=True)
+    cx = C.build_complex(seg, maps(s, d).filter("map_name = 'R-B'"), include_interviewers=True)
     return cx.sizes().groupBy("granularity", "cell_rank").agg(F.count(F.lit(1)).alias("n_cells"), F.sum("size").alias("n_members"))
 
 
 def complex_min_size(s, d):
-    seg = segments(s, d)
-    cx = C.build_complex(seg, maps(s, d, seg).filter("map_name = 'R-B'"), min_cell_size=3)
-    return cx.sizes().groupBy("granularity", "cell_rank").agg(F.count(F.lit(1)).alias("n_cells"), F.sum("size").alias("n_members"))
+    seg, cx = complex_of(s, d)
+    supports = cx.supports.withColumn("base_term", F.lit(None).cast("string"))
+    return C.complex_from_supports(seg, supports, min_cell_size=3).sizes().groupBy("granularity", "cell_rank").agg(F.count(F.lit(1)).alias("n_cells"), F.sum("size").alias("n_members"))
 
 
 def complex_summary(s, d):
-    return _round(C.summary(complex_of(s, d)[1].sizes()), "size_mean", "size_median", "singletons")
+    return _round(C.summary(sizes_of(s, d)), "size_mean", "size_median", "singletons")
 
 
 def attestation_triage(s, d):
-    return C.triage(complex_of(s, d)[1].sizes())
+    return C.triage(sizes_of(s, d))
 
 
 def triage_referents(s, d):
-    return C.triage_referents(complex_of(s, d)[1].sizes())
+    return C.triage_referents(sizes_of(s, d))
 
 
 def attestation_histogram(s, d):
-    return C.attestation_histogram(complex_of(s, d)[1].sizes())
+    return C.attestation_histogram(sizes_of(s, d))
 
 
 def size_extremes(s, d):
-    return _round(C.extremes(complex_of(s, d)[1].sizes()), "ratio")
+    return _round(C.extremes(sizes_of(s, d)), "ratio")
 
 
 def _incidence(k, j):
@@ -115,25 +115,23 @@ def support_injectivity(s, d):
 
 
 def obstruction_audit(s, d):
-    seg = segments(s, d)
     out = None
     for name in ("R-A", "R-B", "R-C"):
-        cx = C.build_complex(seg, maps(s, d, seg).filter(F.col("map_name") == name))
-        part = _round(C.support_injectivity(cx), "collapse").select(F.lit(name).alias("map_name"), "*")
+        part = _round(C.support_injectivity(complex_of(s, d, name)[1]), "collapse").select(F.lit(name).alias("map_name"), "*")
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def rank_size_spearman(s, d):
-    return _round(C.spearman(complex_of(s, d)[1].sizes(), ["granularity"], "cell_rank", "size"), "rho")
+    return _round(C.spearman(sizes_of(s, d), ["granularity"], "cell_rank", "size"), "rho")
 
 
 def rank_size_concordance(s, d):
-    return C.concordance(complex_of(s, d)[1].sizes())
+    return C.concordance(sizes_of(s, d))
 
 
 def attestation_vs_frequency(s, d):
-    return _round(C.spearman(complex_of(s, d)[1].sizes().filter("cell_rank = 2"), ["granularity"], "size", "n_segments"), "rho")
+    return _round(C.spearman(sizes_of(s, d).filter("cell_rank = 2"), ["granularity"], "size", "n_segments"), "rho")
 
 
 def sanity(s, d):
