@@ -393,6 +393,12 @@ def near_duplicate_documents(s, d):
     return N.near_duplicates(t, "segment_id", "description").select("segment_id", "n_copies", "n_links")
 
 
+def near_duplicate_pairs(s, d):
+    """Near-same descriptions of segments without a common narrator."""
+    t = segments(s, d).select("segment_id", "narrators", "description")
+    return _round(N.duplicate_pairs(t, "segment_id", "description", "narrators"), "jaccard")
+
+
 def event_numbers(s, d):
     return numbers_in_json(table(s, d, "events"), "props").groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
@@ -416,7 +422,7 @@ def revenue_by_segment(s, d):
     return x.groupBy("r_name", "c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
 
 
-_FNS = (make_split, stored_splits, partition_incidences, split_straddle, exposure_law, training_pairs, negatives_uniform, negatives_size_matched, negatives_motif, negatives_clique, negatives_hard, retrieval_cosine, dense_pair_scores, link_auc, link_ranking, cell_retrieval_queries, rank_biased_overlap, jaccard_at, label_confusion, agreement_diagnostics, ordinal_alpha, dispute_kinds, design_effect, turn_length_bootstrap, singleton_interval, size_ks, violation_ratio, size_slope, clustering_scores, ceaf, linkage_sweep, role_length_did, anonymised_profile, triage_stability, stratified_sizes, cowitness_graph, betti_curve, persistence, degree_profile, forman_curvature, hypergraph_laplacian, spectral_encoding, error_rates, perturbed_sizes, label_centroids, rank_features, message_passing, row_weights, identity_probe, clean_descriptions, turn_roles, turn_role_evaluation, transcript_headers, segment_marks_asof, document_quality, phrase_counts, near_duplicate_documents, event_numbers, term_ambiguity, revenue_by_segment)
+_FNS = (make_split, stored_splits, partition_incidences, split_straddle, exposure_law, training_pairs, negatives_uniform, negatives_size_matched, negatives_motif, negatives_clique, negatives_hard, retrieval_cosine, dense_pair_scores, link_auc, link_ranking, cell_retrieval_queries, rank_biased_overlap, jaccard_at, label_confusion, agreement_diagnostics, ordinal_alpha, dispute_kinds, design_effect, turn_length_bootstrap, singleton_interval, size_ks, violation_ratio, size_slope, clustering_scores, ceaf, linkage_sweep, role_length_did, anonymised_profile, triage_stability, stratified_sizes, cowitness_graph, betti_curve, persistence, degree_profile, forman_curvature, hypergraph_laplacian, spectral_encoding, error_rates, perturbed_sizes, label_centroids, rank_features, message_passing, row_weights, identity_probe, clean_descriptions, turn_roles, turn_role_evaluation, transcript_headers, segment_marks_asof, document_quality, phrase_counts, near_duplicate_documents, near_duplicate_pairs, event_numbers, term_ambiguity, revenue_by_segment)
 QUERIES = {f.__name__: f for f in _FNS}
 
 _SPLIT = "SELECT {u} AS unit, CASE WHEN i < floor(0.7 * n) THEN 'train' WHEN i < floor(0.7 * n) + floor(0.15 * n) THEN 'val' ELSE 'test' END AS bucket FROM (SELECT {u}, row_number() OVER (ORDER BY md5('0|' || {u}), {u}) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT {u} FROM {t}))"
@@ -504,6 +510,11 @@ ORACLE = {
       h AS (SELECT segment_id, list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) AS sh FROM t WHERE len(w) >= 8), c AS (SELECT sh, count(*) AS n, min(segment_id) AS id FROM h GROUP BY 1),
       g AS (SELECT id, unnest(sh) AS x, len(sh) AS m FROM c), p AS (SELECT a.id AS a, b.id AS b, count(*) AS k, any_value(a.m) AS ma, any_value(b.m) AS mb FROM g a JOIN g b ON a.x = b.x AND a.id <> b.id GROUP BY 1, 2), l AS (SELECT a, count(*) AS n_links FROM p WHERE k >= 0.8 * (ma + mb - k) GROUP BY 1)
       SELECT h.segment_id, c.n AS n_copies, coalesce(n_links, 0) AS n_links FROM h JOIN c USING (sh) LEFT JOIN l ON l.a = c.id""",
+    "near_duplicate_pairs": rf"""WITH {SEG}, t AS (SELECT segment_id, narrators, list_filter(string_split(regexp_replace(lower(description), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '), lambda w: w <> '') AS w FROM seg WHERE description IS NOT NULL),
+      h AS (SELECT segment_id, narrators, list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) AS sh FROM t WHERE len(w) >= 8),
+      u AS (SELECT min(segment_id) AS id, narrators AS own, sh FROM h GROUP BY CASE WHEN len(narrators) > 0 THEN array_to_string(narrators, '|') ELSE segment_id END, narrators, sh),
+      g AS (SELECT id, unnest(sh) AS x, len(sh) AS m FROM u), p AS (SELECT a.id AS a, b.id AS b, count(*) / (any_value(a.m) + any_value(b.m) - count(*)) AS j FROM g a JOIN g b ON a.x = b.x AND a.id < b.id GROUP BY 1, 2)
+      SELECT a AS key_a, b AS key_b, round(j, 6) AS jaccard FROM p JOIN u x ON x.id = a JOIN u y ON y.id = b WHERE j >= 0.8 AND NOT list_has_any(x.own, y.own)""",
     "event_numbers": "SELECT 'k' AS path, count(*) AS n, sum(json_extract(props, '$.k')::DOUBLE) AS total FROM events WHERE json_extract(props, '$.k') IS NOT NULL",
     "term_ambiguity": f"""WITH {SEG}, t AS (SELECT term, n_segments, CASE WHEN depth > 1 THEN array_to_string(string_split(term, ' -- ')[1:depth - 1], ' -- ') END AS parent FROM terms), x AS (SELECT term, ln(1 + n_segments) AS f, CASE WHEN parent IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY parent) - 1 END::DOUBLE AS sib FROM t),
       z AS (SELECT term, round(-coalesce((f - avg(f) OVER ()) / nullif(stddev_pop(f) OVER (), 0), 0) + coalesce((sib - avg(sib) OVER ()) / nullif(stddev_pop(sib) OVER (), 0), 0), 6) AS score FROM x) SELECT term, score, row_number() OVER (ORDER BY score DESC, term) <= greatest(1, count(*) OVER () // 10) AS flagged FROM z""",
