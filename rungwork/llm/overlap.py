@@ -137,7 +137,7 @@ def _marked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if len(df):
             marks = _Texts(df).marks()
             folded = np.bitwise_xor.reduce(marks.reshape(len(df), -1, CARRIED), axis=1)
-            yield df.assign(marks=list(marks), **{m: folded[:, i] for i, m in enumerate(_MARK_NAMES)})
+            yield df.assign(marks=pd.Series(list(marks), index=df.index, dtype=object), **{m: folded[:, i] for i, m in enumerate(_MARK_NAMES)})
 
 
 def _frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
