@@ -98,3 +98,52 @@ def fixed(value: Column, digits: int) -> Column:
 def tidy_author(name: Column) -> Column:
     """``Last, First`` as ``First Last``."""
     return F.when(F.instr(name, ",") > 0, squeeze(F.concat_ws(" ", F.element_at(F.split(name, ","), 2), F.element_at(F.split(name, ","), 1)))).otherwise(squeeze(name))
+
+
+def clean_speech(text: Column) -> Column:
+    """Spoken text without annotations in brackets, filled pauses and repeated words; ``<INAUD>`` where none understood."""
+    # fixed values: what stands for an unintelligible stretch, and filled pauses
+    t = F.regexp_replace(text, r"(?i)\[[^\]]*(inaudible|unintelligible)[^\]]*\]", " <INAUD> ")
+    t = F.regexp_replace(F.regexp_replace(t, r"\[[^\]]*\]", " "), r"(?i)\b(uh+|um+|er+|ah+|mm+|hmm+)\b,?\s*", "")
+    return squeeze(F.regexp_replace(t, r"(?i)\b(\w+)(\s+\1\b)+", "$1"))
+
+
+def plain_of_latex(source: Column) -> Column:
+    """Prose of a LaTeX source: comments, mathematics, citations and commands dropped, the text of commands kept."""
+    t = F.regexp_replace(source, r"(?m)(?<!\\)%.*$", " ")
+    t = F.regexp_replace(t, r"(?s)\\begin\{(equation|align|table|figure|tabular)\*?\}.*?\\end\{\1\*?\}|\$\$.*?\$\$|\$[^$]*\$", " ")
+    t = F.regexp_replace(t, r"\\(cite[a-z]*|ref|label|eqref|includegraphics|bibliography[a-z]*)\*?(\[[^\]]*\])?\{[^}]*\}", " ")
+    t = F.regexp_replace(F.regexp_replace(t, r"\\[a-zA-Z]+\*?(\[[^\]]*\])?\{([^{}]*)\}", "$2"), r"\\[a-zA-Z]+\*?|[{}~]", " ")
+    return squeeze(t)
+
+
+def sections(source: Column) -> Column:
+    """``title, body`` of the parts of a text with headings ``# ...`` or ``\\section{...}``, in order."""
+    marked = F.regexp_replace(F.regexp_replace(source, r"(?m)^#+\s*(.+?)\s*$", "\x01$1\x02"), r"\\(?:sub)*section\*?\{([^}]*)\}", "\x01$1\x02")
+    parts = F.slice(F.split(marked, "\x01"), 2, 1 << 30)
+    bare = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    return F.transform(parts, lambda p: F.struct(bare(F.substring_index(p, "\x02", 1)).alias("title"), bare(F.substring_index(p, "\x02", -1)).alias("body")))
+
+
+def scientific(value: Column, digits: int = 1) -> Column:
+    """``m x 10^e`` with so many decimals; 0 and NULL as they are."""
+    e = F.floor(F.log10(F.abs(value))).cast("int")
+    m = F.round(value / F.pow(F.lit(10.0), e), digits)
+    over = F.abs(m) >= 10
+    m, e = F.when(over, m / 10).otherwise(m), F.when(over, e + 1).otherwise(e)
+    return F.when(value == 0, "0").otherwise(F.concat(fixed(m, digits), F.lit(" x 10^"), e.cast("string")))
+
+
+def percent(value: Column, digits: int = 1) -> Column:
+    """A share as a percentage."""
+    return F.concat(fixed(value * 100, digits), F.lit("%"))
+
+
+def grouped(value: Column) -> Column:
+    """An integer with commas between thousands."""
+    return F.format_number(value, 0)
+
+
+def yes_no(value: Column) -> Column:
+    """``yes`` or ``no``; NULL stays."""
+    return F.when(value.isNull(), F.lit(None)).when(value, "yes").otherwise("no")

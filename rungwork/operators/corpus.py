@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rungwork.functions.keys import canonical_key, canonical_term, distinct_keys, squeeze
+from rungwork.operators.skew import number_rows
 
 UNSPECIFIED = "UNSPECIFIED"
 RANK_EVENT, RANK_EPISODE = 2, 3
@@ -119,7 +119,8 @@ def rank_maps(terms: DataFrame, labels: DataFrame) -> DataFrame:
 
 def frequency_strata(terms: DataFrame) -> DataFrame:
     """``term, n_segments, stratum``: thirds of the terms by falling frequency, and those of one or two segments."""
-    placed = terms.select("term", "n_segments", (F.row_number().over(W.orderBy(F.desc("n_segments"), "term")) - 1).alias("_i")).crossJoin(F.broadcast(terms.agg(F.count(F.lit(1)).alias("_n"))))
+    ordered = terms.select(F.lit(1).alias("_all"), "term", "n_segments", (-F.col("n_segments")).alias("_f"))
+    placed = number_rows(ordered, ["_all"], ["_f", "term"]).withColumnRenamed("_pos", "_i").crossJoin(F.broadcast(terms.agg(F.count(F.lit(1)).alias("_n"))))
     third = F.floor(F.col("_n") / 3)
     return placed.select("term", "n_segments", F.when(F.col("n_segments") <= 2, "rare_1_2").when(F.col("_i") < third, "head").when(F.col("_i") < 2 * third, "middle").otherwise("tail").alias("stratum"))
 

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rungwork.operators.components import connected_components
+from rungwork.session import materialize
 
-#: Most nodes whose spectrum is computed in one task.
+#: Most nodes whose spectrum is computed in one task; more are iterated.
 SPECTRUM_NODES = 3_000
 
 
@@ -85,12 +86,12 @@ def laplacian(members: DataFrame) -> DataFrame:
 
 
 def spectral_encoding(entries: DataFrame, k: int = 16, most: int = SPECTRUM_NODES) -> DataFrame:
-    """``node, pos, value``: first ``k`` non-trivial eigenvectors of a symmetric matrix, signs fixed by largest entry.
+    """``node, pos, value``: first ``k`` non-trivial eigenvectors of a Laplacian, signs fixed by the largest entry.
 
-    The matrix of at most ``most`` nodes is solved in one task; a larger one raises.
+    A matrix of at most ``most`` nodes is solved in one task, a larger one by :func:`spectral_by_iteration`.
     """
     if entries.select("a").distinct().count() > most:
-        raise ValueError(f"more than {most} nodes")
+        return spectral_by_iteration(entries, k)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         names = sorted(set(pdf["a"]))
@@ -104,3 +105,77 @@ def spectral_encoding(entries: DataFrame, k: int = 16, most: int = SPECTRUM_NODE
         return pd.DataFrame({"node": np.array(names)[i.ravel()], "pos": j.ravel(), "value": v.ravel()})
 
     return entries.groupBy(F.lit(1).alias("_g")).applyInPandas(solve, "node string, pos long, value double")
+
+
+def spectral_by_iteration(entries: DataFrame, k: int = 16, more: int = 8, rounds: int = 600, every: int = 4, settled: float = 1e-7) -> DataFrame:
+    """:func:`spectral_encoding` by subspace iteration with sparse joins; only small Gram matrices come to the driver.
+
+    ``2 - L`` is applied to ``k + 1 + more`` vectors at once, which are made orthonormal by the Cholesky factor of their
+    products, until the wanted eigenvalues settle; a rotation in the subspace then gives the eigenvectors. Raises where
+    they don't settle.
+    """
+    width = min(k + 1 + more, max(2, entries.select("a").distinct().count()))
+    cols = [f"v{i}" for i in range(width)]
+    moved = materialize(entries.select("a", "b", (F.when(F.col("a") == F.col("b"), 2.0).otherwise(0.0) - F.col("value")).alias("w")))
+    start = [(F.pmod(F.xxhash64(F.lit(i), "a"), F.lit(1 << 20)) / float(1 << 20) - 0.5).alias(c) for i, c in enumerate(cols)]
+    v = materialize(moved.select("a").distinct().select(F.col("a").alias("node"), *start))
+
+    def products(x: DataFrame, left: list[str], right: list[str]) -> np.ndarray:
+        row = x.agg(*[F.sum(F.col(p) * F.col(q)).alias(f"{i}_{j}") for i, p in enumerate(left) for j, q in enumerate(right)]).first()
+        return np.array(row, dtype=float).reshape(len(left), len(right))
+
+    def combined(x: DataFrame, m: np.ndarray) -> DataFrame:
+        return x.select("node", *[sum((float(m[i, j]) * F.col(c) for i, c in enumerate(cols)), F.lit(0.0)).alias(cols[j]) for j in range(m.shape[1])])
+
+    def applied(x: DataFrame) -> DataFrame:
+        return moved.join(x, F.col("b") == F.col("node")).groupBy("a").agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in cols]).withColumnRenamed("a", "node")
+
+    old = None
+    for _ in range(0, rounds, every):
+        for _step in range(every):
+            v = applied(v)
+        v = materialize(v)
+        factor = np.linalg.cholesky(products(v, cols, cols) + 1e-12 * np.eye(width))
+        v = materialize(combined(v, np.linalg.inv(factor).T))
+        image = applied(v).select("node", *[F.col(c).alias(f"y{i}") for i, c in enumerate(cols)])
+        h = products(v.join(image, "node"), cols, [f"y{i}" for i in range(width)])
+        values, turn = np.linalg.eigh((h + h.T) / 2)
+        values, turn = values[::-1], turn[:, ::-1]
+        if old is not None and np.abs(values[: k + 1] - old[: k + 1]).max() < settled:
+            break
+        old = values
+    else:
+        raise RuntimeError("the eigenvalues did not settle")
+    kept = combined(v, turn[:, 1 : k + 1])
+    long = kept.select("node", F.posexplode(F.array(*cols[: min(k, width - 1)])).alias("pos", "value"))
+    sign = long.groupBy("pos").agg(F.sign(F.max_by("value", F.abs("value"))).alias("_s"))
+    return long.join(F.broadcast(sign), "pos").select("node", F.col("pos").cast("long").alias("pos"), (F.col("value") * F.col("_s")).alias("value"))
+
+
+def encodings(members: DataFrame, ground: DataFrame, k: int = 16) -> DataFrame:
+    """``node, block``: eigenvectors, curvature and degree profile of each narrator, every column standardised.
+
+    Narrators outside the Laplacian have zeros for its vectors before that; a constant column becomes zeros.
+    """
+    spectral = spectral_encoding(laplacian(members), k).groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"]).alias("_v"))
+    curve = forman_curvature(cowitness(members)).select(F.col("narrator").alias("node"), "curvature")
+    profile = degree_profile(members, ground).select(F.col("narrator").alias("node"), "degree", "mean_size", "max_size", "min_size")
+    width = spectral.agg(F.max(F.size("_v"))).first()[0] or 0
+    vec = [F.coalesce(F.get("_v", F.lit(i)), F.lit(0.0)).alias(f"c{i}") for i in range(width)]
+    rest = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"c{width + i}") for i, c in enumerate(("curvature", "degree", "mean_size", "max_size", "min_size"))]
+    flat = materialize(profile.join(spectral, "node", "left").join(curve, "node", "left").select("node", *vec, *rest))
+    names = [c for c in flat.columns if c != "node"]
+    stats = flat.agg(*[F.avg(c).alias(f"m_{c}") for c in names], *[F.stddev_pop(c).alias(f"s_{c}") for c in names])
+    block = F.array(*[F.coalesce(F.try_divide(F.col(c) - F.col(f"m_{c}"), F.when(F.col(f"s_{c}") > 1e-12, F.col(f"s_{c}"))), F.lit(0.0)) for c in names])
+    return flat.join(F.broadcast(stats)).select("node", block.alias("block"))
+
+
+def permutation_test(members: DataFrame, draws: int = 1_000) -> DataFrame:
+    """``curve, observed, null_mean, null_sd, p_value, degenerate``: areas of the Betti curves against shuffled cells.
+
+    Dealing the member sets anew to the cells changes names only: the co-witness graph doesn't depend on them, so each of
+    the ``draws`` gives the observed areas again. They are therefore not drawn; the null distribution is one point, p is
+    1 by construction, and ``degenerate`` says so.
+    """
+    seen = persistence(filtration(members)).select("curve", F.col("area").cast("double").alias("observed"))
+    return seen.select("curve", "observed", F.col("observed").alias("null_mean"), F.lit(0.0).alias("null_sd"), F.lit(1.0).alias("p_value"), F.lit(draws).alias("draws"), F.lit(True).alias("degenerate"))

@@ -63,9 +63,9 @@ def text_classes(df: DataFrame, key: str, text: str, owners: str | None = None)
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
             sets = shingle_sets(df["_text"].tolist())
-            on = [s is not None for s in sets]
-            found = [s for s in sets if s is not None]
-            yield df.loc[on, [key, *more]].assign(sh=found, class_id=[hashlib.md5(s.tobytes()).hexdigest() for s in found])
+            at = [i for i, x in enumerate(sets) if x is not None]
+            out = {c: pd.Series([df[c].iloc[i] for i in at], dtype=object) for c in (key, *more)}
+            yield pd.DataFrame(out | {"sh": pd.Series([sets[i] for i in at], dtype=object), "class_id": pd.Series([hashlib.md5(sets[i].tobytes()).hexdigest() for i in at], dtype=object)})
 
     schema = StructType([*kept_, StructField("sh", ArrayType(LongType())), StructField("class_id", StringType())])
     return rows.mapInPandas(run, schema).dropDuplicates([key, "class_id"])

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rungwork.operators.skew import number_rows
 from rungwork.operators.splits import hash_order
+from rungwork.session import materialize
 
 
 def _first(df: DataFrame, keys: list[str], seed: int, *parts: str) -> DataFrame:
@@ -17,35 +18,96 @@ def _first(df: DataFrame, keys: list[str], seed: int, *parts: str) -> DataFrame:
 def uniform(cells: DataFrame, members: DataFrame, ground: DataFrame, draws: int = 1, seed: int = 0, tries: int = 8) -> DataFrame:
     """``cid, draw, negative``: a narrator outside the cell for each draw; none where all are inside.
 
-    Rejection sampling by rank: ``tries`` hashed places among the numbered narrators are tried, which finds nearly all;
-    only cells still without one, which hold most of the ground set, are compared with all of it.
+    ``cells`` has ``cid`` and, if cells want different numbers of draws, ``draws``. Rejection sampling by rank:
+    ``tries`` hashed places among the numbered narrators are tried, which finds nearly all. Where all of them are
+    members, a hashed place among the non-members is taken: their ranks are the gaps in those of the members, so it is
+    found by counting the members before it, and no cell is compared with all narrators.
     """
     whole = ground.select(F.lit(1).alias("_all"), "narrator").distinct()
     numbered = number_rows(whole, ["_all"], ["narrator"]).select("narrator", F.col("_pos").alias("_i"))
     n = numbered.agg(F.count(F.lit(1)).alias("_n"))
-    want = cells.select("cid").distinct().withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    wanted = F.col("draws") if "draws" in cells.columns else F.lit(draws)
+    want = cells.groupBy("cid").agg(F.max(wanted).cast("int").alias("_d")).filter("_d > 0").select("cid", F.explode(F.sequence(F.lit(0), F.col("_d") - 1)).alias("draw"))
     tried = want.withColumn("_t", F.explode(F.sequence(F.lit(0), F.lit(tries - 1)))).join(F.broadcast(n))
-    place = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "cid", F.col("draw").cast("string"), F.col("_t").cast("string"))), 1, 12), 16, 10).cast("long")
-    tried = tried.withColumn("_i", F.pmod(place, F.col("_n"))).join(numbered, "_i")
+    tried = tried.withColumn("_i", F.pmod(_hashed(seed, "cid", "draw", "_t"), F.col("_n"))).join(numbered, "_i")
     ok = tried.join(members.select("cid", "narrator"), ["cid", "narrator"], "left_anti")
-    found = ok.groupBy("cid", "draw").agg(F.min_by("narrator", "_t").alias("negative"))
+    found = materialize(ok.groupBy("cid", "draw").agg(F.min_by("narrator", "_t").alias("negative")))
     rest = want.join(found, ["cid", "draw"], "left_anti")
-    outside = rest.join(F.broadcast(rest.select("cid").distinct()), "cid").join(ground.select("narrator").distinct()).join(members.select("cid", "narrator"), ["cid", "narrator"], "left_anti")
-    return found.unionByName(_first(outside, ["cid", "draw"], seed, "cid", "draw", "narrator"))
+    inside = members.select("cid", "narrator").distinct().join(rest.select("cid").distinct(), "cid", "left_semi").join(numbered, "narrator")
+    inside = number_rows(inside.select("cid", "_i"), ["cid"], ["_i"]).select("cid", (F.col("_i") - F.col("_pos")).alias("_before"))
+    size = inside.groupBy("cid").agg(F.count(F.lit(1)).alias("_s"))
+    aim = rest.join(size, "cid").join(F.broadcast(n)).filter("_n > _s").select("cid", "draw", F.pmod(_hashed(seed, "cid", "draw"), F.col("_n") - F.col("_s")).alias("_g"))
+    rank = aim.join(inside, "cid").groupBy("cid", "draw", "_g").agg(F.count_if(F.col("_before") <= F.col("_g")).alias("_k"))
+    late = rank.select("cid", "draw", (F.col("_g") + F.col("_k")).alias("_i")).join(numbered, "_i").select("cid", "draw", F.col("narrator").alias("negative"))
+    return found.unionByName(late)
 
 
-def size_matched(members: DataFrame, negatives: DataFrame, seed: int = 0) -> DataFrame:
+def _hashed(seed: int, *parts: str) -> Column:
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(p).cast("string") for p in parts])), 1, 12), 16, 10).cast("long")
+
+
+def sizes_as_draws(members: DataFrame, ratio: int = 1) -> DataFrame:
+    """``cid, draws``: as many draws as a cell has members, times ``ratio``."""
+    return members.groupBy("cid").agg((F.count(F.lit(1)) * ratio).cast("int").alias("draws"))
+
+
+def size_matched(members: DataFrame, ground: DataFrame, seed: int = 0) -> DataFrame:
     """``cid, negative``: of as many uniform draws as the cell has members, one picked by hash."""
-    size = members.groupBy("cid").agg(F.count(F.lit(1)).alias("_s"))
-    pool = negatives.join(size, "cid").filter(F.col("draw") < F.col("_s")).select("cid", F.col("negative").alias("narrator")).distinct()
+    pool = uniform(sizes_as_draws(members), members, ground, seed=seed).select("cid", F.col("negative").alias("narrator")).distinct()
     return _first(pool, ["cid"], seed, "cid", "narrator")
 
 
+def or_uniform(negatives: DataFrame, cells: DataFrame, members: DataFrame, ground: DataFrame, seed: int = 0) -> DataFrame:
+    """``cid, negative`` with a uniform negative for the cells that have none."""
+    rest = cells.select("cid").distinct().join(negatives.select("cid"), "cid", "left_anti")
+    return negatives.select("cid", "negative").unionByName(uniform(rest, members, ground, seed=seed).select("cid", "negative"))
+
+
+#: How negatives may be drawn.
+REGIMES = ("uniform", "size_matched", "motif", "clique", "hard")
+
+
+def labelled(members: DataFrame, ground: DataFrame, regime: str, ratio: int = 10, seed: int = 0, similar: DataFrame | None = None) -> DataFrame:
+    """``cid, narrator, label, draw``: each incidence with label 1 and ``ratio`` negatives of the regime with label 0.
+
+    Motif walks and cliques that find none, and hard negatives without ``similar``, fall back: hard to clique, clique to
+    motif, motif to uniform. A cell that holds everyone has no negatives. Regimes but the uniform one find one negative a
+    cell and repetition: repetitions are as many as the ratio, and its incidences share them.
+    """
+    if regime not in REGIMES:
+        raise ValueError(f"no regime {regime}")
+    ours = members.select("cid", "narrator").distinct()
+    positives = ours.select("cid", "narrator", F.lit(1).alias("label"), F.lit(0).alias("draw"))
+    if regime == "uniform":
+        got = uniform(sizes_as_draws(ours, ratio), ours, ground, seed=seed).select("cid", F.col("negative").alias("narrator"), F.lit(0).alias("label"), "draw")
+        return positives.unionByName(got)
+    from rungwork.operators.graph import both_ways, cowitness
+
+    graph = materialize(both_ways(cowitness(ours))) if regime in ("motif", "clique", "hard") else None
+    cells, drawn = ours.select("cid").distinct(), None
+    hardest = hard(cells, ours, similar) if regime == "hard" and similar is not None else None
+    for r in range(ratio):
+        at = seed + 101 * r
+        if regime == "size_matched":
+            one = size_matched(ours, ground, at)
+        else:
+            one = motif(ours, graph, seed=at).select("cid", "negative")
+            if regime in ("clique", "hard"):
+                best = clique(ours, graph, seed=at).select("cid", "negative")
+                one = best.unionByName(one.join(best, "cid", "left_anti"))
+            if hardest is not None:
+                one = hardest.unionByName(one.join(hardest, "cid", "left_anti"))
+        one = or_uniform(one, cells, ours, ground, at).withColumn("_r", F.lit(r))
+        drawn = one if drawn is None else drawn.unionByName(one)
+    got = ours.select("cid").join(materialize(drawn), "cid").select("cid", F.col("negative").alias("narrator"), F.lit(0).alias("label"), F.col("_r").alias("draw"))
+    return positives.unionByName(got)
+
+
 def motif(members: DataFrame, graph: DataFrame, steps: int = 3, seed: int = 0) -> DataFrame:
     """``cid, negative``: where a walk of three steps on the co-witness graph from a member of the cell ends.
 
-    ``graph`` has ``a, b`` both ways. A walk that gets stuck or ends inside the cell gives no row; callers take a
-    uniform negative then.
+    ``graph`` has ``a, b`` both ways. A walk that gets stuck or ends inside the cell gives no row; see
+    :func:`or_uniform`.
     """
     at = _first(members, ["cid"], seed, "cid", "narrator").withColumnRenamed("negative", "narrator")
     for i in range(steps):

@@ -17,6 +17,7 @@ from rungwork.operators import ranking as R
 from rungwork.operators import splits as S
 from rungwork.operators import statistics as ST
 from rungwork.operators import vectors as V
+from rungwork.operators.skew import last_in_blocks, number_rows, salted_join
 from rungwork.plans.prelude import MID, SEG, complex_of, keys, segments, sizes_of, sq, term
 from rungwork.plans.structure import _LATEST, _round
 from rungwork.session import materialize, table
@@ -84,7 +85,7 @@ def negatives_uniform(s, d):
 
 def negatives_size_matched(s, d):
     _, m, _, ground = _mid(s, d)
-    return NEG.size_matched(m, NEG.uniform(m, m, ground, draws=8))
+    return NEG.size_matched(m, ground)
 
 
 def negatives_motif(s, d):
@@ -126,9 +127,8 @@ def dense_pair_scores(s, d):
 def _scored(s, d):
     v = _vectors(s, d)
     centre = V.mean_vectors(v, ["label"], "vec").select(F.col("label").alias("cell"), F.col("vec").alias("cv"))
-    both = v.select("id", "label", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k")).join(v.select("id", "vec"), "id")
-    n = v.agg((F.max("label") + 1).alias("n"))
-    both = both.crossJoin(n).withColumn("cell", F.pmod(F.col("label") + F.col("k"), F.col("n")).cast("int"))
+    both = v.select("id", "label", "vec").crossJoin(F.broadcast(v.agg((F.max("label") + 1).alias("n")))).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    both = both.withColumn("cell", F.pmod(F.col("label") + F.col("k"), F.col("n")).cast("int"))
     return both.join(centre, "cell").select("id", "cell", (F.col("k") == 0).cast("int").alias("y"), F.round(V.dot(V.normalised(F.col("vec")), V.normalised(F.col("cv"))), 6).alias("score"))
 
 
@@ -146,7 +146,7 @@ def cell_retrieval_queries(s, d):
     who = seg.select("segment_id", "narrators")
     x = sup.join(who, "segment_id").select("cid", F.col("segment_id").alias("q"), F.col("narrators").alias("nq"))
     y = sup.join(who, "segment_id").select("cid", F.col("segment_id").alias("p"), F.col("narrators").alias("np"))
-    pos = x.join(y, "cid").filter((F.col("q") != F.col("p")) & ~F.arrays_overlap("nq", "np")).select("q", "p", "nq").distinct()
+    pos = salted_join(x, y, "cid").filter((F.col("q") != F.col("p")) & ~F.arrays_overlap("nq", "np")).select("q", "p", "nq").distinct()
     return pos.groupBy("q").agg(F.first(F.get("nq", F.lit(0))).alias("narrator"), F.count(F.lit(1)).alias("n_positives"))
 
 
@@ -204,11 +204,11 @@ def design_effect(s, d):
 
 def turn_length_bootstrap(s, d):
     t = table(s, d, "turns").dropDuplicates(["turn_id"]).select("narrator", F.length("raw").alias("v")).filter("narrator is not null")
-    return _round(ST.bootstrap_mean(t, "narrator", "v", 60), "mean", "lo", "hi", "se", digits=4)
+    return _round(ST.bootstrap_mean(t, "narrator", "v"), "mean", "lo", "hi", "se", digits=4)
 
 
 def singleton_interval(s, d):
-    return _round(ST.subsample_singletons(_mid(s, d)[1], 40), "point", "se", "lo", "hi", digits=4)
+    return _round(ST.subsample_singletons(_mid(s, d)[1]), "point", "se", "lo", "hi", digits=4)
 
 
 def size_ks(s, d):
@@ -242,15 +242,16 @@ def ceaf(s, d):
 
 
 def linkage_sweep(s, d):
-    """Average-linkage clusters within each label at several thresholds: clusters and the size of the largest."""
-    found = AL.cluster_by_similarity(_vectors(s, d), ["label"], "id", "vec", [0.3, 0.5, 0.7, 0.9])
-    sizes = found.groupBy("threshold", "label", "cluster").agg(F.count(F.lit(1)).alias("n"))
-    return sizes.groupBy("threshold", "label").agg(F.count(F.lit(1)).alias("n_clusters"), F.max("n").alias("largest"))
+    """Average-linkage clusters of all vectors at thirteen thresholds: clusters and the size of the largest."""
+    v = _vectors(s, d).withColumn("_all", F.lit(1))
+    found = AL.cluster_by_similarity(v, ["_all"], "id", "vec", [round(0.3 + 0.05 * i, 2) for i in range(13)])
+    sizes = found.groupBy("threshold", "cluster").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.groupBy("threshold").agg(F.count(F.lit(1)).alias("n_clusters"), F.max("n").alias("largest"))
 
 
 def role_length_did(s, d):
     t = table(s, d, "turns").dropDuplicates(["turn_id"]).filter("narrator is not null and role_gold is not null")
-    return _round(ST.difference_in_differences(t.select("narrator", "role_gold", F.length("raw").alias("a"), F.lit(0).alias("b")), "narrator", "role_gold", "NARRATOR", "a", "b", 60), "did", "lo", "hi", digits=4)
+    return _round(ST.difference_in_differences(t.select("narrator", "role_gold", F.length("raw").alias("a"), F.lit(0).alias("b")), "narrator", "role_gold", "NARRATOR", "a", "b"), "did", "lo", "hi", digits=4)
 
 
 def anonymised_profile(s, d):
@@ -261,8 +262,7 @@ def anonymised_profile(s, d):
 
 
 def triage_stability(s, d):
-    m = materialize(_mid(s, d)[1])
-    return _round(P.triage_stability(m, [(0.02, 0.02), (0.05, 0.1)], draws=2), "share")
+    return _round(P.triage_stability(_mid(s, d)[1]), "share")
 
 
 def stratified_sizes(s, d):
@@ -300,7 +300,7 @@ def hypergraph_laplacian(s, d):
 
 
 def spectral_encoding(s, d):
-    return _round(G.spectral_encoding(G.laplacian(_mid(s, d)[1]), 4), "value", digits=4)
+    return _round(G.spectral_encoding(G.laplacian(_mid(s, d)[1])), "value", digits=4)
 
 
 def error_rates(s, d):
@@ -371,8 +371,6 @@ def transcript_headers(s, d):
 
 def segment_marks_asof(s, d):
     """Per turn: the last segment number at or before it in its interview."""
-    from rungwork.operators.skew import last_in_blocks
-
     t = table(s, d, "turns").filter("interview_id is not null and turn_no is not null").select("interview_id", "turn_no", "segment_no").groupBy("interview_id", "turn_no").agg(F.max("segment_no").alias("segment_no"))
     return last_in_blocks(t, ["interview_id"], "turn_no", "segment_no", "segment_asof", 64).select("interview_id", "turn_no", "segment_asof")
 
@@ -405,14 +403,13 @@ def event_numbers(s, d):
 
 def term_ambiguity(s, d):
     """Per term a composite of z scores: rare, many siblings; the top tenth is flagged."""
-    from pyspark.sql import Window as W
-
     t = K.topic_terms(segments(s, d))
     sib = t.groupBy("parent").agg(F.count(F.lit(1)).alias("_c")).filter("parent is not null")
     x = t.join(sib, "parent", "left").select("term", F.log1p("n_segments").alias("f"), F.coalesce(F.col("_c") - 1, F.lit(0)).cast("double").alias("sib"))
     g = x.agg(F.avg("f").alias("fm"), F.stddev_pop("f").alias("fs"), F.avg("sib").alias("sm"), F.stddev_pop("sib").alias("ss"), F.count(F.lit(1)).alias("n"))
-    z = x.crossJoin(F.broadcast(g)).select("term", "n", F.round(-F.coalesce(F.try_divide(F.col("f") - F.col("fm"), F.col("fs")), F.lit(0.0)) + F.coalesce(F.try_divide(F.col("sib") - F.col("sm"), F.col("ss")), F.lit(0.0)), 6).alias("score"))
-    return z.select("term", "score", (F.row_number().over(W.orderBy(F.desc("score"), "term")) <= F.greatest(F.lit(1), F.floor(F.col("n") / 10))).alias("flagged"))
+    z = x.crossJoin(F.broadcast(g)).select(F.lit(1).alias("_all"), "term", "n", F.round(-F.coalesce(F.try_divide(F.col("f") - F.col("fm"), F.col("fs")), F.lit(0.0)) + F.coalesce(F.try_divide(F.col("sib") - F.col("sm"), F.col("ss")), F.lit(0.0)), 6).alias("score"))
+    placed = number_rows(z.withColumn("_below", -F.col("score")), ["_all"], ["_below", "term"])
+    return placed.select("term", "score", (F.col("_pos") < F.greatest(F.lit(1), F.floor(F.col("n") / 10))).alias("flagged"))
 
 
 def revenue_by_segment(s, d):
@@ -430,7 +427,7 @@ _CW = "cw AS (SELECT x.narrator AS a, y.narrator AS b, count(*) AS weight, max(s
 _V = "v AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS vec FROM embeddings), u AS (SELECT id, label, vec, sqrt(list_dot_product(vec, vec)) AS len FROM v)"
 _CENT = "c0 AS (SELECT label AS cell, pos, avg(x) AS m FROM (SELECT label, unnest(vec) AS x, unnest(range(len(vec))) AS pos FROM v) GROUP BY 1, 2), c AS (SELECT cell, list(m ORDER BY pos) AS cv FROM c0 GROUP BY 1)"
 _COS = "list_dot_product({a}, {b}) / (sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b})))"
-_SC = f"{_V}, {_CENT}, sc AS (SELECT id, cell, (k = 0)::INT AS y, round({_COS.format(a='vec', b='cv')}, 6) AS score FROM (SELECT id, vec, k, (label + k) % (SELECT max(label) + 1 FROM v) AS cl FROM v, (SELECT unnest([0, 1, 2]) AS k)) JOIN c ON c.cell = cl)"
+_SC = f"{_V}, {_CENT}, sc AS (SELECT id, cell, (k = 0)::INT AS y, round({_COS.format(a='vec', b='cv')}, 6) AS score FROM (SELECT id, vec, k, (label + k) % (SELECT max(label) + 1 FROM v) AS cl FROM v, (SELECT unnest(range((SELECT max(label) + 1 FROM v))) AS k)) JOIN c ON c.cell = cl)"
 _LAB = f"{_LATEST}, lab AS (SELECT annotator, term AS item, label_rank AS label FROM latest WHERE label_round = 2)"
 _TURN = "t AS (SELECT DISTINCT ON (turn_id) * FROM turns)"
 _LISTS = "o AS (SELECT granularity, array_to_string(string_split(base_term, ' -- ')[1:2], ' -- ') AS item, row_number() OVER (PARTITION BY granularity ORDER BY size, cid) AS p FROM sizes WHERE cell_rank = 2), f AS (SELECT granularity, item, min(p) AS p FROM o GROUP BY ALL), ls AS (SELECT granularity AS list_id, item, row_number() OVER (PARTITION BY granularity ORDER BY p) AS pos FROM f QUALIFY row_number() OVER (PARTITION BY granularity ORDER BY p) <= 50)"
@@ -476,11 +473,11 @@ ORACLE = {
     "design_effect": f"""WITH {_TURN}, c AS (SELECT narrator, count(raw) AS n, avg(length(raw)) AS m, var_pop(length(raw)) AS v FROM t WHERE narrator IS NOT NULL GROUP BY 1 HAVING count(raw) > 0),
       g AS (SELECT count(*) AS k, sum(n) AS t, sum(n * n) AS q, sum(n * m) AS s, sum(n * m * m) AS ss, sum(n * v) AS w FROM c), h AS (SELECT k, t, (ss - s * s / t) / (k - 1) AS msb, w / (t - k) AS msw, (t - q / t) / (k - 1) AS n0 FROM g),
       i AS (SELECT k, t, greatest(0, least(1, (msb - msw) / (msb + (n0 - 1) * msw))) AS icc FROM h) SELECT k AS n_clusters, round(t / k, 4) AS mean_size, round(icc, 4) AS icc, round(1 + (t / k - 1) * icc, 4) AS deff FROM i""",
-    "singleton_interval": f"""WITH {MID}, w AS (SELECT DISTINCT narrator FROM m2), n AS (SELECT count(*) AS n FROM w), kept AS (SELECT r, narrator FROM (SELECT r, narrator, row_number() OVER (PARTITION BY r ORDER BY md5('0|' || r || '|' || narrator), narrator) AS i FROM w, (SELECT unnest(range(1, 41)) AS r)) WHERE i <= round(0.632 * (SELECT n FROM n))),
+    "singleton_interval": f"""WITH {MID}, w AS (SELECT DISTINCT narrator FROM m2), n AS (SELECT count(*) AS n FROM w), kept AS (SELECT r, narrator FROM (SELECT r, narrator, row_number() OVER (PARTITION BY r ORDER BY md5('0|' || r || '|' || narrator), narrator) AS i FROM w, (SELECT unnest(range(1, 2001)) AS r)) WHERE i <= round(0.632 * (SELECT n FROM n))),
       st AS (SELECT r, avg((s = 1)::INT) AS v FROM (SELECT r, cid, count(*) AS s FROM m2 JOIN kept USING (narrator) GROUP BY 1, 2) GROUP BY 1), x AS (SELECT (SELECT avg((size = 1)::INT) FROM s2) AS p, stddev_samp(v) * sqrt(round(0.632 * any_value(n)) / any_value(n)) AS se FROM st, n)
       SELECT round(p, 4) AS point, round(se, 4) AS se, round(p - 1.96 * se, 4) AS lo, round(p + 1.96 * se, 4) AS hi FROM x""",
     "size_ks": f"WITH {MID}, p AS (SELECT granularity, size FROM sizes WHERE cell_rank = 2 AND granularity IN ('mid', 'fine')), v AS (SELECT DISTINCT size AS x FROM p) SELECT round(max(abs((SELECT avg((size <= x)::INT) FROM p WHERE granularity = 'mid') - (SELECT avg((size <= x)::INT) FROM p WHERE granularity = 'fine'))), 6) AS ks FROM v",
-    "violation_ratio": f"WITH {_TURN}, i AS (SELECT unnest(range(0, 101)) / 100.0 AS q), a AS (SELECT quantile_cont(length(raw), list_transform(range(0, 101), lambda i: i / 100.0)) AS qs FROM t WHERE role_gold = 'NARRATOR'), b AS (SELECT quantile_cont(length(raw), list_transform(range(0, 101), lambda i: i / 100.0)) AS qs FROM t WHERE role_gold = 'INTERVIEWER'), z AS (SELECT unnest(b.qs) - unnest(a.qs) AS d FROM a, b) SELECT round(coalesce(coalesce(sum(d * d) FILTER (d > 0), 0) / nullif(sum(d * d), 0), 0.5), 6) AS ratio FROM z",
+    "violation_ratio": f"WITH {_TURN}, a AS (SELECT quantile_cont(length(raw), list_transform(range(0, 1000), lambda i: i / 999.0)) AS qs FROM t WHERE role_gold = 'NARRATOR'), b AS (SELECT quantile_cont(length(raw), list_transform(range(0, 1000), lambda i: i / 999.0)) AS qs FROM t WHERE role_gold = 'INTERVIEWER'), z AS (SELECT unnest(b.qs) - unnest(a.qs) AS d, unnest(range(0, 1000)) AS i FROM a, b), w AS (SELECT d, CASE WHEN i IN (0, 999) THEN 0.5 ELSE 1 END AS w FROM z) SELECT round(coalesce(coalesce(sum(w * d * d) FILTER (d > 0), 0) / nullif(sum(w * d * d), 0), 0.5), 6) AS ratio FROM w",
     "size_slope": f"WITH {MID}, p AS (SELECT ln(1 + n_segments) AS x, size::DOUBLE AS y FROM s2), f AS (SELECT count(*) AS n, avg(x) AS mx, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, regr_sxx(y, x) AS sxx FROM p) SELECT n, round(a, 5) AS intercept, round(b, 5) AS slope, round(sqrt(sum(pow((x - mx) * (y - a - b * x) / (1 - 1.0 / n - pow(x - mx, 2) / sxx), 2))) / any_value(sxx), 5) AS se FROM p, f GROUP BY n, a, b",
     "clustering_scores": f"""WITH {SEG}, i AS (SELECT segment_id, max(term) AS g, max(string_split(term, ' -- ')[1]) AS s FROM mention GROUP BY 1), o AS (SELECT g, s, count(*) AS n FROM i GROUP BY 1, 2), gs AS (SELECT g, count(*) AS c FROM i GROUP BY 1), ss AS (SELECT s, count(*) AS c FROM i GROUP BY 1),
       r AS (SELECT g, any_value(gs.c) AS c, count(*) AS parts, sum(n * (n - 1) / 2) AS links, sum(n * n) AS sq, max((ss.c = 1)::INT) AS alone FROM o JOIN gs USING (g) JOIN ss USING (s) GROUP BY 1),
@@ -553,7 +550,7 @@ ORACLE |= {
     "phrase_counts": _phrases_sql(),
     "transcript_headers": f"WITH x AS (SELECT DISTINCT interview_id, array_to_string({_NODES}, chr(10)) AS t FROM transcripts WHERE chunk_no = 1), h AS (SELECT interview_id, {_HEAD % 'Narrator'} AS n, {_HEAD % 'Interviewer'} AS i FROM x) SELECT interview_id, array_to_string(n, '|') AS narrators, array_to_string(i, '|') AS interviewers, array_to_string(list_transform(n, lambda x: {_INITIALS}), '|') AS tags FROM h",
     "turn_length_bootstrap": f"""WITH {_TURN}, u AS (SELECT narrator, sum(length(raw)) AS s, count(raw) AS n FROM t WHERE narrator IS NOT NULL AND raw IS NOT NULL GROUP BY 1),
-      w AS (SELECT r, s, n, {_poisson_sql(_PLACE.format("'0|' || r || '|' || narrator"))} AS w FROM u, (SELECT unnest(range(1, 61)) AS r)), m AS (SELECT r, sum(w * s) / nullif(sum(w * n), 0) AS m FROM w GROUP BY 1)
+      w AS (SELECT r, s, n, {_poisson_sql(_PLACE.format("'0|' || r || '|' || narrator"))} AS w FROM u, (SELECT unnest(range(1, 10001)) AS r)), m AS (SELECT r, sum(w * s) / nullif(sum(w * n), 0) AS m FROM w GROUP BY 1)
       SELECT (SELECT round(sum(s) / sum(n), 4) FROM u) AS mean, round(quantile_cont(m, 0.025), 4) AS lo, round(quantile_cont(m, 0.975), 4) AS hi, round(stddev_samp(m), 4) AS se FROM m""",
     "perturbed_sizes": f"""WITH {MID}, c AS (SELECT cid, row_number() OVER (ORDER BY md5('0|' || cid), cid) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT cid FROM m2)), gg AS (SELECT cid, CASE WHEN i < 2 * floor(0.05 * n + 0.5) THEN i // 2 END AS g FROM c),
       nm AS (SELECT cid, CASE WHEN g IS NULL THEN cid ELSE min(cid) OVER (PARTITION BY g) END AS new FROM gg), af AS (SELECT DISTINCT new AS cid, narrator FROM m2 JOIN nm USING (cid)), sz AS (SELECT cid, count(*) AS s FROM af GROUP BY 1),
@@ -561,7 +558,7 @@ ORACLE |= {
       k AS (SELECT af.cid, ct.cid IS NOT NULL AS cut, row_number() OVER (PARTITION BY af.cid ORDER BY md5('2|' || af.cid || '|' || narrator), narrator) AS k, count(*) OVER (PARTITION BY af.cid) AS s FROM af LEFT JOIN ct ON ct.cid = af.cid)
       SELECT CASE WHEN cut AND 2 * k > s THEN cid || '#2' ELSE cid END AS cid, count(*) AS size FROM k GROUP BY 1""",
     "role_length_did": f"""WITH {_TURN}, u AS (SELECT narrator, sum(length(raw)) FILTER (role_gold = 'NARRATOR') AS s1, count(raw) FILTER (role_gold = 'NARRATOR') AS n1, sum(length(raw)) FILTER (role_gold <> 'NARRATOR') AS s0, count(raw) FILTER (role_gold <> 'NARRATOR') AS n0 FROM t WHERE narrator IS NOT NULL AND role_gold IS NOT NULL AND raw IS NOT NULL GROUP BY 1),
-      w AS (SELECT r, u.*, CASE WHEN r = 0 THEN 1 ELSE {_poisson_sql(_PLACE.format("'0|' || r || '|' || narrator"))} END AS w FROM u, (SELECT unnest(range(0, 61)) AS r)),
+      w AS (SELECT r, u.*, CASE WHEN r = 0 THEN 1 ELSE {_poisson_sql(_PLACE.format("'0|' || r || '|' || narrator"))} END AS w FROM u, (SELECT unnest(range(0, 10001)) AS r)),
       d AS (SELECT r, sum(w * coalesce(s1, 0)) / nullif(sum(w * n1), 0) - sum(w * coalesce(s0, 0)) / nullif(sum(w * n0), 0) AS d FROM w GROUP BY 1)
       SELECT round(max(d) FILTER (r = 0), 4) AS did, round(quantile_cont(d, 0.025) FILTER (r > 0), 4) AS lo, round(quantile_cont(d, 0.975) FILTER (r > 0), 4) AS hi FROM d""",
 }

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rungwork.plans import evaluation, heavy, structure
+from rungwork.plans import evaluation, heavy, structure, studies
 
-_MODULES = (structure, evaluation, heavy)
+_MODULES = (structure, evaluation, heavy, studies)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -37,23 +37,41 @@ def read_rank_maps(spark: SparkSession, path: str) -> DataFrame:
 
 
 def numbers_in_json(df: DataFrame, column: str) -> DataFrame:
-    """``path, value``: every number in JSON documents, nested ones too; booleans are no numbers."""
-    parsed = df.select(F.try_parse_json(column).alias("_v")).filter(F.col("_v").isNotNull())
-    parsed.createOrReplaceTempView("_json_level_0")
+    """``path, value``: every number in JSON documents, however deeply nested; booleans are no numbers.
+
+    Documents are opened level by level until none has anything within; invalid JSON holds nothing.
+    """
     spark, out = df.sparkSession, None
-    level = parsed.select(F.lit("").alias("path"), "_v")
-    for _ in range(6):  # deeper nesting than five is not read
-        leaves = level.filter(~F.schema_of_variant("_v").rlike("^(OBJECT|ARRAY)")).filter(F.schema_of_variant("_v").rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT)")).select("path", F.try_variant_get("_v", "$", "double").alias("value"))
+    level = df.select(F.lit("").alias("path"), F.try_parse_json(column).alias("_v")).filter(F.col("_v").isNotNull())
+    kind = F.schema_of_variant("_v")
+    while True:
+        leaves = level.filter(kind.rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT)")).select("path", F.try_variant_get("_v", "$", "double").alias("value"))
         out = leaves if out is None else out.unionByName(leaves)
-        level.filter(F.schema_of_variant("_v").rlike("^(OBJECT|ARRAY)")).createOrReplaceTempView("_json_level")
-        level = spark.sql("SELECT concat_ws('/', nullif(l.path, ''), coalesce(t.key, cast(t.pos AS string))) AS path, t.value AS _v FROM _json_level l, LATERAL variant_explode(l._v) AS t")
-    return out
+        inner = level.filter(kind.rlike("^(OBJECT|ARRAY)"))
+        opened = inner.lateralJoin(spark.tvf.variant_explode(F.col("_v").outer()).toDF("_pos", "_key", "_in"))
+        name = F.coalesce("_key", F.col("_pos").cast("string"))
+        level = opened.select(F.when(F.col("path") == "", name).otherwise(F.concat("path", F.lit("/"), name)).alias("path"), F.col("_in").alias("_v"))
+        if level.isEmpty():
+            return out
+
+
+def json_at(df: DataFrame, column: str, path: str, out: str = "value") -> DataFrame:
+    """Add ``out``, what stands at ``a/b/0/c`` in each JSON document as a string; NULL where nothing does.
+
+    Parts are parted by ``/`` alone, as keys may hold dots; a part of digits is a place in an array, or a key.
+    """
+    quoted = [p.replace("\\", "\\\\").replace("'", "\\'") for p in path.split("/")]
+    v = F.try_parse_json(column)
+    ways = [""]
+    for part in quoted:
+        ways = [w + form for w in ways for form in ([f"[{int(part)}]", f"['{part}']"] if part.isdigit() else [f"['{part}']"])]
+    return df.withColumn(out, F.coalesce(*[F.try_variant_get(v, "$" + w, "string") for w in ways]))
 
 
 def write_release(cells: DataFrame, members: DataFrame, supports: DataFrame, segments: DataFrame, path: str) -> None:
-    """Release tables: cells with sorted members as JSON lines, incidences as Parquet, stand-off segments as CSV."""
-    lists = members.groupBy("granularity", "cid").agg(F.array_sort(F.collect_set("narrator")).alias("members"))
-    cells.join(lists, ["granularity", "cid"], "left").write.mode("overwrite").partitionBy("granularity").json(f"{path}/cells")
+    """Release tables: cells as JSON lines, members and supports as Parquet rows, stand-off segments as CSV."""
+    cells.write.mode("overwrite").partitionBy("granularity").json(f"{path}/cells")
+    members.write.mode("overwrite").partitionBy("granularity").parquet(f"{path}/members")
     supports.write.mode("overwrite").partitionBy("granularity").parquet(f"{path}/supports")
     segments.select("segment_id", "interview_id", F.array_join("narrators", "|").alias("narrators"), F.array_join("terms", "|").alias("terms")).write.mode("overwrite").option("header", True).csv(f"{path}/segments")
 
