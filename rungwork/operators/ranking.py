@@ -11,9 +11,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rungwork.operators.skew import number_rows
+from rungwork.session import materialize
 
 #: Queries that are held by a task at once.
 QUERY_BLOCK = 2_000
+#: Bins of a query's scores; a block's table of them is of fixed size.
+BINS = 4_096
 
 
 def retrieval_metrics(ranked: DataFrame, at_ndcg: int = 10, at_recall: int = 50) -> DataFrame:
@@ -31,38 +34,83 @@ def retrieval_metrics(ranked: DataFrame, at_ndcg: int = 10, at_recall: int = 50)
     return s.select("query", "n_pos", (F.col("_ap") / F.col("n_pos")).alias("ap"), (F.coalesce("_dcg", F.lit(0.0)) / ideal).alias("ndcg"), (F.col("_in") / F.col("n_pos")).alias("recall"), (1 / F.col("_first")).alias("rr"))
 
 
+def _norm(m: np.ndarray) -> np.ndarray:
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+
+
+def _bins(below: np.ndarray) -> np.ndarray:
+    return np.clip(((below + 1) * (BINS / 2)).astype(np.int64), 0, BINS - 1)
+
+
+def _counted(q):
+    """Batches of items to the positives of each query (``item, below``) and counts of all items by query and bin."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, labels, m = q.value
+        total = np.zeros((len(ids), BINS), dtype=np.int64)
+        for df in batches:
+            if not len(df):
+                continue
+            item, below = df["id"].to_numpy(), -np.round(m @ _norm(np.stack(df["vec"].to_numpy()).astype(np.float64)).T, 10)
+            other, at = ids[:, None] != item[None, :], _bins(below)
+            i, j = np.nonzero(other)
+            np.add.at(total, (i, at[i, j]), 1)
+            i, j = np.nonzero(other & (labels[:, None] == df["label"].to_numpy()[None, :]))
+            yield pd.DataFrame({"query": ids[i], "bin": at[i, j], "n": 0, "item": pd.array(item[j], dtype="Int64"), "below": below[i, j]})
+        i, j = np.nonzero(total)
+        yield pd.DataFrame({"query": ids[i], "bin": j, "n": total[i, j], "item": pd.array([None] * len(i), dtype="Int64"), "below": np.nan})
+
+    return run
+
+
+def _beside(q):
+    """Batches of items to those that are no positives but share a bin with one."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        (ids, labels, m), wanted = q.value
+        for df in batches:
+            if not len(df):
+                continue
+            item, below = df["id"].to_numpy(), -np.round(m @ _norm(np.stack(df["vec"].to_numpy()).astype(np.float64)).T, 10)
+            at = _bins(below)
+            near = wanted[np.arange(len(ids))[:, None], at] & (ids[:, None] != item[None, :]) & (labels[:, None] != df["label"].to_numpy()[None, :])
+            i, j = np.nonzero(near)
+            yield pd.DataFrame({"query": ids[i], "bin": at[i, j], "item": item[j], "below": below[i, j], "rel": 0})
+
+    return run
+
+
 def positive_places(queries: DataFrame, items: DataFrame) -> DataFrame:
-    """``query, pos, rel``: the places of the positives of each query among all items by cosine, the query itself last.
+    """``query, pos, rel``: the places of the positives of each query among all items by cosine, the query itself left out.
 
     ``queries`` and ``items`` have ``id, label, vec``; items of the query's label are its positives, ties go by id.
-    Queries are a stated set and taken in blocks, each sent to the tasks that scan the items; places are exact and
-    numbered over ranges of the scores, so no task orders all items of a query.
+    Queries are a stated set and taken in blocks, each sent to the tasks that scan the items. A first scan keeps the
+    positives and counts all items by bins of the score, a second the items that share a bin with a positive; a place is
+    the number of items in the bins above and, exactly, before it in its own. So what is shuffled grows with the
+    positives and their neighbours and not with queries times items.
     """
     spark = items.sparkSession
-    norm = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
     n_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     out = None
     for b in range(n_blocks):
         rows = queries.filter(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == b).orderBy("id").collect()
         if not rows:
             continue
-        q = spark.sparkContext.broadcast((np.array([r["id"] for r in rows]), np.array([r["label"] for r in rows]), norm(np.array([r["vec"] for r in rows], dtype=np.float64))))
-
-        def scores(batches: Iterator[pd.DataFrame], q=q) -> Iterator[pd.DataFrame]:
-            ids, labels, m = q.value
-            for df in batches:
-                if not len(df):
-                    continue
-                item, s = df["id"].to_numpy(), np.round(m @ norm(np.stack(df["vec"].to_numpy()).astype(np.float64)).T, 10)
-                rel = labels[:, None] == df["label"].to_numpy()[None, :]
-                i, j = np.nonzero(ids[:, None] != item[None, :])
-                yield pd.DataFrame({"query": ids[i], "item": item[j], "below": -s[i, j], "rel": rel[i, j].astype("int32")})
-
-        part = items.mapInPandas(scores, "query long, item long, below double, rel int")
+        block = (np.array([r["id"] for r in rows]), np.array([r["label"] for r in rows]), _norm(np.array([r["vec"] for r in rows], dtype=np.float64)))
+        first = materialize(items.mapInPandas(_counted(spark.sparkContext.broadcast(block)), "query long, bin long, n long, item long, below double"))
+        positives = first.filter("item is not null").select("query", "bin", "item", "below", F.lit(1).alias("rel"))
+        words = positives.groupBy("query", F.shiftright("bin", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(bin & 63 as int)))").alias("bits")).collect()
+        wanted, at = np.zeros((len(rows), BINS // 64), dtype=np.int64), {int(q): i for i, q in enumerate(block[0])}
+        for r in words:
+            wanted[at[r["query"]], r["w"]] = r["bits"]
+        wanted = np.unpackbits(wanted.view(np.uint8), axis=1, bitorder="little").astype(bool)
+        near = items.mapInPandas(_beside(spark.sparkContext.broadcast((block, wanted))), "query long, bin long, item long, below double, rel int")
+        within = number_rows(positives.unionByName(near), ["query", "bin"], ["below", "item"]).filter("rel = 1").select("query", "bin", F.col("_pos"))
+        upto = W.partitionBy("query").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
+        above = first.filter("item is null").groupBy("query", "bin").agg(F.sum("n").alias("_n")).select("query", "bin", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_above"))
+        part = within.join(above, ["query", "bin"]).select("query", (F.col("_above") + F.col("_pos") + 1).alias("pos"), F.lit(1).alias("rel"))
         out = part if out is None else out.unionByName(part)
-    if out is None:
-        return spark.createDataFrame([], "query long, pos long, rel int")
-    return number_rows(out, ["query"], ["below", "item"]).filter("rel = 1").select("query", (F.col("_pos") + 1).alias("pos"), "rel")
+    return spark.createDataFrame([], "query long, pos long, rel int") if out is None else out
 
 
 def auc(df: DataFrame, by: list[str], label: str, score: str) -> DataFrame:
