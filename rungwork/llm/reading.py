@@ -18,6 +18,8 @@ BANDS = 5
 LEAST_WORDS = 60
 #: Labelled documents the regression is fitted on, taken by hash if there are more.
 MOST_LABELLED = 20_000
+#: Most graders who get an offset of their own.
+MOST_GRADERS = 200
 #: A word is counted as known if it holds this share of all words, so at most 1 / KNOWN_SHARE are known.
 KNOWN_SHARE = 1e-6
 RIDGE = 1.0
@@ -172,13 +174,17 @@ class OrdinalModel:
 
 
 def fit_levels(features: DataFrame, grades: DataFrame, most: int = MOST_LABELLED) -> OrdinalModel | None:
-    """A model fitted on at most ``most`` grades of English documents, by hash; ``None`` without any grade."""
+    """A model fitted on at most ``most`` grades of English documents, by hash; ``None`` without any grade.
+
+    A grader has an offset if they gave one grade in ``MOST_GRADERS`` or more; all others share one.
+    """
     rows = clean_grades(grades).join(features.filter(F.col("english") & (F.col("n_words") >= LEAST_WORDS)), "doc_id")
     got = rows.select("grader", "band", "x", F.xxhash64("doc_id", "grader").alias("_h"), "doc_id").orderBy("_h", "doc_id").limit(most).collect()
     if not got:
         return None
-    names = {g: i for i, g in enumerate(sorted({r["grader"] for r in got}))}
-    return OrdinalModel().fit(np.array([r["x"] for r in got]), np.array([names[r["grader"]] for r in got]), np.array([r["band"] for r in got]))
+    n = Counter(r["grader"] for r in got)
+    names = {g: i for i, g in enumerate(sorted(g for g, c in n.items() if c * MOST_GRADERS >= len(got)))}
+    return OrdinalModel().fit(np.array([r["x"] for r in got]), np.array([names.get(r["grader"], len(names)) for r in got]), np.array([r["band"] for r in got]))
 
 
 def reading_levels(features: DataFrame, model: OrdinalModel | None) -> DataFrame:

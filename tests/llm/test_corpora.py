@@ -85,6 +85,16 @@ def test_levels_of_held_out_documents(spark):
     assert R.reading_levels(R.document_features(docs.filter("false")), None).count() == 0
 
 
+def test_fitting_on_a_bounded_sample_of_many_graders(spark):
+    rng = random.Random(9)
+    docs = spark.createDataFrame([(i, make(i % 5 + 1, 90, rng)) for i in range(300)], "doc_id long, text string")
+    f = R.document_features(docs).persist()
+    grades = spark.createDataFrame([(i, f"g{i}-{k}", i % 5 + 1) for i in range(0, 300, 2) for k in range(6)], "doc_id long, grader string, band int")
+    model = R.fit_levels(f, grades, most=400)
+    got = {r["doc_id"]: r["band"] for r in R.reading_levels(f, model).collect()}
+    assert len(got) == 300 and np.mean([abs(got[i] - (i % 5 + 1)) <= 1 for i in range(1, 300, 2)]) > 0.9
+
+
 @pytest.mark.parametrize(("text", "english"), [("we had the dog and it was in my house " * 3, True), ("der hund und die katze sind nicht in das haus " * 3, False)])
 def test_language(text, english):
     assert R.Lexicon({}, 0).features(text)[1] is english
