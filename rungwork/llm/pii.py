@@ -296,14 +296,22 @@ _INITIAL = re.compile(r"\b[^\W\d_]\.")
 
 
 def _may_hold_name(text: str, classes: dict[str, str]) -> bool:
-    """Whether a text has a word that a name may begin with."""
+    """Whether a text has a title, an initial or two words in a row that a name may have."""
     if _INITIAL.search(text):
         return True
+    before = False
     for w in _WORD.findall(text):
         low = w.lower()
-        kind = classes.get(low)
-        if kind == NAME_WORD or (kind is None and w[0].isupper()) or low in _TITLES:
+        if low in _TITLES:
             return True
+        kind = classes.get(low)
+        if kind is None or kind == NAME_WORD:
+            # two in a row that may be of a name, of which the first is capital or known as one
+            if before:
+                return True
+            before = kind is not None or w[0].isupper()
+        else:
+            before = False
     return False
 
 
@@ -493,6 +501,7 @@ def records(turns: DataFrame, segments: DataFrame) -> DataFrame:
 
 
 _PLAIN = re.compile(r"\S*[@\d]\S*")
+_PLAIN_SIGN = re.compile(r"[@\d]")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _SUFFIXES = re.compile(r"['’][sS]\b")
 _UPPER = "".join(c for c in map(chr, range(0x250)) if c.isupper())
@@ -516,15 +525,15 @@ def _word_signs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for df in batches:
         forms: Counter[str] = Counter()
         for text in df["text"]:
-            plain = _SUFFIXES.sub("", _PLAIN.sub(" ", text))
-            words = _LETTERS.findall(plain)
-            forms.update(words)
-            if not any(w[0].isupper() for w in words[1:]) and not plain[:1].isupper():
-                continue
-            for m in _MIDDLE.finditer(plain):
-                counts(m.group().lower())[2] += 1
-            for m in _AFTER.finditer(plain):
-                for w in m.group(1).split(" "):
+            plain = _PLAIN.sub(" ", text) if _PLAIN_SIGN.search(text) else text
+            plain = _SUFFIXES.sub("", plain) if "'" in plain or "’" in plain else plain
+            forms.update(_LETTERS.findall(plain))
+            inside = _MIDDLE.findall(plain)
+            for w in inside:
+                counts(w.lower())[2] += 1
+            # a capital after a word of place is one within a sentence
+            for run in _AFTER.findall(plain) if inside else ():
+                for w in run.split(" "):
                     counts(w.lower())[3] += 1
         for w, n in forms.items():
             if len(w) > 1:

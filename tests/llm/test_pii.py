@@ -131,3 +131,10 @@ def test_marks_have_128_bits_and_the_key_is_the_callers(spark):
     spark.conf.set(P.KEY_SETTING, "mine")
     assert P.pseudonym_key(spark) == b"mine"
     spark.conf.unset(P.KEY_SETTING)
+
+
+def test_quick_look_lets_every_name_through():
+    for text in ("We met Dr. Gull there.", "my aunt, j. stisura, went", "ashina libova went", "Libova, Ashina", "Joris T. Stisura", "prof Mills said", "Xavi Yorin's box"):
+        assert P._may_hold_name(text, CLASSES) and any(k == "name" for k, _ in kinds(text)), text
+    for text in ("Joris went to school.", "we went to school", "Unknown went out", ""):
+        assert not P._may_hold_name(text, CLASSES) and not kinds(text)
