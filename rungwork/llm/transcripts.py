@@ -39,7 +39,7 @@ _HEADER_END = re.compile(r"^\s*(?:title|date|place|location|narrators?|interview
 
 def plain(text: str) -> str:
     """Letters without accents."""
-    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+    return text if text.isascii() else "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
 
 
 def initials(name: str) -> str:
@@ -58,17 +58,35 @@ def clean_text(text: str, begins: bool = True) -> str:
 
     The first word gets its capital only if the text ``begins`` a sentence.
     """
-    out = _FILLER.sub(" ", _NOISE.sub(" ", _STAMP.sub(" ", text)))
-    out = re.sub(r"\s+", " ", out).strip()
+    out = _SPACE.sub(" ", _spoken(text)).strip()
     out = _AGAIN.sub(r"\1", out)
-    out = re.sub(r"\s+([,.?!;:])", r"\1", re.sub(r"^[\s,;–—-]+", "", re.sub(r"\s+--(?=\s|$)", " --", out))).strip()
-    out = re.sub(r"\bi\b", "I", out)
-    return re.sub(r"(^|[.?!]\s+)([a-z])" if begins else r"([.?!]\s+)([a-z])", lambda m: m.group(1) + m.group(2).upper(), out)
+    out = _BEFORE_MARK.sub(r"\1", _LEADING.sub("", _DASHES.sub(" --", out))).strip()
+    out = _LONE_I.sub("I", out)
+    return (_BEGIN if begins else _LATER).sub(lambda m: m.group(1) + m.group(2).upper(), out)
+
+
+_SPACE, _DASHES, _LEADING, _BEFORE_MARK, _LONE_I = (re.compile(p) for p in (r"\s+", r"\s+--(?=\s|$)", r"^[\s,;–—-]+", r"\s+([,.?!;:])", r"\bi\b"))
+_BEGIN, _LATER = re.compile(r"(^|[.?!]\s+)([a-z])"), re.compile(r"([.?!]\s+)([a-z])")
+_FIRST_WORD, _LETTER = re.compile(r"[\s\"'“‘–—-]*([^\W\d_]+)"), re.compile(r"[^\W_]")
+#: First words of fillers and page marks.
+_UNSURE = frozenset("uh um erm er ah hmm mm you page".split())
+
+
+def _spoken(text: str) -> str:
+    """A text without time stamps, annotations and fillers."""
+    if ":" in text:
+        text = _STAMP.sub(" ", text)
+    if "[" in text or "(" in text or "*" in text:
+        text = _NOISE.sub(" ", text)
+    return _FILLER.sub(" ", text)
 
 
 def has_words(text: str) -> bool:
     """Whether anything is said besides noise, fillers and time stamps."""
-    return not _PAGE.match(text) and bool(re.search(r"[^\W_]", clean_text(text)))
+    m = _FIRST_WORD.match(text)
+    if m and m.group(1).lower() not in _UNSURE:
+        return True
+    return not _PAGE.match(text) and bool(_LETTER.search(_spoken(text)))
 
 
 def header_of(lines: list[str]) -> tuple[list[tuple[str, str]], int]:
