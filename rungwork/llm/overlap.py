@@ -240,7 +240,8 @@ def _cutter(shared):
             at, length, key = (np.repeat(x, n) for x in (at, length, key))
             d = t.doc[at]
             k = np.array([most_edits(int(n)) for n in t.n])[d]
-            out = pd.DataFrame({"c_id": t.id[d], "c_n": t.n[d], "k": k, "before": t.s_pos[at] - k, "after": (t.s_len - t.s_pos)[at] - length - k, **{m: df[m].to_numpy()[d] for m in _MARK_NAMES}})
+            room = np.maximum(t.s_pos[at] - k, 0) << 32 | np.maximum((t.s_len - t.s_pos)[at] - k, 0)
+            out = pd.DataFrame({"c_id": t.id[d], "c_n": t.n[d], "room": room, **{m: df[m].to_numpy()[d] for m in _MARK_NAMES}})
             for flag in ("eval", "train"):
                 on = df[flag].to_numpy(dtype=bool)[d]
                 yield out[on].assign(key=_salted(key[on], salt[on], flag == "eval"), by_eval=flag == "eval")
@@ -263,7 +264,7 @@ def _finder(shared):
                     place = (key.view(np.uint64) >> np.uint64(64 - MAP_BITS)).astype(np.int64)
                     at = np.nonzero((t.left >= n) & df[flag].to_numpy(dtype=bool)[t.doc] & ((seen[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1)).astype(bool))[0]
                     d = t.doc[at]
-                    yield pd.DataFrame({"key": key[at], "s_id": t.id[d], "s_n": t.n[d], "pos": t.pos[at], "rest": t.left[at] - n, **{"s" + m: df[m].to_numpy()[d] for m in _MARK_NAMES}})
+                    yield pd.DataFrame({"key": key[at], "s_id": t.id[d], "place": t.pos[at] << 32 | t.left[at], **{"s" + m: df[m].to_numpy()[d] for m in _MARK_NAMES}})
 
     return run
 
@@ -407,14 +408,17 @@ def candidates(texts: DataFrame) -> DataFrame:
     columns = texts.select("id", "h", "sl", "train", "eval", *_MARK_NAMES)
     often = texts.select("id", "h", "sl").mapInPandas(_frequencies, "at long, c long").groupBy("at").agg(F.sum("c").alias("c"))
     frequency = _dense(often, 1 << FREQUENCY_BITS, np.int64).astype(np.float32)
-    cuts = materialize(columns.mapInPandas(_cutter(spark.sparkContext.broadcast(frequency)), f"c_id long, c_n int, k int, before int, after int, {_MARK_TYPES}, key long, by_eval boolean"))
+    cuts = materialize(columns.mapInPandas(_cutter(spark.sparkContext.broadcast(frequency)), f"c_id long, c_n int, room long, {_MARK_TYPES}, key long, by_eval boolean"))
     place = F.shiftrightunsigned("key", 64 - MAP_BITS)
     bits = cuts.groupBy(F.shiftright(place, 6).alias("at")).agg(F.expr(f"bit_or(shiftleft(1L, cast(shiftrightunsigned(key, {64 - MAP_BITS}) & 63 as int)))").alias("c"))
     seen = _dense(bits, 1 << (MAP_BITS - 6), np.uint64)
-    found = columns.mapInPandas(_finder(spark.sparkContext.broadcast((frequency, seen))), f"key long, s_id long, s_n int, pos int, rest int, {', '.join(f's{m} long' for m in _MARK_NAMES)}")
+    found = columns.mapInPandas(_finder(spark.sparkContext.broadcast((frequency, seen))), f"key long, s_id long, place long, {', '.join(f's{m} long' for m in _MARK_NAMES)}")
     differ = _differ([(F.col(m), F.col(f"s{m}")) for m in _MARK_NAMES])
-    sizes = (F.col("s_n") >= F.col("c_n") - F.col("k")) & ((F.col("s_n") < F.col("c_n")) | (F.col("by_eval") & (F.col("s_n") == F.col("c_n"))))
-    fits = sizes & (F.col("c_id") != F.col("s_id")) & (F.col("pos") >= F.col("before")) & (F.col("rest") >= F.col("after")) & (differ <= 2 * F.col("k") - F.col("c_n") + F.col("s_n"))
+    # two numbers of 32 bits in one: words before and from the segment on, and how many of each the sentence needs
+    high, low = (lambda c: F.shiftright(c, 32)), (lambda c: F.col(c).bitwiseAND(F.lit((1 << 32) - 1)))
+    n, k = high("place") + low("place"), F.floor(EDITS * F.col("c_n"))
+    sizes = (n >= F.col("c_n") - k) & ((n < F.col("c_n")) | (F.col("by_eval") & (n == F.col("c_n"))))
+    fits = sizes & (F.col("c_id") != F.col("s_id")) & (high("place") >= high("room")) & (low("place") >= low("room")) & (differ <= 2 * k - F.col("c_n") + n)
     met = cuts.join(found, "key").filter(fits)
     return met.select(F.when(F.col("by_eval"), F.col("c_id")).otherwise(F.col("s_id")).alias("e"), F.when(F.col("by_eval"), F.col("s_id")).otherwise(F.col("c_id")).alias("t")).distinct()
 
