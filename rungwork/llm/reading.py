@@ -176,15 +176,30 @@ class OrdinalModel:
 def fit_levels(features: DataFrame, grades: DataFrame, most: int = MOST_LABELLED) -> OrdinalModel | None:
     """A model fitted on at most ``most`` grades of English documents, by hash; ``None`` without any grade.
 
-    A grader has an offset if they gave one grade in ``MOST_GRADERS`` or more; all others share one.
+    A grader has an offset if they gave one grade in ``MOST_GRADERS`` or more; all others share one. The sample is fitted
+    in one task, of which the driver gets the weights alone.
     """
     rows = clean_grades(grades).join(features.filter(F.col("english") & (F.col("n_words") >= LEAST_WORDS)), "doc_id")
-    got = rows.select("grader", "band", "x", F.xxhash64("doc_id", "grader").alias("_h"), "doc_id").orderBy("_h", "doc_id").limit(most).collect()
-    if not got:
+    some = rows.select("grader", "band", "x", F.xxhash64("doc_id", "grader").alias("_h"), "doc_id").orderBy("_h", "doc_id").limit(most)
+
+    def fit(got: pd.DataFrame) -> pd.DataFrame:
+        got = got.sort_values(["_h", "doc_id"], kind="stable")
+        n = Counter(got["grader"])
+        names = {g: i for i, g in enumerate(sorted(g for g, c in n.items() if c * MOST_GRADERS >= len(got)))}
+        m = OrdinalModel().fit(np.stack(got["x"].to_numpy()), np.array([names.get(g, len(names)) for g in got["grader"]]), got["band"].to_numpy())
+        return pd.DataFrame({c: [getattr(m, c).tolist()] for c in _LEARNT})
+
+    row = some.groupBy(F.lit(1).alias("_all")).applyInPandas(fit, ", ".join(f"{c} array<double>" for c in _LEARNT)).first()
+    if row is None:
         return None
-    n = Counter(r["grader"] for r in got)
-    names = {g: i for i, g in enumerate(sorted(g for g, c in n.items() if c * MOST_GRADERS >= len(got)))}
-    return OrdinalModel().fit(np.array([r["x"] for r in got]), np.array([names.get(r["grader"], len(names)) for r in got]), np.array([r["band"] for r in got]))
+    model = OrdinalModel()
+    for c in _LEARNT:
+        setattr(model, c, np.array(row[c]))
+    return model
+
+
+#: What a fit leaves.
+_LEARNT = ("mean", "scale", "weights", "cuts")
 
 
 def reading_levels(features: DataFrame, model: OrdinalModel | None) -> DataFrame:
