@@ -10,13 +10,14 @@ from rungwork.operators import corpus as K
 from rungwork.operators import features as FE
 from rungwork.operators import graph as G
 from rungwork.operators import negatives as NEG
+from rungwork.operators import outcomes as O
 from rungwork.operators import perturb as P
 from rungwork.operators import rank_study as RS
 from rungwork.operators import statistics as ST
-from rungwork.plans.evaluation import _TURN, _mid, _vectors
+from rungwork.plans.evaluation import _PLACE, _SC, _TURN, _mid, _poisson_sql, _scored, _vectors
 from rungwork.plans.evaluation import ORACLE as _EVALUATED
-from rungwork.plans.prelude import CX, MID, SEG, complex_of, segments, sizes_of
-from rungwork.plans.structure import _TREE, _round
+from rungwork.plans.prelude import CX, MID, SEG, complex_of, maps, segments, sizes_of
+from rungwork.plans.structure import _MAPS, _TREE, _round
 from rungwork.session import kept, table
 from rungwork.sources.readers import json_at
 
@@ -203,7 +204,72 @@ def false_singletons(s, d):
     return _round(P.false_singletons(_mid(s, d)[1], 0.05, 0.05), "share", digits=4)
 
 
-_FNS = (narrator_features, permitted_features, cell_text_features, complex_features, rank_study_labels, rank_study_consensus, rank_study_alphas, rank_study_sample, term_usage, traced_numbers, event_payload, formatted_numbers, cleaned_speech, turn_length_bca, role_order, size_rank_information, turn_variance, role_sign_flips, role_advantage, role_table, role_length_interaction, negatives_labelled, negatives_motif_or_uniform, betti_permutation, narrator_encodings, triage_grid, false_singletons)
+# outcomes
+
+
+def _outcomes(s, d):
+    """Each vector and label with whether a score at or above the label's median goes with its own."""
+    return O.outcomes(_scored(s, d), ["cell"], "y", "score")
+
+
+def item_outcomes(s, d):
+    return _outcomes(s, d).select("id", "cell", "y", "score", "correct")
+
+
+def outcome_strata(s, d):
+    x = _outcomes(s, d).withColumn("unit", F.col("id") % 97)
+    return _round(O.stratified_means(x, ["y"], "unit", "correct"), "mean", "lo", "hi", digits=4)
+
+
+def role_gap(s, d):
+    return _round(O.gap_interval(_turns(s, d).filter("interview_id is not null"), "role_gold", "NARRATOR", "INTERVIEWER", "interview_id", "v"), "point", "lo", "hi", digits=4)
+
+
+def _clusterings(s, d):
+    seg = segments(s, d)
+    gold = K.mentions(seg).groupBy(F.col("segment_id").alias("item")).agg(F.max("term").alias("gold_id"))
+    system = K.mentions(seg).groupBy(F.col("segment_id").alias("item")).agg(F.max("place").alias("sys_id"))
+    return gold, system, K.voices(seg).withColumnRenamed("segment_id", "item")
+
+
+def cluster_tears(s, d):
+    return _round(O.merges_and_splits(*_clusterings(s, d)), "split_rate", "size_mean", digits=5)
+
+
+def cluster_merges(s, d):
+    return O.merged_pairs(*_clusterings(s, d)[:2])
+
+
+def changed_maps(s, d):
+    """How many terms each rank has in a shuffled, a collapsed and a completed rank map."""
+    m = maps(s, d)
+    a, b = (m.filter(F.col("map_name") == x).select("term", "cell_rank") for x in ("R-A", "R-B"))
+    some = a.filter(F.substring(F.md5("term"), 1, 1) < "8")
+    out = None
+    for name, x in (("shuffled", O.shuffled_map(a)), ("collapsed", O.collapsed_map(a)), ("completed", O.completed_map(some, b))):
+        one = x.select(F.lit(name).alias("map_name"), "term", "cell_rank")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def moment_spread(s, d):
+    """How far the moments of one narrator differ, by shared and by their own vectors."""
+    seg, cx = complex_of(s, d)
+    members = cx.members.filter("granularity = 'mid' and cell_rank = 1")
+    f = FE.cell_features(members, FE.narrator_vectors(K.voices(seg), _segment_vectors(s, d))).filter("cell_rank = 1")
+    own = O.spread_within_narrators(O.own_vectors(f, _segment_vectors(s, d)), members)
+    shared = O.spread_within_narrators(f, members).select("narrator", F.round("spread", 6).alias("shared"))
+    return own.join(shared, "narrator").select("narrator", "n", "shared", F.round("spread", 4).alias("own"))
+
+
+def transcript_turns(s, d):
+    """Turns of each chunk of a transcript with their offsets in its plain text."""
+    t = table(s, d, "transcripts").filter("interview_id is not null and html is not null").select("interview_id", "chunk_no", T.canonical_text(F.col("html")).alias("t")).distinct()
+    t = t.groupBy(F.concat_ws("#", "interview_id", F.coalesce(F.col("chunk_no").cast("string"), F.lit(""))).alias("chunk")).agg(F.max("t").alias("t"))
+    return O.cut_turns(t, "chunk", "t").select("chunk", "turn_no", "speaker_tag", "segment_no", "char_start", "char_end", F.md5("raw").alias("raw_md5"))
+
+
+_FNS = (item_outcomes, outcome_strata, role_gap, cluster_tears, cluster_merges, changed_maps, moment_spread, transcript_turns, narrator_features, permitted_features, cell_text_features, complex_features, rank_study_labels, rank_study_consensus, rank_study_alphas, rank_study_sample, term_usage, traced_numbers, event_payload, formatted_numbers, cleaned_speech, turn_length_bca, role_order, size_rank_information, turn_variance, role_sign_flips, role_advantage, role_table, role_length_interaction, negatives_labelled, negatives_motif_or_uniform, betti_permutation, narrator_encodings, triage_grid, false_singletons)
 QUERIES = {f.__name__: f for f in _FNS}
 
 _VEC = "v AS (SELECT vec_id AS id, embedding AS vec FROM embeddings), sv AS (SELECT segment_id, vec FROM seg JOIN v ON v.id = ('0x' || substr(md5(segment_id), 1, 8))::BIGINT % (SELECT count(*) FROM v))"
@@ -237,7 +303,25 @@ w3 AS (SELECT cid, arg_min(b, md5('3|' || cid || '|' || b)) AS narrator FROM w2
 walked AS (SELECT cid, narrator AS negative FROM w3 ANTI JOIN m2 USING (cid, narrator))"""
 _ROLES = f"{_TURN}, u AS (SELECT * FROM t WHERE raw IS NOT NULL)"
 
+_CLUSTERED = "gd AS (SELECT segment_id AS item, max(term) AS g FROM mention GROUP BY 1), sy AS (SELECT segment_id AS item, max(place) AS s FROM mention GROUP BY 1), o AS (SELECT g, s, count(*) AS n FROM gd JOIN sy USING (item) GROUP BY 1, 2)"
+_CORRECT = f"{_SC}, oc AS (SELECT *, ((score >= quantile_cont(score, 0.5) OVER (PARTITION BY cell)) = (y = 1))::INT AS correct FROM sc)"
+
 ORACLE = {
+    "item_outcomes": f"WITH {_CORRECT} SELECT id, cell, y, score, correct FROM oc",
+    "outcome_strata": f"""WITH {_CORRECT}, su AS (SELECT y, id % 97 AS unit, sum(correct)::DOUBLE AS s, count(*) AS n FROM oc GROUP BY ALL), sw AS (SELECT y, r, s, n, {_poisson_sql(_PLACE.format("'0|' || r || '|' || unit"))} AS w FROM su, (SELECT unnest(range(1, 2001)) AS r)),
+      sm AS (SELECT y, r, sum(w * s) / nullif(sum(w * n), 0) AS m FROM sw GROUP BY 1, 2), sq AS (SELECT y, round(quantile_cont(m, 0.025), 4) AS lo, round(quantile_cont(m, 0.975), 4) AS hi FROM sm GROUP BY 1)
+      SELECT y, round(sum(s) / sum(n), 4) AS mean, any_value(lo) AS lo, any_value(hi) AS hi, sum(n)::BIGINT AS n_rows, count(*) AS n_units FROM su JOIN sq USING (y) GROUP BY 1""",
+    "role_gap": f"""WITH {_ROLES}, p AS (SELECT role_gold AS side, interview_id AS i, avg(length(raw)) AS v FROM u WHERE interview_id IS NOT NULL AND role_gold IN ('NARRATOR', 'INTERVIEWER') GROUP BY 1, 2),
+      w AS (SELECT r, side, v, CASE WHEN r = 0 THEN 1 ELSE {_poisson_sql(_PLACE.format("'0|' || r || '|' || side || '|' || i"))} END AS w FROM p, (SELECT unnest(range(0, 10001)) AS r)),
+      d AS (SELECT r, sum(w * v) FILTER (side = 'NARRATOR') / nullif(sum(w) FILTER (side = 'NARRATOR'), 0) - sum(w * v) FILTER (side = 'INTERVIEWER') / nullif(sum(w) FILTER (side = 'INTERVIEWER'), 0) AS d FROM w GROUP BY 1)
+      SELECT round(max(d) FILTER (r = 0), 4) AS point, round(quantile_cont(d, 0.025) FILTER (r > 0), 4) AS lo, round(quantile_cont(d, 0.975) FILTER (r > 0), 4) AS hi, (SELECT min(c) FROM (SELECT count(*) AS c FROM p GROUP BY side)) AS n_replicates FROM d""",
+    "cluster_tears": f"""WITH {SEG}, {_CLUSTERED}, k AS (SELECT g, count(*) AS k FROM o GROUP BY 1), a AS (SELECT g, count(DISTINCT narrator) AS a FROM gd JOIN voice ON segment_id = item GROUP BY 1), p AS (SELECT g, coalesce(k, 0) AS k, coalesce(a, 0) AS a FROM (SELECT DISTINCT g FROM gd) LEFT JOIN k USING (g) LEFT JOIN a USING (g))
+      SELECT CASE WHEN a < 1 THEN '0' WHEN a <= 1 THEN '1' WHEN a <= 3 THEN '2-3' WHEN a <= 10 THEN '4-10' WHEN a <= 50 THEN '11-50' ELSE '51+' END AS band, count(*) AS n, round(avg((k >= 2)::INT), 5) AS split_rate, round(avg(a), 5) AS size_mean FROM p GROUP BY 1""",
+    "cluster_merges": f"WITH {SEG}, {_CLUSTERED}, m AS (SELECT s, count(*) AS k FROM o GROUP BY 1) SELECT (SELECT coalesce(sum(k * (k - 1) // 2), 0) FROM m)::BIGINT AS n_merged, (SELECT count(DISTINCT g) * (count(DISTINCT g) - 1) // 2 FROM gd) AS n_comparable",
+    "changed_maps": f"""WITH {SEG}, {_MAPS}, a AS (SELECT term, cell_rank FROM maps WHERE map_name = 'R-A'), b AS (SELECT term, cell_rank FROM maps WHERE map_name = 'R-B'), t AS (SELECT term, row_number() OVER (ORDER BY term) AS i FROM a), k AS (SELECT cell_rank, row_number() OVER (ORDER BY md5('0|' || term), term) AS i FROM a)
+      SELECT 'shuffled' AS map_name, term, cell_rank FROM t JOIN k USING (i) UNION ALL SELECT 'collapsed', term, 2 FROM a UNION ALL SELECT 'completed', term, CASE WHEN substr(md5(term), 1, 1) < '8' THEN a.cell_rank ELSE b.cell_rank END FROM a JOIN b USING (term)""",
+    "moment_spread": f"""WITH {CX}, {_VEC}, one AS (SELECT cid, max(narrator) AS narrator FROM mem WHERE granularity = 'mid' AND cell_rank = 1 GROUP BY 1 HAVING count(*) = 1), x AS (SELECT narrator, cid, unnest(vec) AS x, unnest(range(len(vec))) AS pos FROM one JOIN sv ON segment_id = cid)
+      SELECT narrator, max(n) AS n, 0::DOUBLE AS shared, round(max(r), 4) AS own FROM (SELECT narrator, pos, max(x) - min(x) AS r, count(DISTINCT cid) AS n FROM x GROUP BY 1, 2) GROUP BY 1 HAVING max(n) > 1""",
     "narrator_features": f"WITH {SEG}, {_VEC}, x AS (SELECT narrator, vec FROM voice JOIN sv USING (segment_id)), {_MEAN.format(n='y', k='narrator', f='x')} SELECT narrator, n, false AS fallback, {_TOLD} FROM y",
     "permitted_features": f"""WITH {SEG}, {_VEC}, p AS (SELECT *, substr(md5(segment_id || '|' || narrator), 1, 1) < '4' AS ok FROM voice), q AS (SELECT *, NOT bool_or(ok) OVER (PARTITION BY narrator) AS fallback FROM p),
       x AS (SELECT narrator, fallback, vec FROM q JOIN sv USING (segment_id) WHERE ok OR fallback), {_MEAN.format(n='y', k='narrator, fallback', f='x')} SELECT narrator, n, fallback, {_TOLD} FROM y""",

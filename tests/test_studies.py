@@ -10,6 +10,7 @@ from rungwork.operators import features as FE
 from rungwork.operators import graph as G
 from rungwork.operators import near_duplicates as N
 from rungwork.operators import negatives as NEG
+from rungwork.operators import outcomes as O
 from rungwork.operators import perturb as P
 from rungwork.operators import rank_study as RS
 from rungwork.operators import statistics as ST
@@ -230,3 +231,45 @@ def test_kept_tables_are_built_once_until_files_change(spark, tmp_path):
     assert kept(spark, str(tmp_path), "n", build).count() == 2
     forget()
     assert kept(spark, str(tmp_path), "n", build).count() == 3
+
+
+def test_turns_are_cut_with_offsets_and_segments(spark):
+    text = "Title: x\n<Begin Segment 1>\nNarrator: A B\nCF: Where?\nAB: At\nhome.\n<Begin Segment 2>\nCF: And\nab: no tag"
+    df = spark.createDataFrame([("i", text), ("j", "none here"), ("k", None), (None, text), ("l", "")], "id string, t string")
+    got = O.cut_turns(df, "id", "t").orderBy("id", "turn_no").collect()
+    assert [(r["id"], r["speaker_tag"], r["segment_no"]) for r in got] == [("i", "CF", 1), ("i", "AB", 1), ("i", "CF", 2)]
+    assert all(text[r["char_start"] : r["char_end"]] == r["raw"] for r in got) and got[-1]["char_end"] == len(text)
+    assert O.cut_turns(df.filter("false"), "id", "t").count() == 0
+
+
+def test_outcomes_strata_and_gaps(spark):
+    scored = spark.createDataFrame([("g", i, int(i > 4), float(i)) for i in range(10)], "g string, i int, label int, score double")
+    assert rows(O.outcomes(scored, ["g"]).agg(F.sum("correct"), F.count("*"))) == [(10, 10)]
+    r = O.stratified_means(scored, ["g"], "i", "score", draws=400).first()
+    assert r["mean"] == 4.5 and r["lo"] < 4.5 < r["hi"] and (r["n_rows"], r["n_units"]) == (10, 10)
+    gap = O.gap_interval(scored.withColumn("s", F.when(F.col("label") == 1, "a").otherwise("b")), "s", "a", "b", "i", "score", draws=400).first()
+    assert gap["point"] == 5.0 and gap["lo"] <= 5.0 <= gap["hi"] and gap["n_replicates"] == 5
+    assert O.stratified_means(scored.filter("false"), ["g"], "i", "score", draws=9).count() == 0
+
+
+def test_merges_splits_and_maps(spark):
+    gold = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, "c")], "item int, gold_id string")
+    system = spark.createDataFrame([(1, "x"), (2, "y"), (3, "y"), (4, "y")], "item int, sys_id string")
+    voices = spark.createDataFrame([(1, "n"), (2, "m"), (2, "m"), (3, "n")], "item int, narrator string")
+    assert rows(O.merges_and_splits(gold, system, voices)) == sorted([("0", 1, 0.0, 0.0), ("1", 1, 0.0, 1.0), ("2-3", 1, 1.0, 2.0)], key=repr)
+    assert tuple(O.merged_pairs(gold, system).first()) == (3, 3) and tuple(O.merged_pairs(gold.filter("false"), system).first()) == (0, 0)
+    m = spark.createDataFrame([(f"t{i}", 2 + (i < 30)) for i in range(100)], "term string, cell_rank int")
+    s = dict(rows(O.shuffled_map(m)))
+    assert sorted(s) == sorted(f"t{i}" for i in range(100)) and sum(v == 3 for v in s.values()) == 30 and s != dict(rows(m))
+    other = spark.createDataFrame([("t0", 9), ("new", 3)], "term string, cell_rank int")
+    done = dict(rows(O.completed_map(m, other)))
+    assert done["t0"] == 3 and done["new"] == 3 and len(done) == 101 and set(dict(rows(O.collapsed_map(m))).values()) == {2}
+
+
+def test_own_vectors_tell_moments_apart(spark):
+    f = spark.createDataFrame([(1, "s1", [1.0, 0.0, 1.0, 0.0, 0.0]), (1, "s2", [1.0, 0.0, 1.0, 0.0, 0.0]), (2, "c", [5.0, 0.0, 0.0, 1.0, 0.0])], "cell_rank int, cid string, feature array<double>")
+    v = spark.createDataFrame([("s1", [7.0])], "segment_id string, vec array<double>")
+    members = spark.createDataFrame([(1, "s1", "n"), (1, "s2", "n"), (2, "c", "n")], "cell_rank int, cid string, narrator string")
+    own = O.own_vectors(f, v)
+    assert {r["cid"]: list(r["feature"]) for r in own.collect()} == {"s1": [7, 0, 1, 0, 0], "s2": [1, 0, 1, 0, 0], "c": [5, 0, 0, 1, 0]}
+    assert rows(O.spread_within_narrators(f, members)) == [("n", 2, 0.0)] and rows(O.spread_within_narrators(own, members)) == [("n", 2, 6.0)]
