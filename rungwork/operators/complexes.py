@@ -95,8 +95,7 @@ def triage(sizes: DataFrame, k: int = 50) -> DataFrame:
 def triage_referents(sizes: DataFrame, k: int = 50) -> DataFrame:
     """``granularity, pos, referent``: the triage by referent, each at its first place."""
     events = sizes.filter("cell_rank = 2").withColumn("referent", F.array_join(F.slice(term_parts(F.col("base_term")), 1, 2), " -- "))
-    pos = F.row_number().over(W.partitionBy("granularity").orderBy("size", "cid"))
-    first = events.select("granularity", "referent", pos.alias("_p")).groupBy("granularity", "referent").agg(F.min("_p").alias("_p"))
+    first = events.groupBy("granularity", "referent").agg(F.min(F.struct("size", "cid")).alias("_p"))
     return first.select("granularity", F.row_number().over(W.partitionBy("granularity").orderBy("_p")).alias("pos"), "referent").filter(F.col("pos") <= k)
 
 

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rungwork.functions.keys import canonical_key
+from rungwork.operators.skew import number_rows
 
 FRACTIONS = (0.7, 0.15, 0.15)
 
@@ -19,15 +19,13 @@ def hash_order(seed: int, *parts: str) -> Column:
 def make_split(units: DataFrame, unit: str = "unit", seed: int = 0, fractions: tuple[float, float, float] = FRACTIONS) -> DataFrame:
     """``unit, bucket``: units in hash order, the first 70 % (rounded down) train, the next 15 % val, the rest test.
 
-    The place is a global rank: counted by ranges of the hash's first byte, so that no task orders all units.
+    Places are numbered over ranges of the hash, so no task orders more than its share of the units.
     """
-    u = units.select(unit).distinct().withColumn("_h", hash_order(seed, unit)).withColumn("_b", F.substring("_h", 1, 2))
-    sizes = u.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select("_b", F.coalesce(F.sum("_n").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    total = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_total"))
-    placed = u.withColumn("_i", F.row_number().over(W.partitionBy("_b").orderBy("_h", unit)) - 1).join(F.broadcast(before), "_b").join(F.broadcast(total)).withColumn("_i", F.col("_i") + F.col("_off"))
+    u = units.select(unit).distinct().select(F.lit(1).alias("_all"), unit, hash_order(seed, unit).alias("_h"))
+    placed = number_rows(u, ["_all"], ["_h", unit])
+    total = placed.agg(F.count(F.lit(1)).alias("_total"))
     train, val = F.floor(F.lit(fractions[0]) * F.col("_total")), F.floor(F.lit(fractions[1]) * F.col("_total"))
-    return placed.select(unit, F.when(F.col("_i") < train, "train").when(F.col("_i") < train + val, "val").otherwise("test").alias("bucket"))
+    return placed.join(F.broadcast(total)).select(unit, F.when(F.col("_pos") < train, "train").when(F.col("_pos") < train + val, "val").otherwise("test").alias("bucket"))
 
 
 def stored_split(splits: DataFrame, kind: str) -> DataFrame:

@@ -386,7 +386,7 @@ def phrase_counts(s, d):
     return t.select("doc_id", c.alias("c")).agg(*[F.sum(F.get("c", F.lit(i))).alias(f"n{i}") for i in range(4)])
 
 
-def near_duplicate_documents(s, d):
+def near_duplicate_segments(s, d):
     t = table(s, d, "segments").filter("segment_id is not null").select("segment_id", "description")
     return N.near_duplicates(t, "segment_id", "description").select("segment_id", "n_copies", "n_links")
 
@@ -419,7 +419,7 @@ def revenue_by_segment(s, d):
     return x.groupBy("r_name", "c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
 
 
-_FNS = (make_split, stored_splits, partition_incidences, split_straddle, exposure_law, training_pairs, negatives_uniform, negatives_size_matched, negatives_motif, negatives_clique, negatives_hard, retrieval_cosine, dense_pair_scores, link_auc, link_ranking, cell_retrieval_queries, rank_biased_overlap, jaccard_at, label_confusion, agreement_diagnostics, ordinal_alpha, dispute_kinds, design_effect, turn_length_bootstrap, singleton_interval, size_ks, violation_ratio, size_slope, clustering_scores, ceaf, linkage_sweep, role_length_did, anonymised_profile, triage_stability, stratified_sizes, cowitness_graph, betti_curve, persistence, degree_profile, forman_curvature, hypergraph_laplacian, spectral_encoding, error_rates, perturbed_sizes, label_centroids, rank_features, message_passing, row_weights, identity_probe, clean_descriptions, turn_roles, turn_role_evaluation, transcript_headers, segment_marks_asof, document_quality, phrase_counts, near_duplicate_documents, near_duplicate_pairs, event_numbers, term_ambiguity, revenue_by_segment)
+_FNS = (make_split, stored_splits, partition_incidences, split_straddle, exposure_law, training_pairs, negatives_uniform, negatives_size_matched, negatives_motif, negatives_clique, negatives_hard, retrieval_cosine, dense_pair_scores, link_auc, link_ranking, cell_retrieval_queries, rank_biased_overlap, jaccard_at, label_confusion, agreement_diagnostics, ordinal_alpha, dispute_kinds, design_effect, turn_length_bootstrap, singleton_interval, size_ks, violation_ratio, size_slope, clustering_scores, ceaf, linkage_sweep, role_length_did, anonymised_profile, triage_stability, stratified_sizes, cowitness_graph, betti_curve, persistence, degree_profile, forman_curvature, hypergraph_laplacian, spectral_encoding, error_rates, perturbed_sizes, label_centroids, rank_features, message_passing, row_weights, identity_probe, clean_descriptions, turn_roles, turn_role_evaluation, transcript_headers, segment_marks_asof, document_quality, phrase_counts, near_duplicate_segments, near_duplicate_pairs, event_numbers, term_ambiguity, revenue_by_segment)
 QUERIES = {f.__name__: f for f in _FNS}
 
 _SPLIT = "SELECT {u} AS unit, CASE WHEN i < floor(0.7 * n) THEN 'train' WHEN i < floor(0.7 * n) + floor(0.15 * n) THEN 'val' ELSE 'test' END AS bucket FROM (SELECT {u}, row_number() OVER (ORDER BY md5('0|' || {u}), {u}) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT {u} FROM {t}))"
@@ -503,7 +503,7 @@ ORACLE = {
     "segment_marks_asof": "WITH o AS (SELECT interview_id, turn_no, max(segment_no) AS s FROM turns WHERE interview_id IS NOT NULL AND turn_no IS NOT NULL GROUP BY 1, 2) SELECT interview_id, turn_no, last_value(s IGNORE NULLS) OVER (PARTITION BY interview_id ORDER BY turn_no) AS segment_asof FROM o",
     "document_quality": rf"""WITH t AS (SELECT doc_id, text, regexp_replace(regexp_replace(text, '\d{{1,2}}:\d{{2}}(:\d{{2}})?|\d{{4}}-\d{{2}}-\d{{2}}|\b(1[89]|20)\d{{2}}\b', ' ', 'g'), '(\d),(\d{{3}})', '\1\2', 'g') AS p FROM documents WHERE text IS NOT NULL)
       SELECT doc_id, len(list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: {sq('s')}), lambda s: s <> ''))::INT AS n_sentences, len(list_filter(regexp_split_to_array(text, '\n\s*\n'), lambda s: length(trim(s)) > 80))::INT AS n_paragraphs, len(regexp_extract_all(p, '\d+\.\d+|\d{{3,}}'))::INT AS n_numbers FROM t""",
-    "near_duplicate_documents": rf"""WITH t AS (SELECT DISTINCT segment_id, list_filter(string_split(regexp_replace(lower(description), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '), lambda w: w <> '') AS w FROM segments WHERE segment_id IS NOT NULL AND description IS NOT NULL),
+    "near_duplicate_segments": rf"""WITH t AS (SELECT DISTINCT segment_id, list_filter(string_split(regexp_replace(lower(description), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '), lambda w: w <> '') AS w FROM segments WHERE segment_id IS NOT NULL AND description IS NOT NULL),
       h AS (SELECT segment_id, list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) AS sh FROM t WHERE len(w) >= 8), c AS (SELECT sh, count(*) AS n, min(segment_id) AS id FROM h GROUP BY 1),
       g AS (SELECT id, unnest(sh) AS x, len(sh) AS m FROM c), p AS (SELECT a.id AS a, b.id AS b, count(*) AS k, any_value(a.m) AS ma, any_value(b.m) AS mb FROM g a JOIN g b ON a.x = b.x AND a.id <> b.id GROUP BY 1, 2), l AS (SELECT a, count(*) AS n_links FROM p WHERE k >= 0.8 * (ma + mb - k) GROUP BY 1)
       SELECT h.segment_id, c.n AS n_copies, coalesce(n_links, 0) AS n_links FROM h JOIN c USING (sh) LEFT JOIN l ON l.a = c.id""",
