@@ -7,6 +7,7 @@ import importlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -121,35 +122,35 @@ def rake(cells: dict[tuple[str, str, str], float], targets: dict[str, tuple[floa
             m = {x: max(0.0, named.get(x, 0.0)) / most * size for x in m} if most else m
         margins.append((axis, m))
     margins.append((0, {s: share[s] * size for s in have}))
-    cap = {k: n * targets[k[0]][1] for k, n in cells.items()}
-    w = {k: n * share[k[0]] * size / have[k[0]] for k, n in cells.items()}
+    names = list(cells)
+    have_of = np.array([cells[k] for k in names])
+    cap = have_of * np.array([targets[k[0]][1] for k in names])
+    w = np.array([cells[k] * share[k[0]] * size / have[k[0]] for k in names])
+    sides = []
+    for axis, m in margins:
+        values = sorted(m)
+        number = {x: i for i, x in enumerate(values)}
+        sides.append((axis, np.array([number[k[axis]] for k in names]), np.array([m[x] for x in values])))
     change, done = 0.0, 0
     for done in range(1, rounds + 1):
-        before = dict(w)
-        for axis, want in margins:
+        before = w.copy()
+        for axis, at, want in sides:
             for _fill in range(20 if axis == 0 else 1):
-                now: dict[str, float] = {}
-                free: dict[str, float] = {}
-                for k, v in w.items():
-                    now[k[axis]] = now.get(k[axis], 0.0) + v
-                    if v < cap[k] * (1 - 1e-12):
-                        free[k[axis]] = free.get(k[axis], 0.0) + v
-                moved = 0.0
-                for k, v in w.items():
-                    a = k[axis]
-                    short = want[a] - now[a]
-                    # a cell at its cap can't grow: the others of its margin make up for it
-                    base, room = (free.get(a, 0.0), v < cap[k] * (1 - 1e-12)) if short > 0 else (now[a], True)
-                    if room and base > 0:
-                        new = min(cap[k], v * max(0.0, 1 + short / base))
-                        moved = max(moved, abs(new - v) / size)
-                        w[k] = new
+                open_ = w < cap * (1 - 1e-12)
+                now, free = np.bincount(at, w, len(want)), np.bincount(at, np.where(open_, w, 0.0), len(want))
+                short = want - now
+                # a cell at its cap can't grow: the others of its margin make up for it
+                base = np.where(short > 0, free, now)
+                factor = np.maximum(0.0, 1 + np.divide(short, base, out=np.zeros_like(short), where=base > 0))
+                new = np.where((open_ | (short <= 0)[at]) & (base > 0)[at], np.minimum(cap, w * factor[at]), w)
+                moved = float(np.abs(new - w).max()) / size
+                w = new
                 if moved < 1e-9:
                     break
-        change = max(abs(v - before[k]) / size for k, v in w.items())
+        change = float(np.abs(w - before).max()) / size
         if change < SETTLED:
             break
-    return Plan({k: v / cells[k] for k, v in w.items()}, size, done, change)
+    return Plan({k: float(v) for k, v in zip(names, w / have_of, strict=True)}, size, done, change)
 
 
 def _bounds(drawn: DataFrame, wanted: dict[str, float]) -> dict[str, int]:
