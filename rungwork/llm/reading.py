@@ -62,7 +62,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
             if len(seen) > 500_000:
                 yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
                 seen.clear()
-        yield pd.DataFrame({"word": list(seen), "n": list(seen.values())}, columns=["word", "n"]).astype({"n": "int64"})
+        if seen:  # a partition without words has no column types either
+            yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
 
     return docs.select("text").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 

@@ -85,6 +85,14 @@ def test_levels_of_held_out_documents(spark):
     assert R.reading_levels(R.document_features(docs.filter("false")), None).count() == 0
 
 
+def test_empty_partitions_of_a_scan(spark, tmp_path):
+    docs = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "d"))
+    read = spark.read.parquet(str(tmp_path / "d"))
+    assert rows(R.document_features(read).select("doc_id", "n_words")) == [(1, 0), (2, 0)]
+    assert R.document_features(read.filter("doc_id > 9")).count() == 0
+
+
 def test_fitting_on_a_bounded_sample_of_many_graders(spark):
     rng = random.Random(9)
     docs = spark.createDataFrame([(i, make(i % 5 + 1, 90, rng)) for i in range(300)], "doc_id long, text string")
