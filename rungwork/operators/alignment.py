@@ -257,8 +257,9 @@ def cluster_by_similarity(df: DataFrame, by: list[str], key: str, vector: str, t
     """``by, threshold, key, cluster``: average-linkage clusters of the vectors of each group, named by smallest key.
 
     Groups of at most ``most`` items are clustered in a task each, larger ones in rounds over blocks, with equal
-    results where no two distances are equal. ``key`` is unique in its group.
+    results where no two distances are equal. ``key`` is unique in its group; rows with a NULL key or vector are left out.
     """
+    df = df.filter(F.col(key).isNotNull() & F.col(vector).isNotNull())
     kind = dict(df.dtypes)
     schema = ", ".join([*(f"{c} {kind[c]}" for c in by), "threshold double", f"{key} {kind[key]}", f"cluster {kind[key]}"])
 

@@ -54,14 +54,19 @@ def propagate(features: DataFrame, edges: DataFrame, layers: int = 1, keep: floa
 def probe_accuracy(df: DataFrame, label: str, vector: str, key: str, least: int = 4, iterations: int = 20) -> DataFrame:
     """One row ``accuracy, chance, n_test``: a multinomial logistic probe of classes of at least ``least`` rows.
 
-    Three in ten rows of each class, by hash, are held out.
+    Three in ten rows of each class, by hash, are held out. NULL vectors and labels are left out; with fewer than two
+    classes, or nothing held out, accuracy and chance are NULL.
     """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import StandardScaler, StringIndexer
     from pyspark.ml.functions import array_to_vector
 
+    df = df.filter(F.col(label).isNotNull() & F.col(vector).isNotNull())
     kept = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least).select(label)
     rows = df.join(kept, label, "left_semi").select(F.col(label).cast("string").alias("name"), array_to_vector(F.col(vector).cast("array<double>")).alias("raw"), (F.pmod(F.xxhash64(key), F.lit(10)) < 3).alias("held"))
+    seen = rows.groupBy("held").agg(F.count_distinct("name").alias("k")).collect()
+    if {r["held"]: r["k"] for r in seen}.get(False, 0) < 2 or len(seen) < 2:
+        return df.sparkSession.createDataFrame([(None, 0, None)], "accuracy double, n_test long, chance double")
     indexed = StringIndexer(inputCol="name", outputCol="label").fit(rows).transform(rows)
     train, test = indexed.filter("not held"), indexed.filter("held")
     scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(train)

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rungwork.functions import text as T
+from rungwork.operators import alignment as AL
 from rungwork.operators import claims as CL
 from rungwork.operators import features as FE
 from rungwork.operators import graph as G
@@ -14,6 +15,7 @@ from rungwork.operators import outcomes as O
 from rungwork.operators import perturb as P
 from rungwork.operators import rank_study as RS
 from rungwork.operators import statistics as ST
+from rungwork.operators import vectors as V
 from rungwork.session import forget, kept
 from rungwork.sources.readers import json_at, numbers_in_json
 from tests.conftest import rows
@@ -273,3 +275,9 @@ def test_own_vectors_tell_moments_apart(spark):
     own = O.own_vectors(f, v)
     assert {r["cid"]: list(r["feature"]) for r in own.collect()} == {"s1": [7, 0, 1, 0, 0], "s2": [1, 0, 1, 0, 0], "c": [5, 0, 0, 1, 0]}
     assert rows(O.spread_within_narrators(f, members)) == [("n", 2, 0.0)] and rows(O.spread_within_narrators(own, members)) == [("n", 2, 6.0)]
+
+
+def test_null_vectors_make_no_clusters_and_no_probe(spark):
+    df = spark.createDataFrame([(1, "a", None), (None, "a", [1.0]), (2, "a", None)], "id long, g string, vec array<double>")
+    assert AL.cluster_by_similarity(df, ["g"], "id", "vec", [0.5]).count() == 0
+    assert tuple(V.probe_accuracy(df, "g", "vec", "id").first()) == (None, 0, None)
