@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rungwork.operators.components import connected_components
+from rungwork.operators.skew import number_rows
+from rungwork.operators.splits import hash_order
 from rungwork.session import materialize
 
 #: Most nodes whose spectrum is computed in one task; more are iterated.
@@ -179,3 +181,66 @@ def permutation_test(members: DataFrame, draws: int = 1_000) -> DataFrame:
     """
     seen = persistence(filtration(members)).select("curve", F.col("area").cast("double").alias("observed"))
     return seen.select("curve", "observed", F.col("observed").alias("null_mean"), F.lit(0.0).alias("null_sd"), F.lit(1.0).alias("p_value"), F.lit(draws).alias("draws"), F.lit(True).alias("degenerate"))
+
+
+#: What a curve's area is predicted from: moments of the cells' sizes and counts of the graph.
+PLAIN = ("size_mean", "size_sd", "size_median", "size_max", "n_cells", "singletons", "n_edges", "n_nodes")
+
+
+def resampled_curves(members: DataFrame, draws: int = 60, share: float = 0.8, levels: int = 25, seed: int = 0) -> DataFrame:
+    """``replicate``, the columns of ``PLAIN``, ``area0, area1``: curves of complexes over a share of the narrators each.
+
+    The first narrators in hash order are kept and emptied cells dropped. Replicates are rows of one plan: their cells
+    and narrators are named apart, so one pass finds the components of all levels of all of them.
+    """
+    who = members.select("narrator").distinct()
+    keep = max(4, int(share * who.count()))
+    dealt = who.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("_h", hash_order(seed, "replicate", "narrator"))
+    kept = number_rows(dealt, ["replicate"], ["_h", "narrator"]).filter(F.col("_pos") < keep).select("replicate", "narrator")
+    name = lambda c: F.concat_ws("|", F.col("replicate").cast("string"), c).alias(c)
+    sub = materialize(members.select("cid", "narrator").distinct().join(kept, "narrator").select("replicate", name("cid"), name("narrator")))
+    sizes = sub.groupBy("replicate", "cid").agg(F.count(F.lit(1)).alias("_s"))
+    plain = sizes.groupBy("replicate").agg(F.avg("_s").alias("size_mean"), F.stddev_pop("_s").alias("size_sd"), F.expr("percentile(_s, 0.5)").alias("size_median"), F.max("_s").alias("size_max"), F.count(F.lit(1)).alias("n_cells"), F.avg((F.col("_s") == 1).cast("double")).alias("singletons"))
+    edges = materialize(cowitness(sub.select("cid", "narrator")).withColumn("replicate", F.substring_index("a", "|", 1).cast("int")))
+    graph = edges.groupBy("replicate").agg(F.count(F.lit(1)).alias("n_edges"))
+    nodes = both_ways(edges).select(F.substring_index("a", "|", 1).cast("int").alias("replicate"), "a").distinct().groupBy("replicate").agg(F.count(F.lit(1)).alias("n_nodes"))
+    alive = edges.withColumn("k", F.explode(F.sequence(F.lit(1), F.least(F.col("max_size"), F.lit(levels)).cast("int"))))
+    named = alive.select(F.concat_ws("|", "k", "a").alias("a"), F.concat_ws("|", "k", "b").alias("b"))
+    part = F.split("node", r"\|")
+    found = connected_components(named).select(F.get(part, F.lit(0)).cast("int").alias("k"), F.get(part, F.lit(1)).cast("int").alias("replicate"), "component")
+    v = found.groupBy("replicate", "k").agg(F.count(F.lit(1)).alias("_v"), F.count_distinct("component").alias("b0"))
+    e = alive.groupBy("replicate", "k").agg(F.count(F.lit(1)).alias("_e"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    ks = plain.select("replicate", F.least(F.col("size_max"), F.lit(levels)).cast("int").alias("_top")).withColumn("k", F.explode(F.sequence(F.lit(1), F.col("_top"))))
+    curve = ks.join(v, ["replicate", "k"], "left").join(e, ["replicate", "k"], "left").select("replicate", "_top", "k", zero("b0").alias("b0"), F.greatest(F.lit(0), zero("_e") - zero("_v") + zero("b0")).alias("b1"))
+    # trapezoids: the ends count half, a curve of one level has no area
+    w = F.when(F.col("_top") == 1, 0.0).when((F.col("k") == 1) | (F.col("k") == F.col("_top")), 0.5).otherwise(1.0)
+    area = curve.groupBy("replicate").agg(F.sum(w * F.col("b0")).alias("area0"), F.sum(w * F.col("b1")).alias("area1"))
+    return plain.join(graph, "replicate", "left").join(nodes, "replicate", "left").join(area, "replicate").select("replicate", *[zero(c).cast("double").alias(c) for c in PLAIN], "area0", "area1")
+
+
+def simpler_explanation(curves: DataFrame, folds: int = 5, threshold: float = 0.9) -> DataFrame:
+    """``curve, n, r2, constant, redundant``: how well sizes and counts alone predict the areas of the Betti curves.
+
+    The mean of R squared over held-out folds of a least-squares fit; a few dozen replicates are fitted in the driver.
+    NULL for a constant area and fewer than eight replicates. An area predicted above the threshold says nothing more.
+    """
+    rows = curves.orderBy(F.md5(F.col("replicate").cast("string"))).collect()
+    out = []
+    for name in ("area0", "area1"):
+        y = np.array([float(r[name]) for r in rows])
+        constant, r2 = bool(len(y) == 0 or y.std() == 0), None
+        if len(y) >= 8 and not constant:
+            x = np.array([[r[c] for c in PLAIN] for r in rows], dtype=float)
+            x = (x - x.mean(axis=0)) / np.where(x.std(axis=0) > 0, x.std(axis=0), 1)
+            x = np.concatenate([np.ones((len(x), 1)), x], axis=1)
+            fold, scores = np.arange(len(y)) % folds, []
+            for f in range(folds):
+                held = fold == f
+                beta = np.linalg.lstsq(x[~held], y[~held], rcond=None)[0]
+                spread = ((y[held] - y[held].mean()) ** 2).sum()
+                if spread > 0:
+                    scores.append(1 - ((y[held] - x[held] @ beta) ** 2).sum() / spread)
+            r2 = float(np.mean(scores)) if scores else None
+        out.append((name, len(y), r2, constant, bool(r2 is not None and r2 > threshold)))
+    return curves.sparkSession.createDataFrame(out, "curve string, n int, r2 double, constant boolean, redundant boolean")

@@ -189,6 +189,14 @@ def betti_permutation(s, d):
     return G.permutation_test(_mid(s, d)[1])
 
 
+def betti_explanation(s, d):
+    return _round(G.simpler_explanation(G.resampled_curves(_mid(s, d)[1])), "r2", digits=3)
+
+
+def resampled_betti(s, d):
+    return _round(G.resampled_curves(_mid(s, d)[1], draws=5), "size_mean", "size_sd", "singletons", digits=5).drop("n_edges", "n_nodes")
+
+
 def narrator_encodings(s, d):
     _, m, _, ground = _mid(s, d)
     e = G.encodings(m, ground)
@@ -269,7 +277,7 @@ def transcript_turns(s, d):
     return O.cut_turns(t, "chunk", "t").select("chunk", "turn_no", "speaker_tag", "segment_no", "char_start", "char_end", F.md5("raw").alias("raw_md5"))
 
 
-_FNS = (item_outcomes, outcome_strata, role_gap, cluster_tears, cluster_merges, changed_maps, moment_spread, transcript_turns, narrator_features, permitted_features, cell_text_features, complex_features, rank_study_labels, rank_study_consensus, rank_study_alphas, rank_study_sample, term_usage, traced_numbers, event_payload, formatted_numbers, cleaned_speech, turn_length_bca, role_order, size_rank_information, turn_variance, role_sign_flips, role_advantage, role_table, role_length_interaction, negatives_labelled, negatives_motif_or_uniform, betti_permutation, narrator_encodings, triage_grid, false_singletons)
+_FNS = (item_outcomes, outcome_strata, role_gap, cluster_tears, cluster_merges, changed_maps, moment_spread, transcript_turns, narrator_features, permitted_features, cell_text_features, complex_features, rank_study_labels, rank_study_consensus, rank_study_alphas, rank_study_sample, term_usage, traced_numbers, event_payload, formatted_numbers, cleaned_speech, turn_length_bca, role_order, size_rank_information, turn_variance, role_sign_flips, role_advantage, role_table, role_length_interaction, negatives_labelled, negatives_motif_or_uniform, betti_permutation, betti_explanation, resampled_betti, narrator_encodings, triage_grid, false_singletons)
 QUERIES = {f.__name__: f for f in _FNS}
 
 _VEC = "v AS (SELECT vec_id AS id, embedding AS vec FROM embeddings), sv AS (SELECT segment_id, vec FROM seg JOIN v ON v.id = ('0x' || substr(md5(segment_id), 1, 8))::BIGINT % (SELECT count(*) FROM v))"

@@ -281,3 +281,26 @@ def test_null_vectors_make_no_clusters_and_no_probe(spark):
     df = spark.createDataFrame([(1, "a", None), (None, "a", [1.0]), (2, "a", None)], "id long, g string, vec array<double>")
     assert AL.cluster_by_similarity(df, ["g"], "id", "vec", [0.5]).count() == 0
     assert tuple(V.probe_accuracy(df, "g", "vec", "id").first()) == (None, 0, None)
+
+
+def test_resampled_curves_are_those_of_the_restricted_complex(spark):
+    members = spark.createDataFrame([(f"c{i}", f"n{RNG.randrange(14):02d}") for i in range(25) for _ in range(1 + i % 5)], M).distinct().persist()
+    got = {r["replicate"]: r for r in G.resampled_curves(members, draws=4, seed=3).collect()}
+    assert len(got) == 4
+    from rungwork.operators.splits import hash_order
+
+    who = members.select("narrator").distinct()
+    for i, r in got.items():
+        names = [x["narrator"] for x in who.withColumn("replicate", F.lit(i)).orderBy(hash_order(3, "replicate", "narrator")).limit(int(0.8 * who.count())).collect()]
+        sub = members.filter(F.col("narrator").isin(names))
+        area = {x["curve"]: x["area"] for x in G.persistence(G.filtration(sub)).collect()}
+        sizes = [x["count"] for x in sub.groupBy("cid").count().collect()]
+        assert (r["area0"], r["area1"]) == (area["beta0"], area["beta1"]) and r["n_cells"] == len(sizes) and r["size_max"] == max(sizes) and r["n_edges"] == G.cowitness(sub).count()
+
+
+def test_an_area_that_sizes_explain_is_redundant(spark):
+    data = [(i, *[float(RNG.random()) for _ in G.PLAIN]) for i in range(40)]
+    df = spark.createDataFrame([(*r, 3 * r[1] - r[4], 5.0) for r in data], "replicate int, " + ", ".join(f"{c} double" for c in G.PLAIN) + ", area0 double, area1 double")
+    got = {r["curve"]: r for r in G.simpler_explanation(df).collect()}
+    assert got["area0"]["r2"] > 0.999 and got["area0"]["redundant"] and got["area1"]["constant"] and got["area1"]["r2"] is None
+    assert {r["r2"] for r in G.simpler_explanation(df.limit(5)).collect()} == {None} and {r["n"] for r in G.simpler_explanation(df.filter("false")).collect()} == {0}
