@@ -16,16 +16,18 @@ def hash_order(seed: int, *parts: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(p).cast("string") for p in parts]))
 
 
-def make_split(units: DataFrame, unit: str = "unit", seed: int = 0, fractions: tuple[float, float, float] = FRACTIONS) -> DataFrame:
+def make_split(units: DataFrame, unit: str = "unit", seed: int = 0, fractions: tuple[float, float, float] = FRACTIONS, by: str | None = None) -> DataFrame:
     """``unit, bucket``: units in hash order, the first 70 % (rounded down) train, the next 15 % val, the rest test.
 
-    Places are numbered over ranges of the hash, so no task orders more than its share of the units.
+    With ``by``, the units of each of its values are split by themselves, in one pass. Places are numbered over ranges
+    of the hash, so no task orders more than its share of the units.
     """
-    u = units.select(unit).distinct().select(F.lit(1).alias("_all"), unit, hash_order(seed, unit).alias("_h"))
-    placed = number_rows(u, ["_all"], ["_h", unit])
-    total = placed.agg(F.count(F.lit(1)).alias("_total"))
+    key = F.col(by) if by else F.lit(1)
+    u = units.select(key.alias("_by"), unit).distinct().select("_by", unit, hash_order(seed, unit).alias("_h"))
+    placed = number_rows(u, ["_by"], ["_h", unit])
+    total = placed.groupBy("_by").agg(F.count(F.lit(1)).alias("_total"))
     train, val = F.floor(F.lit(fractions[0]) * F.col("_total")), F.floor(F.lit(fractions[1]) * F.col("_total"))
-    return placed.join(F.broadcast(total)).select(unit, F.when(F.col("_pos") < train, "train").when(F.col("_pos") < train + val, "val").otherwise("test").alias("bucket"))
+    return placed.join(F.broadcast(total), "_by").select(*([F.col("_by").alias(by)] if by else []), unit, F.when(F.col("_pos") < train, "train").when(F.col("_pos") < train + val, "val").otherwise("test").alias("bucket"))
 
 
 def stored_split(splits: DataFrame, kind: str) -> DataFrame:
@@ -41,10 +43,10 @@ def partition_incidences(pairs: DataFrame, split: DataFrame, unit: str) -> DataF
     return pairs.join(s, F.col(unit) == F.col("_u"), "left").select(*pairs.columns, F.coalesce("bucket", F.lit("test")).alias("bucket"))
 
 
-def straddle(routed: DataFrame) -> DataFrame:
-    """One row: narrators, those in more than one bucket and their share."""
-    per = routed.groupBy("narrator").agg(F.count_distinct("bucket").alias("_k"))
-    return per.agg(F.count(F.lit(1)).alias("n_narrators"), F.count_if(F.col("_k") > 1).alias("n_straddling"), F.avg((F.col("_k") > 1).cast("double")).alias("share"))
+def straddle(routed: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row, or one for each value of ``by``: narrators, those in more than one bucket and their share."""
+    per = routed.groupBy(*by, "narrator").agg(F.count_distinct("bucket").alias("_k"))
+    return per.groupBy(*by).agg(F.count(F.lit(1)).alias("n_narrators"), F.count_if(F.col("_k") > 1).alias("n_straddling"), F.avg((F.col("_k") > 1).cast("double")).alias("share"))
 
 
 def exposure_law(pairs: DataFrame, fractions: tuple[float, ...] = FRACTIONS) -> DataFrame:

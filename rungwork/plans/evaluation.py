@@ -58,11 +58,11 @@ def partition_incidences(s, d):
 
 
 def split_straddle(s, d):
-    pairs, out = _pairs(s, d), None
-    for unit in ("narrator", "cid", "pair"):
-        part = _round(S.straddle(_routed(pairs, unit)), "share").select(F.lit(unit).alias("unit"), "*")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Straddling narrators where splits are by narrator, by cell and by incidence, all in one pass."""
+    kinds = F.array(*[F.struct(F.lit(k).alias("unit"), F.col(c).alias("value")) for k, c in (("narrator", "narrator"), ("cid", "cid"), ("pair", "pair"))])
+    stacked = materialize(_mid(s, d)[1].withColumn("pair", F.concat_ws("|", "cid", "narrator")).select("narrator", F.explode(kinds).alias("x")).select("narrator", "x.*"))
+    split = S.make_split(stacked.select("unit", "value"), "value", by="unit")
+    return _round(S.straddle(stacked.join(split, ["unit", "value"]), ("unit",)), "share")
 
 
 def exposure_law(s, d):
