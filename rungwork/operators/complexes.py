@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -10,8 +11,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rungwork.operators.corpus import mentions, term_parts, voices
+from rungwork.operators.skew import _parts
+from rungwork.session import materialize
 
 GRANULARITIES = ("coarse", "mid", "fine")
+#: Rows of a class that are listed together, about; pairs of rows that a task writes, about, in at most so many tasks.
+LISTED_ROWS, TASK_PAIRS, MOST_TASKS = 512, 4_000_000, 20_000
 
 
 @dataclass
@@ -140,10 +145,33 @@ def incidence(cx: Complex, k: int, j: int) -> DataFrame:
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
-    """``granularity, a, b, weight``: rows that share columns, with how many; the diagonal is left out."""
-    x = edges.select("granularity", "col_cid", F.col("row_cid").alias("a"))
-    y = edges.select("granularity", "col_cid", F.col("row_cid").alias("b"))
-    return x.join(y, ["granularity", "col_cid"]).filter("a <> b").groupBy("granularity", "a", "b").agg(F.count(F.lit(1)).alias("weight"))
+    """``granularity, a, b, weight``: rows that share columns, with how many; the diagonal is left out.
+
+    Rows with the same columns are one class (by 128 bits of hash sums), weights are counted between classes, and pairs
+    of classes are written out as pairs of lists of their rows, dealt out evenly. So pairs of rows are never shuffled.
+    """
+    key = ["granularity", "_cls"]
+    known = edges.filter(F.col("row_cid").isNotNull())
+    hashed = lambda i: F.sum(F.xxhash64("col_cid", F.lit(i)).cast("decimal(38,0)"))
+    marks = known.groupBy("granularity", "row_cid").agg(F.count(F.lit(1)).alias("_c"), hashed(0).alias("_h"), hashed(1).alias("_g"))
+    rows = materialize(marks.select("granularity", "row_cid", F.md5(F.concat_ws("|", "_c", "_h", "_g")).alias("_cls")))
+    classes = materialize(rows.groupBy(*key).agg(F.min("row_cid").alias("row_cid"), F.count(F.lit(1)).alias("_n")))
+    columns = materialize(known.join(classes, ["granularity", "row_cid"]).select(*key, "col_cid"))
+    x, y = (columns.select("granularity", "col_cid", F.col("_cls").alias(c)) for c in ("_ca", "_cb"))
+    weights = x.join(y, ["granularity", "col_cid"]).groupBy("granularity", "_ca", "_cb").agg(F.count(F.lit(1)).alias("weight"))
+    for c in "ab":
+        weights = weights.join(classes.select("granularity", F.col("_cls").alias(f"_c{c}"), F.col("_n").alias(f"_n{c}")), ["granularity", f"_c{c}"])
+    weights = materialize(weights)
+    lists = lambda n: F.ceil(F.col(n) / LISTED_ROWS).cast("int")
+    listed = rows.join(classes.select(*key, "_n"), key).withColumn("_l", F.pmod(F.xxhash64("row_cid"), lists("_n")).cast("int"))
+    listed = materialize(listed.groupBy(*key, "_l").agg(F.collect_list("row_cid").alias("_rows")))
+    dealt = weights.withColumn("_la", F.explode(F.sequence(F.lit(0), lists("_na") - 1))).withColumn("_lb", F.explode(F.sequence(F.lit(0), lists("_nb") - 1)))
+    for c in "ab":
+        dealt = dealt.join(listed.select("granularity", F.col("_cls").alias(f"_c{c}"), F.col("_l").alias(f"_l{c}"), F.col("_rows").alias(f"_{c}")), ["granularity", f"_c{c}", f"_l{c}"])
+    pairs = weights.agg(F.coalesce(F.sum((F.col("_na") * F.col("_nb")).cast("double")), F.lit(0.0))).first()[0]
+    tasks = max(_parts(edges), min(MOST_TASKS, math.ceil(pairs / TASK_PAIRS)))
+    dealt = dealt.select("granularity", "_a", "_b", "weight").repartition(tasks)
+    return dealt.withColumn("a", F.explode("_a")).withColumn("b", F.explode("_b")).filter("a <> b").select("granularity", "a", "b", "weight")
 
 
 def coadjacency(edges: DataFrame) -> DataFrame:

@@ -81,3 +81,19 @@ def test_concordance_and_unknown_incidence(spark):
 def test_empty_corpus(spark):
     seg = toy(spark).filter("false")
     assert C.build_complex(seg, ranks(spark)).sizes().count() == 0
+
+
+def test_adjacency_pairs_rows_after_all_aggregation(spark, monkeypatch):
+    monkeypatch.setattr(C, "LISTED_ROWS", 4)
+    held = [("mid", f"r{i:02d}", c) for i in range(30) for c in ("x", "y", "z")[: i % 3 + 1]] + [("fine", "r00", "x"), ("fine", "r01", "x"), ("fine", "r01", "x"), ("fine", None, "x"), ("fine", "r02", None)]
+    edges = spark.createDataFrame(held, "granularity string, row_cid string, col_cid string")
+    want = {}
+    for g, a, x in held:
+        for h, b, y in held:
+            if g == h and a and b and a != b and x == y and x:
+                want[g, a, b] = want.get((g, a, b), 0) + 1
+    got = C.adjacency(edges)
+    assert rows(got) == sorted((*k, n) for k, n in want.items())
+    assert C.adjacency(edges.filter("false")).count() == 0
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" in plan and "Aggregate" not in plan.split("Generate")[0]
