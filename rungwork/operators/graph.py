@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rungwork.operators.components import connected_components
 from rungwork.operators.skew import number_rows
 from rungwork.operators.splits import hash_order
-from rungwork.session import materialize
+from rungwork.session import materialize, spread
 
 #: Most nodes whose spectrum is computed in one task; more are iterated.
 SPECTRUM_NODES = 3_000
@@ -187,29 +187,102 @@ def permutation_test(members: DataFrame, draws: int = 1_000) -> DataFrame:
 PLAIN = ("size_mean", "size_sd", "size_median", "size_max", "n_cells", "singletons", "n_edges", "n_nodes")
 
 
+def _bits(masks: pd.Series, draws: int) -> np.ndarray:
+    """Masks of packed bits as rows of 0 and 1."""
+    packed = np.frombuffer(b"".join(masks), dtype=np.uint8).reshape(len(masks), -1)
+    return np.unpackbits(packed, axis=1, count=draws)
+
+
+def _forest(edges: pd.DataFrame, top: int) -> pd.DataFrame:
+    """``replicate, k, n_nodes, beta0`` of one replicate from the joined lists of its edges ``u, v, level``."""
+    u, v, level = (np.frombuffer(b"".join(edges[c]), dtype=np.int32) for c in ("u", "v", "level"))
+    names, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    u, v = at[: len(u)], at[len(u) :]
+    root, seen, out = np.arange(len(names)), np.zeros(len(names), dtype=bool), []
+    for k in range(top, 0, -1):
+        new = level == k
+        x, y = u[new], v[new]
+        seen[x] = seen[y] = True
+        while True:  # hook the larger root on the smaller one, then point all at their roots
+            x, y = root[x], root[y]
+            apart = x != y
+            if not apart.any():
+                break
+            x, y = x[apart], y[apart]
+            np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+            while (root != (up := root[root])).any():
+                root = up
+        out.append((int(edges["replicate"].iloc[0]), k, int(seen.sum()), int((seen & (root == np.arange(len(names)))).sum())))
+    return pd.DataFrame(out, columns=["replicate", "k", "n_nodes", "beta0"])
+
+
 def resampled_curves(members: DataFrame, draws: int = 60, share: float = 0.8, levels: int = 25, seed: int = 0) -> DataFrame:
     """``replicate``, the columns of ``PLAIN``, ``area0, area1``: curves of complexes over a share of the narrators each.
 
-    The first narrators in hash order are kept and emptied cells dropped. Replicates are rows of one plan: their cells
-    and narrators are named apart, so one pass finds the components of all levels of all of them.
+    The first narrators in hash order are kept and emptied cells dropped. Which replicates keep a narrator is a row of
+    bits, and the sizes of a cell in all of them one list, so a pair of narrators is one row for all replicates. A level
+    has the components that its cells' members form; one task finds those of all levels of one replicate.
     """
-    who = members.select("narrator").distinct()
+    ours = members.select("cid", "narrator").distinct()
+    who = materialize(number_rows(ours.select(F.lit(1).alias("_all"), "narrator").distinct(), ["_all"], ["narrator"]).select("narrator", F.col("_pos").cast("int").alias("_i")))
     keep = max(4, int(share * who.count()))
-    dealt = who.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("_h", hash_order(seed, "replicate", "narrator"))
-    kept = number_rows(dealt, ["replicate"], ["_h", "narrator"]).filter(F.col("_pos") < keep).select("replicate", "narrator")
-    name = lambda c: F.concat_ws("|", F.col("replicate").cast("string"), c).alias(c)
-    sub = materialize(members.select("cid", "narrator").distinct().join(kept, "narrator").select("replicate", name("cid"), name("narrator")))
-    sizes = sub.groupBy("replicate", "cid").agg(F.count(F.lit(1)).alias("_s"))
-    plain = sizes.groupBy("replicate").agg(F.avg("_s").alias("size_mean"), F.stddev_pop("_s").alias("size_sd"), F.expr("percentile(_s, 0.5)").alias("size_median"), F.max("_s").alias("size_max"), F.count(F.lit(1)).alias("n_cells"), F.avg((F.col("_s") == 1).cast("double")).alias("singletons"))
-    edges = materialize(cowitness(sub.select("cid", "narrator")).withColumn("replicate", F.substring_index("a", "|", 1).cast("int")))
-    graph = edges.groupBy("replicate").agg(F.count(F.lit(1)).alias("n_edges"))
-    nodes = both_ways(edges).select(F.substring_index("a", "|", 1).cast("int").alias("replicate"), "a").distinct().groupBy("replicate").agg(F.count(F.lit(1)).alias("n_nodes"))
-    alive = edges.withColumn("k", F.explode(F.sequence(F.lit(1), F.least(F.col("max_size"), F.lit(levels)).cast("int"))))
-    named = alive.select(F.concat_ws("|", "k", "a").alias("a"), F.concat_ws("|", "k", "b").alias("b"))
-    part = F.split("node", r"\|")
-    found = connected_components(named).select(F.get(part, F.lit(0)).cast("int").alias("k"), F.get(part, F.lit(1)).cast("int").alias("replicate"), "component")
-    v = found.groupBy("replicate", "k").agg(F.count(F.lit(1)).alias("_v"), F.count_distinct("component").alias("b0"))
-    e = alive.groupBy("replicate", "k").agg(F.count(F.lit(1)).alias("_e"))
+    dealt = who.select("narrator", "_i").withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("_h", hash_order(seed, "replicate", "narrator"))
+    kept = number_rows(dealt, ["replicate"], ["_h", "narrator"]).filter(F.col("_pos") < keep).groupBy("narrator", "_i").agg(F.collect_list("replicate").alias("_r"))
+
+    def masked(pdfs):
+        for pdf in pdfs:
+            bits = np.zeros((len(pdf), draws), dtype=np.uint8)
+            for i, r in enumerate(pdf["_r"]):
+                bits[i, r] = 1
+            yield pd.DataFrame({"narrator": pdf["narrator"], "_i": pdf["_i"], "_m": [x.tobytes() for x in np.packbits(bits, axis=1)]})
+
+    m = materialize(ours.join(kept.mapInPandas(masked, "narrator string, _i int, _m binary"), "narrator").select("cid", "_i", "_m"))
+    cells = materialize(m.groupBy("cid").agg(F.collect_list(F.struct("_i", "_m")).alias("_x")).select("cid", "_x._i", "_x._m"))
+
+    def sized(pdfs):
+        for pdf in pdfs:
+            sizes = [_bits(x, draws).sum(axis=0, dtype=np.int32) for x in pdf["_m"]]
+            yield pd.DataFrame({"cid": pdf["cid"], "_s": sizes, "_l": [np.minimum(x, levels).astype(np.uint8 if levels < 256 else np.int32).tobytes() for x in sizes]})
+
+    def linked(pdfs):
+        for pdf in pdfs:
+            lists = [([], [], []) for _ in range(draws)]
+            for ids, masks in zip(pdf["_i"], pdf["_m"], strict=True):
+                bits, ids = _bits(masks, draws), np.asarray(ids, dtype=np.int32)
+                for r in np.flatnonzero(bits.sum(axis=0, dtype=np.int64) > 1):
+                    inside = ids[bits[:, r] == 1]
+                    rest = np.full(len(inside) - 1, min(len(inside), levels), dtype=np.int32)
+                    for to, x in zip(lists[r], (np.full(len(rest), inside[0], dtype=np.int32), inside[1:], rest), strict=True):
+                        to.append(x)
+            some = [(r, *(np.concatenate(x).tobytes() for x in lists[r])) for r in range(draws) if lists[r][0]]
+            yield pd.DataFrame(some, columns=["replicate", "u", "v", "level"])
+
+    def counted(pdfs):
+        n = np.zeros(draws * (levels + 1), dtype=np.int64)
+        for pdf in pdfs:
+            if not len(pdf):
+                continue
+            lists = pdf["_l"].tolist()
+            starts = np.cumsum([0, *map(len, lists)])[:-1]
+            each = np.frombuffer(b"".join(b for x in lists for b in x), dtype=np.uint8 if levels < 256 else np.int32).reshape(-1, draws)
+            best = np.maximum.reduceat(each, starts, axis=0).astype(np.int64) * (_bits(pdf["_ma"], draws) & _bits(pdf["_mb"], draws))
+            n += np.bincount((best + np.arange(draws) * (levels + 1)).ravel(), minlength=len(n))
+        at = np.flatnonzero(n)
+        yield pd.DataFrame({"replicate": (at // (levels + 1)).astype(np.int32), "level": (at % (levels + 1)).astype(np.int32), "n": n[at]})
+
+    sizes = materialize(spread(cells.select("cid", "_m")).mapInPandas(sized, "cid string, _s array<int>, _l binary"))
+    each = sizes.select(F.posexplode("_s").alias("replicate", "_s")).filter("_s > 0")
+    plain = each.groupBy("replicate").agg(F.avg("_s").alias("size_mean"), F.stddev_pop("_s").alias("size_sd"), F.expr("percentile(_s, 0.5)").alias("size_median"), F.max("_s").alias("size_max"), F.count(F.lit(1)).alias("n_cells"), F.avg((F.col("_s") == 1).cast("double")).alias("singletons"))
+    plain = materialize(plain)
+    found = spread(cells).mapInPandas(linked, "replicate int, u binary, v binary, level binary").groupBy("replicate").applyInPandas(lambda x: _forest(x, levels), "replicate int, k int, n_nodes long, beta0 long")
+    found = materialize(found)
+    nodes = found.filter("k = 1").select("replicate", "n_nodes")
+    x, y = (m.select("cid", F.col("_i").alias(c), F.col("_m").alias(f"_m{c}")) for c in "ab")
+    pairs = x.join(y, "cid").filter("a < b").join(sizes.select("cid", "_l"), "cid").groupBy("a", "b").agg(F.first("_ma").alias("_ma"), F.first("_mb").alias("_mb"), F.collect_list("_l").alias("_l"))
+    alive = materialize(pairs.select("_ma", "_mb", "_l").mapInPandas(counted, "replicate int, level int, n long").groupBy("replicate", "level").agg(F.sum("n").alias("n")).filter("level > 0"))
+    graph = alive.groupBy("replicate").agg(F.sum("n").alias("n_edges"))
+    e = alive.select("replicate", "n", F.explode(F.sequence(F.lit(1), F.col("level"))).alias("k")).groupBy("replicate", "k").agg(F.sum("n").alias("_e"))
+    v = found.select("replicate", "k", F.col("n_nodes").alias("_v"), F.col("beta0").alias("b0"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     ks = plain.select("replicate", F.least(F.col("size_max"), F.lit(levels)).cast("int").alias("_top")).withColumn("k", F.explode(F.sequence(F.lit(1), F.col("_top"))))
     curve = ks.join(v, ["replicate", "k"], "left").join(e, ["replicate", "k"], "left").select("replicate", "_top", "k", zero("b0").alias("b0"), F.greatest(F.lit(0), zero("_e") - zero("_v") + zero("b0")).alias("b1"))

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import numpy as np
@@ -304,3 +305,28 @@ def test_an_area_that_sizes_explain_is_redundant(spark):
     got = {r["curve"]: r for r in G.simpler_explanation(df).collect()}
     assert got["area0"]["r2"] > 0.999 and got["area0"]["redundant"] and got["area1"]["constant"] and got["area1"]["r2"] is None
     assert {r["r2"] for r in G.simpler_explanation(df.limit(5)).collect()} == {None} and {r["n"] for r in G.simpler_explanation(df.filter("false")).collect()} == {0}
+
+
+def test_replicates_share_the_rows_of_a_pair(spark, monkeypatch):
+    members = spark.createDataFrame([(f"c{i:02d}", f"n{RNG.randrange(12):02d}") for i in range(25) for _ in range(4)], M).distinct().persist()
+    written = []
+
+    def counted(df, *by):
+        out = G_materialize(df, *by)
+        written.append(out.count())
+        return out
+
+    G_materialize = G.materialize
+    monkeypatch.setattr(G, "materialize", counted)
+    got = {r["replicate"]: r for r in G.resampled_curves(members, draws=20, share=0.7).collect()}
+    assert max(written) <= members.count() + 20 * 25
+    keep = int(0.7 * members.select("narrator").distinct().count())
+    names = sorted({n for _, n in rows(members)})
+    for r in (0, 7, 19):
+        kept = sorted(names, key=lambda n: hashlib.md5(f"0|{r}|{n}".encode()).hexdigest())[:keep]
+        sub = members.filter(F.col("narrator").isin(kept))
+        curve = G.filtration(sub).orderBy("k").collect()
+        assert got[r]["n_cells"] == sub.select("cid").distinct().count() and got[r]["n_edges"] == G.cowitness(sub).count()
+        for i in "01":
+            values = [c[f"beta{i}"] for c in curve]
+            assert got[r][f"area{i}"] == sum((a + b) / 2 for a, b in zip(values, values[1:]))
