@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +13,9 @@ from rungwork.operators.skew import number_rows
 from rungwork.operators.splits import hash_order
 from rungwork.session import materialize
 
+#: Cells whose company is counted in one task.
+BLOCK_CELLS = 1_024
+
 
 def _first(df: DataFrame, keys: list[str], seed: int, *parts: str) -> DataFrame:
     """One narrator per key: the first in hash order. An aggregate, so no group is ordered."""
@@ -116,18 +123,84 @@ def motif(members: DataFrame, graph: DataFrame, steps: int = 3, seed: int = 0) -
     return at.join(members.select("cid", "narrator"), ["cid", "narrator"], "left_anti").select("cid", F.col("narrator").alias("negative"))
 
 
-def clique(members: DataFrame, graph: DataFrame, seed: int = 0) -> DataFrame:
+def company(members: DataFrame, pick: Callable[[np.ndarray, np.ndarray], np.ndarray], without: DataFrame | None = None, block: int = BLOCK_CELLS) -> DataFrame:
+    """``cid, narrator``: those picked outside each cell by how many of its members they share some cell with.
+
+    ``pick(counts, n)`` gets the counts of all narrators in name order, with -1 for the members of the cell, and the
+    number of members that were counted; ``without`` has ``cid, narrator`` of members that don't count. Cells come in
+    blocks: neighbours are sent once a block, not once a member, and the counts of a cell are one array.
+    """
+    ours = members.select("cid", "narrator").distinct()
+    who = materialize(number_rows(ours.select(F.lit(1).alias("_all"), "narrator").distinct(), ["_all"], ["narrator"]).select("narrator", F.col("_pos").cast("int").alias("_i")))
+    cells = materialize(number_rows(ours.select(F.lit(1).alias("_all"), "cid").distinct(), ["_all"], ["cid"]).select("cid", F.col("_pos").alias("_c")))
+    m = ours.withColumn("_on", F.lit(True)) if without is None else ours.join(without.select("cid", "narrator", F.lit(False).alias("_on")), ["cid", "narrator"], "left").withColumn("_on", F.coalesce("_on", F.lit(True)))
+    m = materialize(m.join(who, "narrator").join(cells, "cid").select("_c", "_i", "_on"))
+    x, y = (m.select("_c", F.col("_i").alias(c)) for c in "ab")
+    near = materialize(x.join(y, "_c").filter("a <> b").groupBy("a").agg(F.collect_set("b").alias("_near")))
+    within = m.groupBy(F.floor(F.col("_c") / block).alias("_block"), "_i").agg(F.collect_list(F.struct("_c", "_on")).alias("_x"))
+    within = within.join(near.withColumnRenamed("a", "_i"), "_i", "left").select("_block", "_i", "_x._c", "_x._on", F.coalesce("_near", F.array().cast("array<int>")).alias("_near"))
+    total = who.count()
+
+    def picked(pdf: pd.DataFrame) -> pd.DataFrame:
+        near = [np.asarray(x, dtype=np.int64) for x in pdf["_near"]]
+        held: dict[int, list[tuple[int, bool]]] = {}
+        for k, (cs, on) in enumerate(zip(pdf["_c"], pdf["_on"], strict=True)):
+            for c, o in zip(cs, on, strict=True):
+                held.setdefault(int(c), []).append((k, bool(o)))
+        ids, dense, out = pdf["_i"].to_numpy(), {}, []
+        for c, inside in held.items():
+            counts, n = np.zeros(total, dtype=np.int32), 0
+            for k, on in inside:
+                if not on:
+                    continue
+                n += 1
+                if 16 * len(near[k]) < total:
+                    counts[near[k]] += 1
+                else:
+                    if k not in dense:
+                        dense[k] = np.zeros(total, dtype=np.int8)
+                        dense[k][near[k]] = 1
+                    counts += dense[k]
+            counts[ids[[k for k, _ in inside]]] = -1
+            out.append((c, pick(counts, n).tolist()))
+        return pd.DataFrame(out, columns=["_c", "_picked"])
+
+    got = within.groupBy("_block").applyInPandas(picked, "_c long, _picked array<int>")
+    return got.select("_c", F.explode("_picked").alias("_i")).join(who, "_i").join(cells, "_c").select("cid", "narrator")
+
+
+def _all_known(counts: np.ndarray, n: int) -> np.ndarray:
+    return np.flatnonzero(counts == n) if n else np.empty(0, dtype=int)
+
+
+def _most_known(counts: np.ndarray, n: int) -> np.ndarray:
+    if counts.max(initial=0) <= 0:
+        return np.empty(0, dtype=int)
+    return np.array([len(counts) - 1 - counts[::-1].argmax()])
+
+
+def clique(members: DataFrame, graph: DataFrame | None = None, seed: int = 0) -> DataFrame:
     """``cid, dropped, negative``: one member is dropped; who knows all the others and isn't a member takes its place.
 
-    Relational division: candidates are counted per cell. Cells of one member give no row.
+    Who knows whom are ``a, b`` of ``graph`` both ways; without it, those who share a cell, counted by :func:`company`.
+    Cells of one member give no row.
     """
-    sizes = members.groupBy("cid").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     drop = _first(members, ["cid"], seed, "cid", "narrator").withColumnRenamed("negative", "dropped")
+    if graph is None:
+        drop = materialize(drop)
+        met = company(members, _all_known, drop.select("cid", F.col("dropped").alias("narrator"))).join(drop, "cid")
+        return _first(met, ["cid", "dropped"], seed, "cid", "narrator")
+    sizes = members.groupBy("cid").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     kept = members.select("cid", "narrator").join(drop, "cid").filter("narrator <> dropped").join(sizes, "cid")
     met = kept.join(graph.select(F.col("a").alias("narrator"), "b"), "narrator").groupBy("cid", "dropped", F.col("b").alias("narrator"), "_n").agg(F.count(F.lit(1)).alias("_k")).filter(F.col("_k") == F.col("_n") - 1)
     return _first(met.join(members.select("cid", "narrator"), ["cid", "narrator"], "left_anti"), ["cid", "dropped"], seed, "cid", "narrator")
 
 
+def hardest_by_company(members: DataFrame) -> DataFrame:
+    """``cid, negative``: the non-member who shares a cell with most members, then the last by name."""
+    return company(members, _most_known).select("cid", F.col("narrator").alias("negative"))
+
+
 def hard(cells: DataFrame, members: DataFrame, similar: DataFrame) -> DataFrame:
     """``cid, negative``: the non-member most similar to the cell; ``similar`` has scored ``cid, narrator, score``."""
     out = similar.join(cells.select("cid"), "cid", "left_semi").join(members.select("cid", "narrator"), ["cid", "narrator"], "left_anti")

@@ -100,9 +100,7 @@ def negatives_clique(s, d):
 
 def negatives_hard(s, d):
     _, m, _, _ = _mid(s, d)
-    g = G.both_ways(G.cowitness(m))
-    near = m.select("cid", F.col("narrator").alias("a")).join(g, "a").groupBy("cid", F.col("b").alias("narrator")).agg(F.count(F.lit(1)).alias("score"))
-    return NEG.hard(m.select("cid").distinct(), m, near)
+    return NEG.hardest_by_company(m)
 
 
 # retrieval

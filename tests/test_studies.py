@@ -330,3 +330,32 @@ def test_replicates_share_the_rows_of_a_pair(spark, monkeypatch):
         for i in "01":
             values = [c[f"beta{i}"] for c in curve]
             assert got[r][f"area{i}"] == sum((a + b) / 2 for a, b in zip(values, values[1:]))
+
+
+def _company(members):
+    """Members of each cell, all narrators, and who shares a cell with whom."""
+    cells, near = {}, {}
+    for c, n in members:
+        cells.setdefault(c, set()).add(n)
+    for inside in cells.values():
+        for n in inside:
+            near.setdefault(n, set()).update(inside - {n})
+    return cells, sorted(near), near
+
+
+def _hot_members(spark):
+    """Cells of which many hold one narrator, and many narrators who know few."""
+    held = {(f"c{i:02d}", n) for i in range(40) for n in (["hot"] if i % 4 else []) + [f"n{i * 3 + j:03d}" for j in range(i % 5)]} | {(f"c{i:02d}", f"n{i * 5:03d}") for i in range(20)}
+    return held, spark.createDataFrame(sorted(held), M)
+
+
+def test_hard_negatives_count_company_in_blocks(spark):
+    held, members = _hot_members(spark)
+    cells, names, near = _company(held)
+    want = set()
+    for c, inside in cells.items():
+        scored = [(len(near[b] & inside), b) for b in names if b not in inside and near[b] & inside]
+        want |= {(c, max(scored)[1])} if scored else set()
+    got = NEG.company(members, NEG._most_known, block=7)
+    assert set(rows(got)) == want and rows(NEG.hardest_by_company(members)) == sorted(want)
+    assert NEG.hardest_by_company(members.filter("false")).count() == 0
