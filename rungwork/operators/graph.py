@@ -12,8 +12,8 @@ from rungwork.operators.skew import number_rows
 from rungwork.operators.splits import hash_order
 from rungwork.session import materialize, spread
 
-#: Most nodes whose spectrum is computed in one task; more are iterated.
-SPECTRUM_NODES = 3_000
+#: Most nodes whose spectrum is solved whole, and most entries of a matrix that one task iterates; more are iterated with joins.
+SPECTRUM_NODES, SPECTRUM_ENTRIES = 3_000, 20_000_000
 
 
 def cowitness(members: DataFrame, min_size: int = 1) -> DataFrame:
@@ -87,26 +87,79 @@ def laplacian(members: DataFrame) -> DataFrame:
     return w.select("a", "b", (F.when(F.col("a") == F.col("b"), 1.0).otherwise(0.0) - F.col("w")).alias("value"))
 
 
-def spectral_encoding(entries: DataFrame, k: int = 16, most: int = SPECTRUM_NODES) -> DataFrame:
+def spectral_encoding(entries: DataFrame, k: int = 16, most: int = SPECTRUM_NODES, most_entries: int = SPECTRUM_ENTRIES) -> DataFrame:
     """``node, pos, value``: first ``k`` non-trivial eigenvectors of a Laplacian, signs fixed by the largest entry.
 
-    A matrix of at most ``most`` nodes is solved in one task, a larger one by :func:`spectral_by_iteration`.
+    A matrix of at most ``most`` nodes is solved whole in one task and one of at most ``most_entries`` entries by
+    :func:`lowest_vectors` in one task, a larger one by :func:`spectral_by_iteration`.
     """
-    if entries.select("a").distinct().count() > most:
+    entries = materialize(entries.select("a", "b", "value"))
+    if entries.count() > most_entries:
         return spectral_by_iteration(entries, k)
+    names = materialize(number_rows(entries.select(F.lit(1).alias("_all"), F.col("a").alias("node")).distinct(), ["_all"], ["node"]).select("node", F.col("_pos").cast("int").alias("_i")))
+    n = names.count()
+    placed = entries.join(names.select(F.col("node").alias("a"), F.col("_i").alias("i")), "a").join(names.select(F.col("node").alias("b"), F.col("_i").alias("j")), "b")
+
+    def packed(pdfs):
+        for pdf in pdfs:
+            yield pd.DataFrame({c: [pdf[c].to_numpy(dtype=t).tobytes()] for c, t in (("i", np.int32), ("j", np.int32), ("value", np.float64))})
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(set(pdf["a"]))
-        at = {n: i for i, n in enumerate(names)}
-        m = np.zeros((len(names), len(names)))
-        m[pdf["a"].map(at), pdf["b"].map(at)] = pdf["value"]
-        _, v = np.linalg.eigh((m + m.T) / 2)
-        v = v[:, 1 : k + 1]
+        i, j, value = (np.frombuffer(b"".join(pdf[c]), dtype=t) for c, t in (("i", np.int32), ("j", np.int32), ("value", np.float64)))
+        if n <= most:
+            m = np.zeros((n, n))
+            m[i, j] = value
+            v = np.linalg.eigh((m + m.T) / 2)[1][:, : k + 1]
+        else:
+            v = lowest_vectors(i, j, value, n, k + 1)
+        v = v[:, 1:]
         v = v * np.sign(v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])])
-        i, j = np.indices(v.shape)
-        return pd.DataFrame({"node": np.array(names)[i.ravel()], "pos": j.ravel(), "value": v.ravel()})
+        at, pos = np.indices(v.shape)
+        return pd.DataFrame({"_i": at.ravel(), "pos": pos.ravel(), "value": v.ravel()})
+
+    lists = placed.select("i", "j", "value").mapInPandas(packed, "i binary, j binary, value binary")
+    return lists.groupBy(F.lit(1).alias("_g")).applyInPandas(solve, "_i int, pos long, value double").join(names, "_i").select("node", "pos", "value")
 
-    return entries.groupBy(F.lit(1).alias("_g")).applyInPandas(solve, "node string, pos long, value double")
+
+def lowest_vectors(i: np.ndarray, j: np.ndarray, value: np.ndarray, n: int, k: int, more: int = 8, degree: int = 16, rounds: int = 200, settled: float = 1e-8) -> np.ndarray:
+    """Eigenvectors of the ``k`` least eigenvalues of a sparse symmetric matrix with eigenvalues from 0 to 1, in order.
+
+    Subspace iteration with Chebyshev polynomials that are small from the largest kept eigenvalue to 1 and grow below
+    it, until the residuals of all ``k`` settle. Equal eigenvalues are found as often as they occur, up to ``k + more``.
+    Raises where the residuals don't settle.
+    """
+    order = np.lexsort((j, i))
+    i, j, value = i[order], j[order], value[order]
+    row, starts = np.unique(i, return_index=True)
+    bounds, step = [*starts.tolist(), len(i)], 1 << 18
+    cuts = [0]  # rows in pieces of about so many entries
+    for r in range(1, len(row) + 1):
+        if bounds[r] - bounds[cuts[-1]] >= step or r == len(row):
+            cuts.append(r)
+
+    def times(x: np.ndarray) -> np.ndarray:
+        y = np.zeros_like(x)
+        for p, q in zip(cuts, cuts[1:], strict=False):
+            lo, hi = bounds[p], bounds[q]
+            for c in range(x.shape[0]):
+                y[c, row[p:q]] = np.add.reduceat(value[lo:hi] * x[c, j[lo:hi]], starts[p:q] - lo)
+        return y
+
+    width = min(n, k + more)
+    v = np.linalg.qr(np.random.default_rng(0).standard_normal((n, width)))[0].T
+    for _ in range(rounds):
+        image = times(v)
+        low, turn = np.linalg.eigh(v @ image.T)
+        v, image = turn.T @ v, turn.T @ image
+        if np.linalg.norm(image[:k] - low[:k, None] * v[:k], axis=1).max() < settled:
+            return v[:k].T
+        cut = min(max(low[-1], 1e-3), 0.999)
+        half, centre = (1.001 - cut) / 2, (1.001 + cut) / 2
+        before, now = v, (image - centre * v) / half
+        for _step in range(degree - 1):
+            before, now = now, 2 * (times(now) - centre * now) / half - before
+        v = np.linalg.qr(now.T)[0].T
+    raise RuntimeError("the eigenvectors did not settle")
 
 
 def spectral_by_iteration(entries: DataFrame, k: int = 16, more: int = 8, rounds: int = 600, every: int = 4, settled: float = 1e-7) -> DataFrame:

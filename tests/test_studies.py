@@ -359,3 +359,19 @@ def test_hard_negatives_count_company_in_blocks(spark):
     got = NEG.company(members, NEG._most_known, block=7)
     assert set(rows(got)) == want and rows(NEG.hardest_by_company(members)) == sorted(want)
     assert NEG.hardest_by_company(members.filter("false")).count() == 0
+
+
+def test_large_spectra_are_iterated_in_one_task(spark, monkeypatch):
+    held = [(f"c{i:03d}", f"n{RNG.randrange(90):03d}") for i in range(150) for _ in range(4)] + [("d0", "z0"), ("d0", "z1"), ("e0", "z2")]
+    lap = G.laplacian(spark.createDataFrame(held, M).distinct()).persist()
+    dense = {(r["a"], r["b"]): r["value"] for r in lap.collect()}
+    names = sorted({a for a, _ in dense})
+    m = np.array([[dense.get((a, b), 0.0) for b in names] for a in names])
+    monkeypatch.setattr(G, "spectral_by_iteration", None)
+    got = G.spectral_encoding(lap, 6, most=5).collect()
+    v = np.zeros((len(names), 6))
+    for r in got:
+        v[names.index(r["node"]), r["pos"]] = r["value"]
+    least = np.linalg.eigvalsh(m)[:7]
+    assert np.abs(least[:3]).max() < 1e-9  # three components: the eigenvalue 0 thrice
+    assert np.abs(v.T @ v - np.eye(6)).max() < 1e-6 and np.abs(m @ v - v * least[1:]).max() < 1e-6
