@@ -212,7 +212,7 @@ def encodings(members: DataFrame, ground: DataFrame, k: int = 16) -> DataFrame:
 
     Narrators outside the Laplacian have zeros for its vectors before that; a constant column becomes zeros.
     """
-    spectral = spectral_encoding(laplacian(members), k).groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"]).alias("_v"))
+    spectral = materialize(spectral_encoding(laplacian(members), k).groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"]).alias("_v")))
     curve = forman_curvature(cowitness(members)).select(F.col("narrator").alias("node"), "curvature")
     profile = degree_profile(members, ground).select(F.col("narrator").alias("node"), "degree", "mean_size", "max_size", "min_size")
     width = spectral.agg(F.max(F.size("_v"))).first()[0] or 0

@@ -375,3 +375,20 @@ def test_large_spectra_are_iterated_in_one_task(spark, monkeypatch):
     least = np.linalg.eigvalsh(m)[:7]
     assert np.abs(least[:3]).max() < 1e-9  # three components: the eigenvalue 0 thrice
     assert np.abs(v.T @ v - np.eye(6)).max() < 1e-6 and np.abs(m @ v - v * least[1:]).max() < 1e-6
+
+
+def test_encodings_solve_the_spectrum_once(spark, monkeypatch):
+    _, members = _hot_members(spark)
+    solved = spark.sparkContext.accumulator(0)
+    spectral_encoding = G.spectral_encoding
+
+    def counted(entries, k):
+        def seen(pdfs):
+            solved.add(1)
+            yield from pdfs
+
+        return spectral_encoding(entries, k).coalesce(1).mapInPandas(seen, "node string, pos long, value double")
+
+    monkeypatch.setattr(G, "spectral_encoding", counted)
+    assert len(G.encodings(members, members.select("narrator").distinct(), 3).collect()[0]["block"]) == 8
+    assert solved.value == 1
