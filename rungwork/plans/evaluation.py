@@ -95,7 +95,7 @@ def negatives_motif(s, d):
 
 def negatives_clique(s, d):
     _, m, _, _ = _mid(s, d)
-    return NEG.clique(m, G.both_ways(G.cowitness(m)))
+    return NEG.clique(m)
 
 
 def negatives_hard(s, d):

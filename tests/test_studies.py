@@ -392,3 +392,15 @@ def test_encodings_solve_the_spectrum_once(spark, monkeypatch):
     monkeypatch.setattr(G, "spectral_encoding", counted)
     assert len(G.encodings(members, members.select("narrator").distinct(), 3).collect()[0]["block"]) == 8
     assert solved.value == 1
+
+
+def test_cliques_count_company_in_blocks(spark):
+    held, members = _hot_members(spark)
+    cells, names, near = _company(held)
+    md5 = lambda c, n: (hashlib.md5(f"0|{c}|{n}".encode()).hexdigest(), n)
+    want = set()
+    for c, inside in cells.items():
+        dropped = min(inside, key=lambda n: md5(c, n))
+        met = [n for n in names if n not in inside and len(inside) > 1 and inside - {dropped} <= near[n]]
+        want |= {(c, dropped, min(met, key=lambda n: md5(c, n)))} if met else set()
+    assert want and set(rows(NEG.clique(members))) == want
